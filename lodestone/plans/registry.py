@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import core_problems
+from lodestone.plans import core_problems, retrieval
 
-MODULES = (core_problems,)
+MODULES = (core_problems, retrieval)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core_problems.p5_report(spark, sf_dir)
+    return retrieval.reranked(spark, sf_dir)
