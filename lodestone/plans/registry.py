@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import code_graph, core_problems, retrieval
+from lodestone.plans import code_graph, contexts, core_problems, retrieval
 
-MODULES = (core_problems, retrieval, code_graph)
+MODULES = (core_problems, retrieval, code_graph, contexts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
