@@ -255,7 +255,7 @@ def cut(text: str, size: int) -> list[str]:
     out, i, n = [], 0, len(text)
     while n - i > size:
         e = text.find("\n", i + size)
-        while e > 0 and text[:e].rstrip("\r").endswith("\\"):
+        while e > 0 and text[max(i, e - 2) : e].rstrip("\r").endswith("\\"):
             e = text.find("\n", e + 1)
         if e < 0:
             break

@@ -76,7 +76,7 @@ _TYPE = r"(?:[\w$.]+(?:\s*<[^;{}()=]*>)?(?:\s*\.\s*[\w$]+(?:\s*<[^;{}()=]*>)?)*(
 _JAVA_METHOD = re.compile(rf"(?:<[^;{{}}()=]*>\s*)?(?:(?!(?:new|return|throw|else|case|package|import)\b)(?:{_ANNOTATION}\s*)*{_TYPE}\s+)?({_NAME})\s*\(")
 _TS_FUNCTION = re.compile(rf"function\b\s*\*?\s*({_NAME})\s*(?:<[^;{{}}()]*>)?\s*\(")
 _TS_METHOD = re.compile(rf"\*?\s*(#?(?:{_NAME}))\s*[?!]?\s*(?:<[^;{{}}()]*>)?\s*\(")
-_NOT_NAMES = frozenset("if for while switch catch return new throw do else try synchronized assert super this function constructor_ typeof await yield".split())
+_NOT_NAMES = frozenset("if for while switch catch return new throw do else try synchronized assert super this function typeof await yield".split())
 
 
 def _masked(text: str, lang: str) -> tuple[str, list[tuple[int, int]]]:
@@ -141,7 +141,7 @@ def braced(text: str, lang: str) -> list[Found]:
             m = _JAVA_METHOD.match(mask, at, end) if top == "type" else None
         else:
             m = _TS_METHOD.match(mask, at, end) if top == "type" else _TS_FUNCTION.match(mask, at, end)
-        if m and m[1] not in _NOT_NAMES and m[1] != "constructor_":
+        if m and m[1] not in _NOT_NAMES:
             return "body", m[1], at
         return None
 
@@ -180,7 +180,7 @@ def braced(text: str, lang: str) -> list[Found]:
                 kind, name, where = d
                 stack.append(_Open(kind, (*stack[-1].names, name), add(name, where, at) if kind == "body" else -1))
             else:
-                stack.append(_Open("other" if stack[-1].kind != "file" or head.strip() else "other", stack[-1].names, -1))
+                stack.append(_Open("other", stack[-1].names, -1))
             begin = i
         elif ch == "}":
             if len(stack) > 1:
@@ -269,7 +269,7 @@ def indented(text: str) -> list[Found]:
     depth = 0
     for m in re.finditer(r"[()\[\]{}]|\n", mask):
         if m[0] == "\n":
-            inside[m.end()] = depth > 0 or mask[: m.start()].endswith("\\") if depth or mask[m.start() - 1 : m.start()] == "\\" else 0
+            inside[m.end()] = depth > 0 or mask[m.start() - 1 : m.start()] == "\\"
         else:
             depth = depth + 1 if m[0] in "([{" else max(0, depth - 1)
     out: list[list] = []

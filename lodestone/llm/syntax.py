@@ -63,6 +63,8 @@ def python_statements(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
         if verdict(summarise(run, "python")):
             yield run
             begin = at
+        else:  # within a long text or bracket: look again twice as far on
+            at = begin + 2 * (at - begin)
     yield text[begin:]
 
 
