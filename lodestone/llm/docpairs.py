@@ -130,7 +130,14 @@ def braced(text: str, lang: str) -> list[Found]:
     delimiter = re.compile(r"[(){};,\[\]\n]")
 
     def declared(end: int) -> tuple[str, str, int] | None:
-        """(kind, name, begin) of the header mask[begin:end]."""
+        """(kind, name, begin) of the header mask[begin:end]; outside of types it may follow a statement without a semicolon."""
+        got = header(begin, end)
+        at = end
+        while not got and lang == "typescript" and stack[-1].kind != "type" and (at := mask.rfind("\n", begin, at)) >= 0:
+            got = header(at, end)
+        return got
+
+    def header(begin: int, end: int) -> tuple[str, str, int] | None:
         lead = _LEAD[lang].match(mask, begin, end)
         at = lead.end()
         m = _TYPE_WORD[lang].match(mask, at, end)
@@ -150,7 +157,7 @@ def braced(text: str, lang: str) -> list[Found]:
         first = begin + len(mask[begin:at]) - len(mask[begin:at].lstrip()) if mask[begin:at].strip() else at
         near = [x for x in _before(comments, at) if x[0] >= begin]
         doc = None
-        if near and text.startswith("/**", near[-1][0]) and near[-1][1] - near[-1][0] >= 5:
+        if near and text.startswith("/**", near[-1][0]) and near[-1][1] - near[-1][0] >= 5 and _LEAD[lang].fullmatch(mask, near[-1][1], at):
             doc = block_text(text[near[-1][0] : near[-1][1]])
         out.append([".".join((*stack[-1].names, name)), first, end, doc])
         return len(out) - 1
@@ -176,7 +183,7 @@ def braced(text: str, lang: str) -> list[Found]:
                 i = _skip(mask, at)  # the type of the result
                 continue
             d = declared(at)
-            if d and "=" not in _outside(head):
+            if d and "=" not in _outside(mask[d[2] : at]):
                 kind, name, where = d
                 stack.append(_Open(kind, (*stack[-1].names, name), add(name, where, at) if kind == "body" else -1))
             else:
@@ -209,20 +216,21 @@ def _before(comments: list[tuple[int, int]], at: int) -> list[tuple[int, int]]:
 
 def _ends(mask, begin, at, stack, declared, add, lang) -> None:
     """A declaration without a body, if the header mask[begin:at] is one."""
-    if not mask[begin:at].strip() or "=" in _outside(mask[begin:at]):
+    if not mask[begin:at].strip():
         return
     if stack[-1].kind == "type" or lang == "typescript":
         d = declared(at)
-        if d and d[0] == "body":
+        if d and d[0] == "body" and "=" not in _outside(mask[d[2] : at]):
             add(d[1], d[2], at + 1)
 
 
 def _outside(head: str) -> str:
-    """head without what stands in brackets and arrows."""
+    """head without arrows and what stands in brackets."""
+    head = head.replace("=>", "")
     while True:
-        x = re.sub(r"\([^()]*\)|\[[^\[\]]*\]", "", head)
+        x = re.sub(r"\([^()]*\)|\[[^\[\]]*\]|<[^<>]*>", "", head)
         if x == head:
-            return x.replace("=>", "")
+            return x
         head = x
 
 
