@@ -40,7 +40,8 @@ def code_tokens(c: Column | str) -> Column:
             subs = F.filter(F.transform(F.split(split_camel(p), " "), F.lower), lambda s: (s != "") & (s != low) & (s != whole))
             return F.concat(F.when(low != whole, F.array(low)).otherwise(F.array().cast("array<string>")), subs)
 
-        return F.when(run == "", F.array().cast("array<string>")).otherwise(F.concat(F.array(whole), F.flatten(F.transform(pieces, parts))))
+        # Most runs are one lower-case word, which has no parts.
+        return F.when(raw.rlike("^[a-z0-9]+$"), F.array(raw)).when(run == "", F.array().cast("array<string>")).otherwise(F.concat(F.array(whole), F.flatten(F.transform(pieces, parts))))
 
     return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(_c(c), F.lit("")), F.lit(f"({RAW_TOKEN})")), expand))
 

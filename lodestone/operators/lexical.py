@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import code_tokens
+from lodestone.session import cut_lineage
 
 K1, B, IDF_FLOOR = 1.5, 0.75, 1e-6
+BROADCAST_TERMS = 200_000
 #: How often a field counts. A doc comment counts once.
 FIELD_WEIGHTS = {"name": 10, "qualified_name": 5, "path": 3, "signature": 3, "doc_comment": 1, "content": 1}
 
@@ -38,14 +40,15 @@ def build_index(chunks: DataFrame, chunk_id: str, fields: Mapping[str, Column],
         return F.transform(code_tokens(c), lambda t: F.struct(t.alias("token"), F.lit(w).alias("w")))
 
     weighted = F.flatten(F.array(*[weighed(c, FIELD_WEIGHTS[f]) for f, c in fields.items()]))
-    rows = chunks.select(F.col(chunk_id).alias("chunk_id"), *keep, weighted.alias("t"))
-    postings = rows.select("chunk_id", F.explode("t").alias("t")).groupBy("chunk_id", "t.token").agg(F.sum("t.w").alias("tf"))
-    lengths = rows.select("chunk_id", *keep, F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x["w"]).alias("length"))
+    rows = chunks.select(F.col(chunk_id).alias("chunk_id"), F.explode(weighted).alias("t"))
+    postings = cut_lineage(rows.groupBy("chunk_id", "t.token").agg(F.sum("t.w").alias("tf")))  # read three times, made once
+    sizes = postings.groupBy("chunk_id").agg(F.sum("tf").alias("length"))
+    lengths = chunks.select(F.col(chunk_id).alias("chunk_id"), *keep).join(sizes, "chunk_id", "left").withColumn("length", F.coalesce("length", F.lit(0)))
     totals = lengths.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("length"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
     return LexicalIndex(postings, lengths, postings.groupBy("token").agg(F.count("*").alias("df")), totals)
 
 
-def search(index: LexicalIndex, queries: DataFrame, k: int = 10, where: Column | None = None) -> DataFrame:
+def search(index: LexicalIndex, queries: DataFrame, k: int = 10, where: Column | None = None, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best chunks of every query.
 
     queries: (query_id, text). A repeated query token counts each time. where filters chunks after the corpus
@@ -54,15 +57,18 @@ def search(index: LexicalIndex, queries: DataFrame, k: int = 10, where: Column |
     """
     if k < 1:
         raise ValueError("k must be positive")
-    terms = queries.select("query_id", F.explode(code_tokens("text")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    wanted = terms.select("token").distinct()
-    idf = index.frequencies.join(wanted, "token", "left_semi").join(F.broadcast(index.totals)).select(
+    terms = cut_lineage(queries.select("query_id", F.explode(code_tokens("text")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf")))
+    idf = index.frequencies.join(terms.select("token").distinct(), "token", "left_semi").join(F.broadcast(index.totals)).select(
         "token", "avgdl", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(IDF_FLOOR)).alias("idf")
     )  # the totals are one row
+    asked = terms.join(idf, "token")
+    # Where the query side is small, each task of postings meets it whole: a frequent token then isn't one task's work.
+    if terms.limit(broadcast_terms + 1).count() <= broadcast_terms:
+        asked = F.broadcast(asked)
     lengths = index.lengths if where is None else index.lengths.where(where)
-    hits = index.postings.join(idf, "token").join(lengths.select("chunk_id", "length"), "chunk_id")
+    hits = index.postings.join(lengths.select("chunk_id", "length"), "chunk_id").join(asked, "token")
     part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    scored = hits.select("token", "chunk_id", part.alias("part")).join(terms, "token").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score"))
+    scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part * F.col("qtf")), 6).alias("score"))
     return top(scored.where((F.col("score") > 0) & (F.col("score") < float("inf"))), k)
 
 
