@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.keys import norm_id, norm_path
-from lodestone.llm.codelex import BadLex, lex
-from lodestone.llm.syntax import CHUNK_CHARS, LANGUAGES, parses
+from lodestone.llm.codelex import Tokens, lex
+from lodestone.llm.syntax import CHUNK_CHARS, LANGUAGES, parses, valid_tokens
 
 # First words, filler words and headings of the definition of a trivial comment.
 PLACEHOLDERS = frozenset(("todo", "fixme", "tbd", "xxx"))
@@ -79,9 +79,8 @@ _TS_METHOD = re.compile(rf"\*?\s*(#?(?:{_NAME}))\s*[?!]?\s*(?:<[^;{{}}()]*>)?\s*
 _NOT_NAMES = frozenset("if for while switch catch return new throw do else try synchronized assert super this function typeof await yield".split())
 
 
-def _masked(text: str, lang: str) -> tuple[str, list[tuple[int, int]]]:
+def _masked(text: str, t: Tokens) -> tuple[str, list[tuple[int, int]]]:
     """(text with strings and comments blanked, the comments' places)."""
-    t = lex(text, lang)
     out, comments, at = [], [], 0
     for k, v, p in zip(t.kind, t.val, t.pos):
         gap = text[at:p]
@@ -121,9 +120,9 @@ class _Open(NamedTuple):
     found: int  # its place in the list of declarations, or -1
 
 
-def braced(text: str, lang: str) -> list[Found]:
+def braced(text: str, lang: str, tokens: Tokens | None = None) -> list[Found]:
     """The functions and methods of a Java or TypeScript file, from a stack of braces."""
-    mask, comments = _masked(text, lang)
+    mask, comments = _masked(text, tokens or lex(text, lang))
     out: list[list] = []
     stack = [_Open("file", (), -1)]
     begin, depth, i, n, c = 0, 0, 0, len(mask), 0
@@ -254,7 +253,7 @@ def _skip(mask: str, at: int) -> int:
 
 # --- Python
 _PY_LITERAL = re.compile(
-    r"#[^\n]*|([rRbBuUfF]{0,2})(\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')|\w+"
+    r"#[^\n]*|((?:(?<!\w)[rRbBuUfF]{1,2})?)(\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')"
 )
 _PY_DECLARED = re.compile(r"^([ \t\f]*)(?:(?:async[ \t]+)?def|(class))[ \t]+(\w+)", re.M)
 
@@ -264,8 +263,6 @@ def indented(text: str) -> list[Found]:
     strings: list[tuple[int, int, str]] = []
 
     def blank(m: re.Match) -> str:
-        if m[2] is None and m[0][0] != "#":
-            return m[0]
         if m[2] is not None:
             strings.append((m.start(), m.end(), m[1].lower()))
             return re.sub(r"[^\n]", '"', m[0]).replace("\n", '"')
@@ -345,14 +342,12 @@ def module_name(text: str, path: str, lang: str) -> str:
 def pairs(text: str, path: str, lang: str) -> list[tuple[str, str, str]]:
     """(qualified_name, code, description) of every function with a non-trivial comment; none in a broken file."""
     text = text.removeprefix("﻿")
-    if not parses(text, lang, CHUNK_CHARS):
-        return []
     if lang == "python":
         text = text.replace("\r\n", "\n").replace("\r", "\n")
-    try:
-        found = indented(text) if lang == "python" else braced(text, lang)
-    except BadLex:
-        return []
+        found = indented(text) if parses(text, lang, CHUNK_CHARS) else []
+    else:
+        tokens = valid_tokens(text, lang, CHUNK_CHARS)
+        found = [] if tokens is None else braced(text, lang, tokens)
     module = module_name(text, path, lang)
     out = []
     for f in found:

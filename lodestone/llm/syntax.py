@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.keys import norm_id
 from lodestone.llm import grammar_java, grammar_typescript
-from lodestone.llm.codelex import BadLex, Piece, combine, cut, lex, summarise, verdict
+from lodestone.llm.codelex import BadLex, Piece, Tokens, combine, cut, lex, summarise, verdict
 
 CHUNK_CHARS = 64_000
 LONG_CHARS = 1_000_000
@@ -76,15 +76,20 @@ def parses(text: str, lang: str, chunk_chars: int = CHUNK_CHARS) -> bool:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
         # Cuts never decide against a file: where a run fails, the interpreter has the last word on the whole.
         return all(map(_python_parses, python_statements(text, chunk_chars))) or _python_parses(text)
+    return valid_tokens(text, lang, chunk_chars) is not None
+
+
+def valid_tokens(text: str, lang: str, chunk_chars: int = CHUNK_CHARS) -> Tokens | None:
+    """The tokens of a Java or TypeScript text without a byte order mark, None where it is broken."""
     try:
-        if len(text) > chunk_chars and not balanced(text, lang, chunk_chars) and lang == "java":
-            return False
+        if len(text) > chunk_chars and lang == "java" and not balanced(text, lang, chunk_chars):
+            return None
         t = lex(text, lang)
     except BadLex:
-        return False
+        return None
     if t.state != "code" or t.templates:
-        return False
-    return (grammar_java if lang == "java" else grammar_typescript).parses(t)
+        return None
+    return t if (grammar_java if lang == "java" else grammar_typescript).parses(t) else None
 
 
 def _verdicts(chunk_chars: int):
