@@ -95,6 +95,9 @@ def lex(text: str, lang: str, state: str = CODE, templates: tuple[int, ...] = ()
             add("str", '""', 0)
             i = m.end()
     while i < n:
+        if text[i] == " ":
+            i += 1
+            continue
         m = master.match(text, i)
         if not m:
             if text[i] == "\x1a" and i == n - 1:

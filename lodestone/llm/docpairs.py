@@ -109,7 +109,7 @@ _COMMENT = re.compile(r"/\*[\s\S]*?\*/|//[^\r\n]*")
 def _blank_comments(gap: str, at: int, comments: list[tuple[int, int]]) -> str:
     def blank(m: re.Match) -> str:
         comments.append((at + m.start(), at + m.end()))
-        return re.sub(r"[^\n]", " ", m[0])
+        return "\n".join(" " * len(x) for x in m[0].split("\n"))
 
     return _COMMENT.sub(blank, gap)
 
@@ -265,7 +265,7 @@ def indented(text: str) -> list[Found]:
     def blank(m: re.Match) -> str:
         if m[2] is not None:
             strings.append((m.start(), m.end(), m[1].lower()))
-            return re.sub(r"[^\n]", '"', m[0]).replace("\n", '"')
+            return '"' * len(m[0])
         return " " * len(m[0])
 
     mask = _PY_LITERAL.sub(blank, text)
@@ -326,11 +326,17 @@ def _docstring(text: str, mask: str, starts: dict[int, tuple[int, str]], inside:
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            return "".join(ast.literal_eval(p) for p in parts)
+            return "".join(ast.literal_eval(p) if "\\" in p else _plain(p) for p in parts)
     except (SyntaxError, ValueError):
         return None
 
 
+def _plain(literal: str) -> str:
+    """The text of a string literal without escapes."""
+    s = literal.lstrip("rRuU")
+    return s[3:-3] if s[:3] in ('"""', "'''") else s[1:-1]
+
+
 def module_name(text: str, path: str, lang: str) -> str:
     """The package in Java, the path without extension and with dots elsewhere."""
     if lang == "java":
