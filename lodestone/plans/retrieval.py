@@ -225,3 +225,17 @@ FROM v CROSS JOIN (SELECT value FROM v WHERE system = 'vector') b""",
     "judgment_statistics": """SELECT count(DISTINCT lower(trim(query_id))) AS n_queries, count(*) AS n_judgments, round(count(*) / count(DISTINCT lower(trim(query_id))), 6) AS mean_judgments,
   count(*) FILTER (grade = 0) AS grade_0, count(*) FILTER (grade = 1) AS grade_1, count(*) FILTER (grade = 2) AS grade_2, count(*) FILTER (grade = 3) AS grade_3 FROM judgments""",
 }
+
+SQL["reranked"] = (
+    _FUSED
+    + """, po AS (SELECT fr.*, max(fused_score) OVER (PARTITION BY query_id) AS top FROM fr WHERE rank <= 50),
+tg AS (SELECT po.query_id, min(po.chunk_id) AS chunk_id FROM po WHERE bm25_rank = 1 GROUP BY 1),
+aq AS (SELECT tg.query_id, lower(coalesce(symbol_name, '')) AS target, list_distinct(list_filter(string_split(lower(coalesce(qualified_name, '')), '.'), lambda t: t <> '')) AS toks FROM tg JOIN res USING (query_id, chunk_id)),
+ca AS (SELECT po.*, aq.target, aq.toks, lower(coalesce(symbol_name, '')) AS sy, lower(coalesce(qualified_name, '')) AS q,
+  list_concat([lower(coalesce(symbol_name, ''))], coalesce(string_split(lower(qualified_name), '.'), []), coalesce(string_split(replace(replace(lower(file_path), '/', ' '), '.', ' '), ' '), [])) AS have
+  FROM po JOIN res USING (query_id, chunk_id) JOIN aq USING (query_id)),
+sc AS (SELECT query_id, chunk_id, round(0.35::DOUBLE * (target <> '' AND sy = target)::INT + 0.20::DOUBLE * (target <> '' AND contains(q, target))::INT
+  + 0.25::DOUBLE * CASE WHEN len(toks) > 0 THEN len(list_filter(toks, lambda t: list_contains(have, t)))::DOUBLE / len(toks) ELSE 0 END
+  + 0.10::DOUBLE * (((bm25_rank IS NOT NULL)::INT + (vector_rank IS NOT NULL)::INT + (graph_rank IS NOT NULL)::INT)::DOUBLE / 3) + 0.10::DOUBLE * (fused_score / top), 6) AS rerank_score FROM ca)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) AS INTEGER) AS rerank_rank FROM sc) WHERE rerank_rank <= 10"""
+)
