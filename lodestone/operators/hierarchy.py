@@ -23,6 +23,8 @@ from lodestone.functions.keys import norm_id
 from lodestone.session import cut_lineage
 
 MAX_COMPONENT = 100_000
+#: Circle rows up to which they are broadcast to the rows on and below circles.
+MAX_CIRCLE_BROADCAST = 200_000
 SCHEMA = (
     "node_id string, parent_id string, component_id string, root_id string, depth int, path string, "
     "path_ids array<string>, n_descendants bigint, cycle_id string, status string"
@@ -223,7 +225,44 @@ def hierarchy(df: DataFrame, node: str, parent: str, name: str, sep: str = ".",
 
 
 def descendants(placed: DataFrame) -> DataFrame:
-    """(ancestor_id, descendant_id, distance): every row of hierarchy() under each row above it, circles left out."""
+    """(ancestor_id, descendant_id, distance): every row of hierarchy() under each row above it, circles left out; see all_descendants()."""
     return placed.select(F.posexplode(F.slice("path_ids", 1, F.size("path_ids") - 1)).alias("k", "ancestor_id"), F.col("node_id").alias("descendant_id"), "depth").select(
         "ancestor_id", "descendant_id", (F.col("depth") - F.col("k")).cast("int").alias("distance")
     )
+
+
+def all_descendants(placed: DataFrame) -> DataFrame:
+    """(ancestor_id, descendant_id, distance): descendants() and the pairs of rows on and below circles.
+
+    The rows of a circle are each other's descendants and have every row below the circle as one; distance is the
+    smallest number of links. No row is its own descendant. Each row stands n_descendants times as an ancestor.
+
+    The link above the circle's smallest id is cut, which leaves a tree; the circle's rows that are not on the way down
+    from there are met through the cut link.
+    """
+    looped = placed.where("root_id is null").select("node_id", F.when(F.col("cycle_id").isNull() | (F.col("cycle_id") != F.col("node_id")), F.col("parent_id")).alias("up"), "component_id", "cycle_id")
+    state = cut_lineage(
+        looped.select("node_id", "up", "component_id", F.array("node_id").alias("ids"), F.col("cycle_id").isNotNull().cast("int").alias("turn"), F.col("cycle_id").isNotNull().alias("on"))
+    )
+    while state.where("up is not null").limit(1).count():
+        at = state.select(F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("ids").alias("ids2"), F.col("turn").alias("turn2"))
+        jumped = state.where("up is not null").join(at, "up").select(
+            "node_id", F.col("up2").alias("up"), "component_id", F.concat("ids2", "ids").alias("ids"), (F.col("turn") + F.col("turn2")).alias("turn"), "on"
+        )
+        state = cut_lineage(state.where("up is null").unionByName(jumped))
+    # turn: how many circle rows are on the way, which are the first ones of the circle
+    ways = state.withColumn("depth", F.size("ids") - 1)
+    down = ways.select(F.posexplode(F.slice("ids", 1, F.size("ids") - 1)).alias("k", "ancestor_id"), F.col("node_id").alias("descendant_id"), "depth").select(
+        "ancestor_id", "descendant_id", (F.col("depth") - F.col("k")).cast("int").alias("distance")
+    )
+    ring = ways.where("on").select("component_id", F.col("node_id").alias("ancestor_id"), F.col("depth").alias("place"))
+    ring = ring.join(ring.groupBy("component_id").agg(F.count("*").alias("size")), "component_id").where("size > 1")
+    if ring.limit(MAX_CIRCLE_BROADCAST + 1).count() <= MAX_CIRCLE_BROADCAST:
+        ring = F.broadcast(ring)
+    round_ = (
+        ways.select("component_id", F.col("node_id").alias("descendant_id"), "turn", "depth")
+        .join(ring, "component_id")
+        .where(F.col("place") >= F.col("turn"))
+        .select("ancestor_id", "descendant_id", (F.col("depth") + F.col("size") - F.col("place")).cast("int").alias("distance"))
+    )
+    return descendants(placed).unionByName(down).unionByName(round_)

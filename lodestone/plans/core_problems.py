@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.keys import norm_name
-from lodestone.operators.hierarchy import descendants, hierarchy
+from lodestone.operators.hierarchy import all_descendants, descendants, hierarchy
 from lodestone.operators.orphans import orphan_counts, orphan_references
 from lodestone.operators.snapshots import snapshot_changes
 from lodestone.session import table
@@ -20,7 +20,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return _placed(spark, d).where("cycle_id is not null").select(F.col("node_id").alias("entity_id"), "cycle_id")
 
 
-def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+def _named(spark: SparkSession, d: str, n_descendants: Column) -> DataFrame:
     e = table(spark, d, "ir_entities")
     names = (
         e.select(F.nullif(F.lower(F.trim("entity_id")), F.lit("")).alias("node_id"), norm_name("qualified_name").alias("qualified_name"))
@@ -30,15 +30,29 @@ def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     p = _placed(spark, d).join(names, "node_id", "left")
     return p.select(
         F.col("node_id").alias("entity_id"), "root_id", "depth", "path", F.concat_ws("/", "path_ids").alias("id_path"), "cycle_id", "status",
-        F.when(F.col("root_id").isNotNull(), F.col("n_descendants")).alias("n_descendants"),
+        n_descendants.alias("n_descendants"),
         (F.col("path") == F.col("qualified_name")).alias("path_is_qualified_name"),
     )
 
 
+def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """n_descendants is null on and below circles, as in its SQL; p1_hierarchy_all has it for every row."""
+    return _named(spark, d, F.when(F.col("root_id").isNotNull(), F.col("n_descendants")))
+
+
+def p1_hierarchy_all(spark: SparkSession, d: str) -> DataFrame:
+    return _named(spark, d, F.col("n_descendants"))
+
+
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs below roots only, as in its SQL; p1_descendants_all has every pair."""
     return descendants(_placed(spark, d))
 
 
+def p1_descendants_all(spark: SparkSession, d: str) -> DataFrame:
+    return all_descendants(_placed(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return orphan_references(table(spark, d, "code_refs"), table(spark, d, "ir_entities")).select("reference_id")
 
@@ -108,7 +122,7 @@ c AS (
   FROM a FULL JOIN b ON a.repository_id = b.repository_id AND a.path = b.path AND a.nxt = b.snapshot_no)
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p5_found, p5_report, p7_found, p7_changed_files)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_hierarchy_all, p1_descendants, p1_descendants_all, p5_found, p5_report, p7_found, p7_changed_files)}
 
 SQL = {
     "p1_found": _LINKS + "SELECT entity_id, cycle_id FROM cyc",

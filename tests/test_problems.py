@@ -60,6 +60,23 @@ def test_descendants_are_every_row_below(spark):
     assert {r.path for r in placed.collect()} == {"a", "a.b", "a.b."}
 
 
+@pytest.mark.parametrize("bound", [100_000, 1])
+def test_all_descendants_have_circles_and_rows_below_them(spark, bound):
+    links = {"a": None, "b": "a", "c1": "c2", "c2": "c3", "c3": "c4", "c4": "c1", "t1": "c2", "t2": "t1", "t3": "t1", "u": "c4", "self": "self", "s1": "self", "s2": "s1"}
+    want = set()
+    for i in links:
+        x, n = links[i], 1
+        while x and x != i and (x, i) not in {w[:2] for w in want}:
+            want.add((x, i, n))
+            x, n = links[x], n + 1
+    df = spark.createDataFrame([(i, p, i, "") for i, p in links.items()], LINKS)
+    placed = h.hierarchy(df, "entity_id", "parent_id", "name", max_component=bound)
+    got = rows(h.all_descendants(placed))
+    assert got == sorted(want, key=repr)
+    assert {("c1", "c4", 1), ("c4", "c1", 3), ("c3", "t2", 3), ("t1", "t3", 1), ("self", "s2", 2)} <= set(got)
+    assert {r.node_id: r.n_descendants for r in placed.collect()} == {i: sum(a == i for a, _, _ in got) for i in links}
+
+
 def test_hierarchy_of_nothing(spark):
     assert h.hierarchy(spark.createDataFrame([], LINKS), "entity_id", "parent_id", "name").count() == 0
 
