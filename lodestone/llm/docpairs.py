@@ -3,6 +3,10 @@
 Signatures are found by regular expressions on a text whose strings and comments are blanked, bodies are delimited by
 an indentation stack (Python) or a stack of braces (Java, TypeScript), and a comment belongs to a declaration if it ends
 before it with nothing but blanks, annotations and modifiers between them. Each file is read on its own, in one pass.
+
+Braces inside of brackets (callbacks, arguments) are walked like all others. Bodies of anonymous classes, of class
+expressions and of enum constants and object literals hold methods, but add no name of their own. Functions that are only
+values (arrow functions, function expressions) and members of type literals aren't declarations.
 """
 
 from __future__ import annotations
@@ -70,8 +74,13 @@ _MODIFIER = {
 _LEAD = {k: re.compile(rf"\s*(?:{m}\s*)*") for k, m in _MODIFIER.items()}
 _TYPE_WORD = {
     "java": re.compile(rf"(?:class|interface|enum|record|@\s*interface)\s+({_NAME})"),
-    "typescript": re.compile(rf"(?:class|interface|namespace|module|(?:const\s+)?enum)\s+({_NAME}(?:\.(?:{_NAME}))*)"),
+    "typescript": re.compile(rf"(?:class|interface|namespace|module|(?:const\s+)?enum)\s+(?!(?:extends|implements)\b)((?:{_NAME})(?:\.(?:{_NAME}))*)"),
 }
+_SPACE = re.compile(r"(?:namespace|module)\b")
+_NEW = re.compile(r"\bnew\s+(?:@[\w.]+\s*)*[\w$.]+\s*(?:<[^;{}()]*>)?\s*$")
+_CLASS_VALUE = re.compile(rf"(?<![\w$.])class\b(?:\s+(?!(?:extends|implements)\b)(?:{_NAME}))?\s*(?:<[^;{{}}()]*>)?\s*(?:(?:extends|implements)\b[^;{{}}]*)?$")
+_CASE = re.compile(rf"(?:^|\n)[ \t]*(?:case\b[^\n]*|(?:{_NAME})\s*):\s*$")
+_BEFORE_OBJECT = re.compile(r"(?<![\w$.])(?:return|default|typeof|yield|await|throw|in|of|void|delete|as|satisfies|extends)$")
 _TYPE = r"(?:[\w$.]+(?:\s*<[^;{}()=]*>)?(?:\s*\.\s*[\w$]+(?:\s*<[^;{}()=]*>)?)*(?:\s*\[\s*\])*)"
 _JAVA_METHOD = re.compile(rf"(?:<[^;{{}}()=]*>\s*)?(?:(?!(?:new|return|throw|else|case|package|import)\b)(?:{_ANNOTATION}\s*)*{_TYPE}\s+)?({_NAME})\s*\(")
 _TS_FUNCTION = re.compile(rf"function\b\s*\*?\s*({_NAME})\s*(?:<[^;{{}}()]*>)?\s*\(")
@@ -115,9 +124,10 @@ def _blank_comments(gap: str, at: int, comments: list[tuple[int, int]]) -> str:
 
 
 class _Open(NamedTuple):
-    kind: str  # type, body, other
+    kind: str  # type, enum (Java's, up to the end of its constants), object, body, other
     names: tuple[str, ...]
     found: int  # its place in the list of declarations, or -1
+    outer: tuple = ()  # begin, opens, piece and groups around a brace inside of brackets
 
 
 def braced(text: str, lang: str, tokens: Tokens | None = None) -> list[Found]:
@@ -125,30 +135,63 @@ def braced(text: str, lang: str, tokens: Tokens | None = None) -> list[Found]:
     mask, comments = _masked(text, tokens or lex(text, lang))
     out: list[list] = []
     stack = [_Open("file", (), -1)]
-    begin, depth, i, n, c = 0, 0, 0, len(mask), 0
+    begin, i, c = 0, 0, 0
+    opens: list[tuple[int, int]] = []  # the open brackets since begin, each with the piece around it
+    piece = 0  # where the argument or element begins that is being read inside of brackets
+    closed = (0, 0)  # the last bracket that was closed, and where
+    groups: list[tuple[int, int]] = []  # the outermost closed brackets since begin
     delimiter = re.compile(r"[(){};,\[\]\n]")
 
     def declared(end: int) -> tuple[str, str, int] | None:
         """(kind, name, begin) of the header mask[begin:end]; outside of types it may follow a statement without a semicolon."""
         got = header(begin, end)
-        at = end
-        while not got and lang == "typescript" and stack[-1].kind != "type" and (at := mask.rfind("\n", begin, at)) >= 0:
-            got = header(at, end)
+        at, k = end, len(groups)
+        while not got and lang == "typescript" and stack[-1].kind not in ("type", "object") and (at := mask.rfind("\n", begin, at)) >= 0:
+            while k and groups[k - 1][0] >= at:
+                k -= 1
+            if k and at < groups[k - 1][1]:  # a line inside of brackets
+                at = groups[k - 1][0]
+            else:
+                got = header(at, end)
         return got
 
+    def other(start: int, at: int) -> str:
+        """The kind of the brace at at, which no declaration stands before."""
+        head = mask[start:at].rstrip()
+        first = opens[-1][0] if opens else begin  # commas of type arguments end pieces, too
+        if lang == "java":
+            if stack[-1].kind == "enum" and not opens:
+                return "type"
+            if not head.endswith(")") or closed[1] != start + len(head):
+                return "other"
+            for sign in "(){}":
+                first = max(first, mask.rfind(sign, first, closed[0]) + 1)
+            return "type" if _NEW.search(mask[first : closed[0]]) else "other"
+        first = mask.rfind("class", max(first, mask.rfind("}", first, at)), at)
+        if first >= 0 and _CLASS_VALUE.match(mask, first, at):
+            return "type"
+        if not head:
+            return "object" if opens else "other"
+        if head[-1] == ":":
+            return "other" if not opens and stack[-1].kind not in ("type", "object") and _CASE.search(head) else "object"
+        if head.endswith("=>"):
+            return "other"
+        return "object" if head[-1] in "=(,[?&|<!+-*/%^~." or _BEFORE_OBJECT.search(head) else "other"
+
     def header(begin: int, end: int) -> tuple[str, str, int] | None:
         lead = _LEAD[lang].match(mask, begin, end)
         at = lead.end()
         m = _TYPE_WORD[lang].match(mask, at, end)
         if m:
-            return "type", m[1], at
+            kind = "body" if _SPACE.match(m[0]) else "enum" if lang == "java" and m[0].startswith("enum") else "type"
+            return kind, m[1], at
         top = stack[-1].kind
         if lang == "java":
             m = _JAVA_METHOD.match(mask, at, end) if top == "type" else None
         else:
-            m = _TS_METHOD.match(mask, at, end) if top == "type" else _TS_FUNCTION.match(mask, at, end)
+            m = _TS_METHOD.match(mask, at, end) if top in ("type", "object") else _TS_FUNCTION.match(mask, at, end)
         if m and m[1] not in _NOT_NAMES:
-            return "body", m[1], at
+            return "function", m[1], at
         return None
 
     def add(name: str, at: int, end: int) -> int:
@@ -168,39 +211,53 @@ def braced(text: str, lang: str, tokens: Tokens | None = None) -> list[Found]:
         ch, at = m[0], m.start()
         i = at + 1
         if ch in "([":
-            depth += 1
+            opens.append((at, piece))
+            piece = i
         elif ch in ")]":
-            depth = max(0, depth - 1)
-        elif depth and ch != "{":
-            continue
+            if opens:
+                first, piece = opens.pop()
+                closed = (first, i)
+                if not opens:
+                    groups.append(closed)
         elif ch == "{":
-            if depth:  # a body or an object inside of brackets
-                i = _skip(mask, at)
+            if opens:  # a body or an object inside of brackets
+                stack.append(_Open(other(piece, at), stack[-1].names, -1, (begin, opens, piece, groups)))
+                begin, opens, groups = i, [], []
                 continue
             head = mask[begin:at]
-            if lang == "typescript" and stack[-1].kind in ("type", "file", "body") and re.search(r"\)\s*:[^=]*[:|&<]\s*$|\)\s*:\s*$", head) and declared(at):
+            if lang == "typescript" and stack[-1].kind in ("type", "object", "file", "body") and re.search(r"\)\s*:[^=]*[:|&<]\s*$|\)\s*:\s*$", head) and declared(at):
                 i = _skip(mask, at)  # the type of the result
                 continue
-            d = declared(at)
+            d = declared(at) if stack[-1].kind != "enum" else None
             if d and "=" not in _outside(mask[d[2] : at]):
                 kind, name, where = d
-                stack.append(_Open(kind, (*stack[-1].names, name), add(name, where, at) if kind == "body" else -1))
+                f = add(name, where, at) if kind == "function" else -1
+                stack.append(_Open("body" if kind == "function" else kind, (*stack[-1].names, name), f))
             else:
-                stack.append(_Open("other", stack[-1].names, -1))
-            begin = i
+                stack.append(_Open(other(begin, at), stack[-1].names, -1))
+            begin, groups = i, []
         elif ch == "}":
+            opens = []
             if len(stack) > 1:
                 _ends(mask, begin, at, stack, declared, add, lang)
                 o = stack.pop()
                 if o.found >= 0:
                     out[o.found][2] = i
-            begin = i
-        elif ch == ";" or (ch == "," and lang == "typescript" and stack[-1].kind == "type"):
+                if o.outer:
+                    begin, opens, piece, groups = o.outer
+                    continue
+            begin, groups = i, []
+        elif opens:
+            if ch == ",":
+                piece = i
+        elif ch == ";" or (ch == "," and lang == "typescript" and stack[-1].kind in ("type", "object")):
             _ends(mask, begin, at, stack, declared, add, lang)
-            begin = i
+            if stack[-1].kind == "enum":
+                stack[-1] = stack[-1]._replace(kind="type")
+            begin, groups = i, []
         elif ch == "\n" and lang == "typescript" and stack[-1].kind == "type" and _line_ends(mask, begin, at):
             _ends(mask, begin, at, stack, declared, add, lang)
-            begin = i
+            begin, groups = i, []
     return [Found(*x) for x in out]
 
 
@@ -217,9 +274,9 @@ def _ends(mask, begin, at, stack, declared, add, lang) -> None:
     """A declaration without a body, if the header mask[begin:at] is one."""
     if not mask[begin:at].strip():
         return
-    if stack[-1].kind == "type" or lang == "typescript":
+    if stack[-1].kind == "type" or (lang == "typescript" and stack[-1].kind != "object"):
         d = declared(at)
-        if d and d[0] == "body" and "=" not in _outside(mask[d[2] : at]):
+        if d and d[0] == "function" and "=" not in _outside(mask[d[2] : at]):
             add(d[1], d[2], at + 1)
 
 

@@ -276,3 +276,41 @@ def test_sliding_min(values, t):
     assert spans.sliding_min(h, t).tolist() == want
     low, begin, end = spans.compact_windows(h, t)
     assert all(min(values[b : e + 1]) == v and e - b + 1 >= t for v, b, e in zip(low.tolist(), begin.tolist(), end.tolist()))
+
+
+DOC = "/** Gives back what it is asked for. */ "
+
+
+def documented(text, lang):
+    text = text.replace("DOC", DOC)
+    assert syntax.parses(text, lang)
+    return {q: c for q, c, _ in docpairs.pairs(text, "x.ts", lang)}
+
+
+@pytest.mark.parametrize(
+    ("lang", "text", "names"),
+    [
+        ("typescript", "describe('x', () => {\n  DOC function helper() { return 1 }\n  it('y', function () { DOC function deep(a: { b: number }) {} })\n})\nDOC function next({ a }: X) {}\n", ["helper", "deep", "next"]),
+        ("typescript", "(function () { DOC function inner() {} })();", ["inner"]),
+        ("typescript", "foo(1, [() => { DOC function inner() {} }], class K extends B<C, D> { DOC m() {} });", ["inner", "m"]),
+        ("typescript", "const o = { a: 1, DOC load(x: number): { b: number } { return f({ x }) }, DOC async save() {}, in: { DOC get deep() { return 1 } } }", ["load", "save", "deep"]),
+        ("typescript", "function f() { return { DOC m() {} } }\nexport default { DOC n() {} }", ["f.m", "n"] ),
+        ("typescript", "use({ DOC m() {} }, { DOC n() { DOC function k() {} } })", ["m", "n", "n.k"]),
+        ("typescript", "namespace N.M { DOC export function f(a: number) {} class C { DOC m() {} } namespace I { DOC function g() {} } }", ["N.M.f", "N.M.C.m", "N.M.I.g"]),
+        ("typescript", "declare namespace N { DOC function f(): void; }", ["N.f"]),
+        ("typescript", "const K = class extends B { DOC m() {} }\nclass L { DOC @dec({ a: 1 }) n() {} }", ["m", "L.n"]),
+        ("java", "class A { Runnable r = new Runnable() { DOC public void run() { } }; DOC void last() {} }", ["A.run", "A.last"]),
+        ("java", "class A { void f() { call(1, new B<C, D>(x(), 2) { DOC @Override int m() { return 0; } }); DOC class L { DOC void n() {} } } }", ["A.f.m", "A.f.L.n"]),
+        ("java", "class A { void f() { run(() -> { class L { DOC void n() {} } }); if (a) { g(); } } }", ["A.f.L.n"]),
+        ("java", "enum E { DOC A, DOC B(1) { DOC void f() {} }, C; DOC E(int... x) {} DOC void g() {} }", ["E.f", "E.E", "E.g"]),
+    ],
+)
+def test_functions_inside_of_brackets_and_nameless_bodies(lang, text, names):
+    prefix = "" if lang == "java" else "x."
+    assert sorted(documented(text, lang)) == sorted(prefix + n for n in names)
+
+
+def test_calls_are_not_methods():
+    text = "switch (a) { case 1: { DOC foo(x); } default: { DOC bar(x) } }\nlabel: { DOC baz(x); }\nf(() => { DOC call(x); if (a) { g({}) } }, { a: 1, b: h(1) })\nconst g = (DOC function h() {})\nf(\n  DOC function k() {})\n"
+    assert not documented(text, "typescript")
+    assert documented("f(() => {\n  DOC function g() { return 1 }\n});", "typescript") == {"x.g": "function g() { return 1 }"}
