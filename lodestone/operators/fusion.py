@@ -11,12 +11,12 @@ RERANK_WEIGHTS = {"exact_symbol": 0.35, "qualified_symbol": 0.20, "token_overlap
 SOURCES = ("bm25", "vector", "graph")
 
 
-def fuse(branches: DataFrame, k: int = 10, rrf_k: int = RRF_K) -> DataFrame:
+def fuse(branches: DataFrame, k: int | None = 10, rrf_k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of (query_id, chunk_id, source, rank, score).
 
     One row per query and chunk: fused_score, its rank, sources in the order bm25, vector, graph, and rank and score by
     source. One aggregation takes the place of outer joins. A branch's repeated chunk counts by its best rank. Null
-    ranks are no result. Ties go by chunk_id.
+    ranks are no result. Ties go by chunk_id. k=None gives the whole list.
     """
     best = branches.where("rank is not null").groupBy("query_id", "chunk_id", "source").agg(F.min(F.struct("rank", "score")).alias("r"))
     at = {s: F.col("source") == s for s in SOURCES}
@@ -27,7 +27,8 @@ def fuse(branches: DataFrame, k: int = 10, rrf_k: int = RRF_K) -> DataFrame:
     )
     present = F.filter(F.array(*[F.when(F.col(f"{s}_rank").isNotNull(), F.lit(s)) for s in SOURCES]), lambda s: s.isNotNull())
     w = Window.partitionBy("query_id").orderBy(F.col("fused_score").desc(), "chunk_id")
-    return out.withColumn("sources", present).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = out.withColumn("sources", present).withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def rerank(fused: DataFrame, pool: int = 50, k: int = 10, weights: dict[str, float] = RERANK_WEIGHTS) -> DataFrame:

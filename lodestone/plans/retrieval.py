@@ -66,7 +66,7 @@ def _branches(r: DataFrame) -> DataFrame:
     return r.select("query_id", "chunk_id", each).select("query_id", "chunk_id", "b.source", "b.rank", F.col("b.rank").cast("double").alias("score")).where("rank is not null")
 
 
-def _fused(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
+def _fused(spark: SparkSession, d: str, k: int | None = 10) -> DataFrame:
     return fusion.fuse(_branches(_results(spark, d)), k)
 
 
@@ -91,13 +91,13 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.per_query(_fused(spark, d, 1000), _judged(spark, d), 5)
+    return metrics.per_query(_fused(spark, d, None), _judged(spark, d), 5)
 
 
 def quality_breakdown(spark: SparkSession, d: str) -> DataFrame:
     r = _results(spark, d)
     of = r.groupBy("query_id").agg(F.min("repository_id").alias("repository_id"), F.min("language").alias("language"))
-    m = metrics.per_query(fusion.fuse(_branches(r), 1000), _judged(spark, d), 5).join(of, "query_id")
+    m = metrics.per_query(fusion.fuse(_branches(r), None), _judged(spark, d), 5).join(of, "query_id")
     return metrics.breakdown(m, [["repository_id"], ["language"], []], ["precision", "recall", "hit_rate", "reciprocal_rank", "ndcg"])
 
 
@@ -106,8 +106,8 @@ def ablation(spark: SparkSession, d: str) -> DataFrame:
     b = cut_lineage(_branches(_results(spark, d)))
     judged = _judged(spark, d)
     systems = {s: b.where(F.col("source") == s).select("query_id", "chunk_id", "rank") for s in fusion.SOURCES} | {
-        "bm25+vector": fusion.fuse(b.where("source <> 'graph'"), 1000).select("query_id", "chunk_id", "rank"),
-        "all": fusion.fuse(b, 1000).select("query_id", "chunk_id", "rank"),
+        "bm25+vector": fusion.fuse(b.where("source <> 'graph'"), None).select("query_id", "chunk_id", "rank"),
+        "all": fusion.fuse(b, None).select("query_id", "chunk_id", "rank"),
     }
     out = None
     for name, ranked in systems.items():
