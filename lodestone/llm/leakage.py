@@ -1,18 +1,23 @@
 """Evaluation texts leaking into training text.
 
-Items and documents are cut into windows of ``words`` words, one at every word. The CGK random walk embeds a window so
-that few edits change few places; each repetition walks by its own random bits and hashes a sample of the places, so
-windows within a few edits collide in some repetition with high probability, and equal windows in every one. Every
-collision is verified by the exact edit distance over words.
+An item is looked for by its passages: all its runs of ``words`` words, or the whole item where it is shorter, so the
+windows of a document are as long as the items' passages. The CGK random walk embeds a window so that edit distance
+becomes Hamming distance: a random bit of the word under the pointer says whether the pointer moves on, so two windows
+meet again soon after an inserted, deleted or replaced word. Each repetition samples places of a walk and hashes the
+words that stood there; windows within a few edits collide in some repetition with high probability, equal windows in
+every one. A collision is verified word by word: the edit distance between the passage and the nearest of the document's
+windows of size - k .. size + k words that begin there.
 
-The items' windows are the query set: they come in blocks of a bounded number, each block broadcast, and every document
-meets every block; documents are read where they lie and nothing of them is shuffled but the (document, item) rows.
+Documents are read once, where they lie. The items' keys become a bit field of a bounded size, which alone is broadcast;
+what a document shuffles are the few windows with a key in it, and not even those while the items' keys are few enough
+to be broadcast as a whole. Items never reach the driver.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,155 +25,249 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import cut_lineage, spread
+
 WORDS = 13
-BLOCK_WINDOWS = 500_000
+MAX_EDITS = 1
+#: Walks, samples of each walk, and places a sample keeps of a window of WORDS words, all for one edit.
+WALKS, SAMPLES, PLACES = 12, 3, 12
+#: Rows of item keys up to which they are broadcast (about 150 bytes each); above, the join shuffles.
+BROADCAST_KEYS = 400_000
+#: The bit field has 16 bits a key, up to 2**MAX_BITS in all (32 MB); a fuller field lets more windows through, no fewer.
+MAX_BITS = 28
 STEP = 200_000
 _WORD = re.compile(r"[a-z0-9]+")
-_MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+_ODD = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(_MIX[0])
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(_MIX[1])
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(_ODD[0])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(_ODD[1])
     return x ^ (x >> np.uint64(31))
 
 
-class Embedding:
-    """One repetition: random bits for each step, and the places that are kept."""
-
-    def __init__(self, words: int, seed: int, sample: int):
-        rng = np.random.default_rng(seed)
-        self.words = words
-        self.steps = 3 * words
-        self.salt = rng.integers(1, 2**63, self.steps, dtype=np.int64).astype(np.uint64)
-        # The walk has seen about j / 2 words after j steps; later places are mostly padding.
-        self.kept = set(rng.choice(2 * words, min(sample, 2 * words), replace=False).tolist())
-        self.last = max(self.kept)
-
-    def keys(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The hash of the kept places of the windows of symbols that begin at starts."""
-        i = np.zeros(len(starts), dtype=np.int64)
-        key = np.full(len(starts), 0x9E3779B97F4A7C15, dtype=np.uint64)
-        for j in range(self.last + 1):
-            on = i < self.words
-            s = np.where(on, symbols[starts + np.minimum(i, self.words - 1)], np.uint64(0))
-            if j in self.kept:
-                key = _mix(key ^ s) + np.uint64(j)
-            i += on & (((s ^ self.salt[j]) * np.uint64(_MIX[1])) >> np.uint64(63)).astype(bool)
-        return key
-
-
-def edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Edit distance between the rows of a and those of b, all of one length."""
+class Walks:
+    """The repetitions for windows of one size: random bits for each walk, and the places each sample keeps."""
+
+    def __init__(self, size: int, walks: int, samples: int, sample: int, seed: int):
+        rng = np.random.default_rng((seed, size))
+        self.size = size
+        # After j steps a pointer has passed about j / 2 words; later places mostly lie behind the window.
+        reach = max(1, 5 * size // 3)
+        odd = lambda n: rng.integers(1, 2**63, n, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+        self.salts = odd(walks * (1 + reach // 64)).reshape(walks, -1)
+        self.kept: list[list[dict[int, np.uint64]]] = []
+        for _ in range(walks):
+            places = [rng.choice(reach, min(sample, reach), replace=False) for _ in range(samples)]
+            self.kept.append([dict(zip(p.tolist(), odd(len(p)))) for p in places])
+        self.marks = odd(walks * samples)
+
+    def keys(self, symbols: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+        """Each sample's keys of the windows of symbols that begin at starts; symbols end with a 0 more than the last window."""
+        end = starts + self.size
+        for w, samples in enumerate(self.kept):
+            at = starts.copy()
+            sums = [np.zeros(len(starts), dtype=np.uint64) for _ in samples]
+            for j in range(max(max(s) for s in samples) + 1):
+                if j % 64 == 0:
+                    bits = _mix(symbols ^ self.salts[w, j // 64])
+                seen = bits[at]
+                if any(j in s for s in samples):
+                    here = np.where(at < end, seen, np.uint64(0))
+                    for total, s in zip(sums, samples):
+                        if j in s:
+                            total += here * s[j]
+                at += ((seen >> np.uint64(j % 64)) & np.uint64(1)).view(np.int64)
+                np.minimum(at, end, out=at)
+            for k, total in enumerate(sums):
+                yield _mix(total ^ self.marks[w * len(samples) + k])
+
+
+@lru_cache(maxsize=64)
+def repetitions(size: int, max_edits: int, seed: int) -> Walks:
+    """Those of the operator: with k edits k times as many walks, each sample keeping fewer places."""
+    k = max(1, max_edits)
+    return Walks(size, WALKS * k, SAMPLES, max(2, PLACES * size // WORDS // k), seed)
+
+
+def edits(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """For each row the least edit distance between a's and the first w - most .. w + most of b, w the width of a.
+
+    Only the band of 2 * most + 1 diagonals is filled, which is exact up to most; farther rows come out above it.
+    """
     n, w = a.shape
-    row = np.broadcast_to(np.arange(w + 1), (n, w + 1)).copy()
-    for x in range(w):
-        before = row.copy()
-        row[:, 0] = x + 1
-        for y in range(w):
-            row[:, y + 1] = np.minimum(np.minimum(before[:, y + 1], row[:, y]) + 1, before[:, y] + (a[:, x] != b[:, y]))
-    return row[:, w]
-
-
-def _symbols(texts: list[str | None], words: int, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes of all texts in a row, the windows' starts, the text of each window)."""
-    flat: list[int] = []
-    starts, owner, at = [], [], 0
-    for k, t in enumerate(texts):
-        found = _WORD.findall(t.lower()) if t else ()
-        for w in found:
-            h = cache.get(w)
+    far, width = most + 1, 2 * most + 1
+    # band[k]: the distance between a's first x and b's first x + k - most
+    band = [np.full(n, abs(k - most) if k >= most else far) for k in range(width)]
+    for x in range(1, w + 1):
+        last: list[np.ndarray] = []
+        for k in range(width):
+            y = x + k - most
+            if y < 0 or y > b.shape[1]:
+                last.append(np.full(n, far))
+                continue
+            best = band[k] + (a[:, x - 1] != b[:, y - 1]) if y else np.full(n, x)
+            if k + 1 < width:
+                best = np.minimum(best, band[k + 1] + 1)
+            if k:
+                best = np.minimum(best, last[k - 1] + 1)
+            last.append(best)
+        band = last
+    return np.minimum.reduce(band)
+
+
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
+
+
+class _Symbols:
+    """Hashes of words, with those met before kept at hand."""
+
+    def __init__(self):
+        self.cache: dict[str, int] = {}
+
+    def __call__(self, words: list[str]) -> list[int]:
+        if len(self.cache) > 500_000:
+            self.cache.clear()
+        c, out = self.cache, []
+        for w in words:
+            h = c.get(w)
             if h is None:
-                if len(cache) > 500_000:
-                    cache.clear()
-                h = cache[w] = xxhash.xxh64_intdigest(w) | 1
-            flat.append(h)
-        n = len(found) - words + 1
-        if n > 0:
-            starts.append(np.arange(at, at + n))
-            owner.append(np.full(n, k))
-        at += len(found)
-    none = np.zeros(0, dtype=np.int64)
-    return np.array(flat, dtype=np.uint64), np.concatenate(starts) if starts else none, np.concatenate(owner) if owner else none
-
-
-def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """first[0], first[0] + 1, .. n[0] of them, then those of first[1]."""
-    return np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-
-
-def _collisions(embeddings, tables, symbols: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(window, item window) of every collision, about STEP pairs at a time."""
-    for e, (keys, place) in zip(embeddings, tables):
-        k = e.keys(symbols, starts)
-        left = np.searchsorted(keys, k, "left")
-        near = np.flatnonzero((left < len(keys)) & (keys[np.minimum(left, len(keys) - 1)] == k))
-        n = np.searchsorted(keys, k[near], "right") - left[near]
-        part = np.cumsum(n) // STEP
-        for p in np.unique(part):
-            on = part == p
-            yield np.repeat(near[on], n[on]), place[_ranges(left[near][on], n[on])]
-
-
-def _searched(block, words: int, max_edits: int, embeddings: list[Embedding]):
+                h = c[w] = xxhash.xxh64_intdigest(w) | 1
+            out.append(h)
+        return out
+
+
+def _passages(words: int, min_words: int):
+    """(item_id, size, passage): every passage of every item."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, windows, tables = block.value
-        every = np.arange(words)
-        cache: dict[str, int] = {}
         for b in batches:
-            docs = b["doc_id"].to_numpy()
-            symbols, starts, owner = _symbols(list(b["text"]), words, cache)
-            parts = []
-            for lo in range(0, len(starts), STEP):
-                s, o = starts[lo : lo + STEP], owner[lo : lo + STEP]
-                for near, items in _collisions(embeddings, tables, symbols, s):
-                    pair = np.unique(np.stack([near, items], 1), axis=0)
-                    d = edits(symbols[s[pair[:, 0]][:, None] + every], windows[pair[:, 1]])
-                    good = d <= max_edits
-                    pair, d = pair[good], d[good]
-                    parts.append(pd.DataFrame({"doc_id": docs[o[pair[:, 0]]], "item_id": ids[pair[:, 1]], "w": s[pair[:, 0]], "edits": d}))
-            if parts:
-                hit = pd.concat(parts)
-                yield hit.groupby(["doc_id", "item_id"], as_index=False).agg(n_windows=("w", "nunique"), least_edits=("edits", "min"))
+            out = []
+            for item, text in zip(b["item_id"], b["text"]):
+                found = words_of(text)
+                size = min(words, len(found))
+                if found and size >= min_words:
+                    out.extend((item, size, " ".join(found[s : s + size])) for s in range(len(found) - size + 1))
+            yield pd.DataFrame(out, columns=["item_id", "size", "passage"])
 
     return run
 
 
+def _passage_keys(max_edits: int, seed: int):
+    """(key, passage_id, size, passage) of every repetition."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashed = _Symbols()
+        for b in batches:
+            for size, g in b.groupby("size"):
+                symbols = np.array([*(h for p in g["passage"] for h in hashed(p.split(" "))), 0], dtype=np.uint64)
+                for key in repetitions(int(size), max_edits, seed).keys(symbols, np.arange(len(g)) * int(size)):
+                    yield g.assign(key=key.view(np.int64))
+
+    return run
+
+
+def _met(field, sizes: list[int], max_edits: int, seed: int):
+    """(key, doc_id, at, window) of every window whose key is in the bit field, with max_edits words more than the passage."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = field.value
+        mask = np.uint64(len(bits) - 1)
+        hashed = _Symbols()
+        for b in batches:
+            found = [words_of(t) for t in b["text"]]
+            # Each text is followed by max_edits zeros, for windows that a deletion left shorter; one more ends them all.
+            flat: list[int] = []
+            first = []
+            for f in found:
+                first.append(len(flat))
+                flat.extend(hashed(f))
+                flat.extend([0] * max_edits)
+            symbols = np.array([*flat, 0], dtype=np.uint64)
+            for size in sizes:
+                n = np.array([max(0, len(f) - size + 1 + max_edits) if f else 0 for f in found])
+                owner = np.repeat(np.arange(len(found)), n)
+                starts = np.repeat(np.array(first) - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+                for lo in range(0, len(starts), STEP):
+                    s, o = starts[lo : lo + STEP], owner[lo : lo + STEP]
+                    for key in repetitions(size, max_edits, seed).keys(symbols, s):
+                        word = bits[((key >> np.uint64(6)) & mask).view(np.int64)]
+                        hit = np.flatnonzero((word >> (key & np.uint64(63))) & (word >> (key >> np.uint64(58))) & np.uint64(1))
+                        if len(hit):
+                            at = s[hit] - np.array(first)[o[hit]]
+                            windows = [" ".join(found[k][a : a + size + max_edits]) for k, a in zip(o[hit], at)]
+                            yield pd.DataFrame({"key": key[hit].view(np.int64), "doc_id": b["doc_id"].to_numpy()[o[hit]], "at": at, "window": windows})
+
+    return run
+
+
+def _numbered(texts: pd.Series, width: int, number: dict[str, int]) -> np.ndarray:
+    """A row of word numbers a text, -1 behind its end; each distinct text is split once."""
+    which, distinct = pd.factorize(texts)
+    out = np.full((len(distinct), width), -1, dtype=np.int64)
+    for k, t in enumerate(distinct):
+        got = [number.setdefault(w, len(number)) for w in t.split(" ")]
+        out[k, : len(got)] = got
+    return out[which]
+
+
+def _verified(max_edits: int):
+    """(doc_id, passage_id, at, edits): collisions whose words are within max_edits edits."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.drop_duplicates(["doc_id", "at", "passage_id", "window"])
+            number: dict[str, int] = {}
+            for size, g in b.groupby("size"):
+                e = edits(_numbered(g["passage"], int(size), number), _numbered(g["window"], int(size) + max_edits, number), max_edits)
+                good = e <= max_edits
+                yield g.loc[good, ["doc_id", "passage_id", "at"]].assign(edits=e[good])
+
+    return run
+
+
+def _bit_field(keys: DataFrame, n: int) -> np.ndarray:
+    """Two bits a key in one of at most 2**MAX_BITS / 64 words. Only the words that hold a bit are brought here."""
+    size = 1 << min(MAX_BITS, max(10, (16 * n).bit_length())) - 6
+    word = F.shiftrightunsigned("key", 6).bitwiseAND(F.lit(size - 1))
+    bits = F.expr("shiftleft(1L, cast(key & 63 as int)) | shiftleft(1L, cast(shiftrightunsigned(key, 58) as int))")
+    rows = keys.select(word.alias("w"), bits.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(size, dtype=np.uint64)
+    out[rows["w"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
+
+
 def leaks(
-    documents: DataFrame, items: DataFrame, words: int = WORDS, max_edits: int = 0, repetitions: int | None = None, sample: int | None = None, seed: int = 11, block_windows: int = BLOCK_WINDOWS
+    documents: DataFrame, items: DataFrame, words: int = WORDS, max_edits: int = MAX_EDITS, min_words: int | None = None, seed: int = 11, broadcast_keys: int = BROADCAST_KEYS
 ) -> DataFrame:
-    """(doc_id, item_id, n_windows, least_edits): every document with a window within max_edits of one of the item.
+    """(doc_id, item_id, n_windows, least_edits): every document with a window within max_edits of a passage of the item.
 
-    Words are maximal runs of a-z and 0-9 in the lower-cased text. n_windows: the document's windows that match.
-    With max_edits 0 one repetition finds every case; above, 16 * max_edits repetitions over samples of half as many
-    places as words reach a recall above 0.9 (measured in the tests). Texts that are null, empty or shorter than a window
-    have none; an item of fewer words can't be a case. Equal rows of a document or item count once in the result,
-    the greatest n_windows holding. Empty tables give no rows.
+    Words are maximal runs of a-z and 0-9 in the lower-cased text. A passage has ``words`` words; an item with fewer is
+    one passage as a whole if it has min_words (none given: words), else it can't be a case. n_windows: the places in
+    the document where a match begins. A pair with least_edits 0 is always found, as equal windows collide in every
+    repetition; of windows one or two edits from a passage, inserted and deleted words included, more than 0.9 are
+    found one by one (asserted by the tests over all edited windows; measured 0.97 and 0.99), and a document mostly has
+    several. Texts that are
+    null, empty or shorter than a window have none. Equal rows of a document or item count once; rows of one doc_id
+    with other texts add their places. Null ids are no rows. Empty tables give no rows.
     """
-    repetitions = repetitions or max(1, 16 * max_edits)
-    sample = sample or (words if not max_edits else max(3, words // 2))
-    embeddings = [Embedding(words, seed + r, sample) for r in range(repetitions)]
     spark = documents.sparkSession
     asked = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    # A block's windows are bounded by its characters: a word and its gap take two of them at least.
-    chars = asked.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // (2 * block_windows)))
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    out = None
-    for k in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        symbols, starts, owner = _symbols([r["text"] for r in rows], words, {})
-        if not len(starts):
-            continue
-        ids = np.array([r["item_id"] for r in rows], dtype=np.int64)[owner]
-        tables = []
-        for e in embeddings:
-            keys = e.keys(symbols, starts)
-            place = np.argsort(keys, kind="stable")
-            tables.append((keys[place], place))
-        block = spark.sparkContext.broadcast((ids, symbols[starts[:, None] + np.arange(words)], tables))
-        found = docs.mapInPandas(_searched(block, words, max_edits, embeddings), "doc_id bigint, item_id bigint, n_windows bigint, least_edits bigint")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    owned = cut_lineage(
+        asked.mapInPandas(_passages(words, words if min_words is None else min_words), "item_id bigint, size int, passage string").distinct()
+    )
+    passages = cut_lineage(owned.select("size", "passage").distinct().withColumn("passage_id", F.monotonically_increasing_id()))
+    keys = cut_lineage(passages.mapInPandas(_passage_keys(max_edits, seed), "key bigint, passage_id bigint, size int, passage string").distinct())
+    sizes = sorted((r["size"], r["n"]) for r in keys.groupBy("size").agg(F.count("*").alias("n")).collect())  # at most `words` sizes
+    n = sum(k for _, k in sizes)
+    if not n:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, n_windows bigint, least_edits bigint")
-    return out.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.min("least_edits").alias("least_edits"))
+    field = spark.sparkContext.broadcast(_bit_field(keys, n))
+    met = spread(docs).mapInPandas(_met(field, [s for s, _ in sizes], max_edits, seed), "key bigint, doc_id bigint, at bigint, window string")
+    near = met.join(F.broadcast(keys) if n <= broadcast_keys else keys, "key")
+    close = near.mapInPandas(_verified(max_edits), "doc_id bigint, passage_id bigint, at bigint, edits bigint")
+    found = close.join(passages.join(owned, ["size", "passage"]).select("passage_id", "item_id"), "passage_id")
+    places = found.groupBy("doc_id", "item_id", "at").agg(F.min("edits").alias("edits"))
+    return places.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"), F.min("edits").alias("least_edits"))

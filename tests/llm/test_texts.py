@@ -211,32 +211,58 @@ def test_leaks_match_brute_force(spark):
 
     want = {(d, i) for d, t, *_ in docs for i, u, _ in items if i is not None and grams(t) & grams(u)}
     D, I = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
-    for block in (500_000, 300):
-        got = leakage.leaks(D, I, block_windows=block)
-        assert {(r.doc_id, r.item_id) for r in got.collect()} == want and got.count() == len(want)
-    near = {(r.doc_id, r.item_id): r.least_edits for r in leakage.leaks(D, I, max_edits=1).collect()}
-    assert {k for k, e in near.items() if e == 0} == want
+    for edits, most in ((0, 500_000), (0, 10), (1, 500_000), (1, 10)):
+        got = leakage.leaks(D, I, max_edits=edits, broadcast_keys=most)
+        rows = [(r.doc_id, r.item_id) for r in got.where("least_edits = 0").collect()]
+        assert set(rows) == want and len(rows) == len(want)
     assert leakage.leaks(spark.createDataFrame([], DOCS), I).count() == 0 and leakage.leaks(D, spark.createDataFrame([], ITEMS)).count() == 0
 
 
+def edited(words, k, rng, fresh):
+    """words after k edits: insertions, deletions and replacements by new words."""
+    out = list(words)
+    for _ in range(k):
+        kind = rng.randrange(3)
+        at = rng.randrange(kind == 0, len(out))  # a word put in front would leave the passage whole
+        out[at : at + (kind > 0)] = [] if kind == 1 else [next(fresh)]
+    return out
+
+
 @pytest.mark.parametrize("k", [1, 2])
-def test_edit_recall(k):
-    rng = np.random.default_rng(k)
-    a = rng.integers(1, 2**62, (1500, 13)).astype(np.uint64)
-    b = a.copy()
-    for row in b:
-        x = row.tolist()
-        for _ in range(k):
-            i = int(rng.integers(13))
-            x[i : i + int(rng.integers(2))] = [int(rng.integers(1, 2**62))]
-        row[:] = np.array(x[:13], dtype=np.uint64)
-    d = leakage.edits(a, b)
-    at = np.arange(len(a)) * 13
-    hit = np.zeros(len(a), bool)
-    for r in range(16 * k):
-        e = leakage.Embedding(13, 11 + r, 6)
-        hit |= e.keys(a.ravel(), at) == e.keys(b.ravel(), at)
-    assert hit[d <= k].mean() > 0.9
+def test_edit_recall(spark, k):
+    """Of all edited windows, insertions and deletions too, each in a document of its own, at least 0.9 are found."""
+    rng, fresh = random.Random(k), iter(f"n{i}" for i in range(10**6))
+    items = [(i, " ".join(next(fresh) for _ in range(13)), "") for i in range(800)]
+    docs = [(i, " ".join([*(next(fresh) for _ in range(20)), *edited(t.split(), k, rng, fresh), *(next(fresh) for _ in range(20))]), "", "") for i, t, _ in items]
+    got = {(r.doc_id, r.item_id): r.least_edits for r in leakage.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), max_edits=k).collect()}
+    assert all(a == b for a, b in got) and all(1 <= e <= k for e in got.values())
+    assert len(got) >= 0.9 * len(items)
+
+
+def test_items_shorter_than_a_passage_are_windows_of_their_own(spark):
+    items = [(1, "alpha beta gamma delta epsilon", ""), (2, "one two", "")]
+    docs = [(1, "x Alpha, beta gamma-delta epsilon y", "", ""), (2, "alpha beta gamma delta epsilon", "", ""), (3, "one two", "", ""), (4, "alpha beta gamma new delta epsilon", "", ""), (5, "beta gamma delta epsilon", "", "")]
+    D, I = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    got = {(r.doc_id, r.item_id): r.least_edits for r in leakage.leaks(D, I, min_words=3).collect()}
+    assert got.items() >= {(1, 1): 0, (2, 1): 0}.items() and set(got) <= {(k, 1) for k in (1, 2, 4, 5)} and leakage.leaks(D, I).count() == 0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=4, max_size=4), st.lists(st.integers(0, 3), min_size=0, max_size=6), st.integers(0, 2))
+def test_banded_edits(a, b, most):
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, u in enumerate(x, 1):
+            new = [i]
+            for j, v in enumerate(y, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (u != v)))
+            row = new
+        return row[-1]
+
+    wide = (b + [-1] * 6)[: 4 + most]
+    want = min(distance(a, wide[:n]) for n in range(max(0, 4 - most), 4 + most + 1))
+    got = int(leakage.edits(np.array([a]), np.array([wide]), most)[0])
+    assert got == want if want <= most else got > most
 
 
 def brute_pairs(docs, n):
