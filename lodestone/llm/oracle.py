@@ -28,6 +28,13 @@ f AS (SELECT *, CASE WHEN n = 1 THEN 1.0 ELSE (3.0 * n - rb - rv - rg) / ((n - 1
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS fr FROM f)
 """
 
+_SPANS = """
+WITH cut AS (
+  SELECT doc_id, i, substr(text, i, 300) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)),
+g AS (SELECT DISTINCT doc_id, s FROM cut),
+m AS (SELECT s FROM (SELECT s, count(*) AS n FROM g GROUP BY 1) WHERE n > 1)
+"""
+
 SQL = {
     "p2_found": _ITEMS + "SELECT DISTINCT q AS query_id, c AS candidate_id FROM item JOIN cap USING (config_id) WHERE size > capacity",
     "p3_found": _RANKS + "SELECT query_id, chunk_id FROM ranked WHERE rb = 1 AND rv = 1 AND rg = 1 AND b IS NOT NULL AND v IS NOT NULL AND g IS NOT NULL",
@@ -50,9 +57,11 @@ WITH t AS (SELECT lower(trim(source)) AS source, max(target_share) AS share, max
 d AS (SELECT lower(trim(source)) AS source, sum(coalesce(length(text), 0)) AS size FROM documents GROUP BY 1),
 x AS (SELECT t.source, share, reps, coalesce(size, 0) AS size FROM t LEFT JOIN d USING (source))
 SELECT source FROM x WHERE size * reps < share * (SELECT sum(size) FROM x)""",
-    "p10_found": """
-WITH g AS (
-  SELECT DISTINCT doc_id, substr(text, i, 300) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)),
-m AS (SELECT s FROM (SELECT s, count(*) AS n FROM g GROUP BY 1) WHERE n > 1)
-SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN m USING (s) JOIN g b ON b.s = a.s AND a.doc_id < b.doc_id""",
+    "p10_found": _SPANS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN m USING (s) JOIN g b ON b.s = a.s AND a.doc_id < b.doc_id",
+    "p10_shares": _SPANS
+    + """, t AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300),
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, length(text) AS n_chars, count(*) OVER (PARTITION BY text) AS n_copies FROM t),
+hit AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM cut JOIN m USING (s)),
+cov AS (SELECT doc_id, sum(least(300, coalesce(j - i, 300)))::BIGINT AS chars FROM hit GROUP BY 1)
+SELECT doc_id, class_id, n_chars, n_copies, coalesce(chars, 0) AS shared_chars, round(coalesce(chars, 0) / n_chars, 6) AS shared_share FROM c LEFT JOIN cov USING (doc_id)""",
 }

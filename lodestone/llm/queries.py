@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import borda as b
 from lodestone.llm import docpairs, leakage, mixture, packing, spans, syntax
 from lodestone.llm.oracle import SQL  # noqa: F401  (read by the entry module)
-from lodestone.session import cut_lineage, table
+from lodestone.session import table
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
@@ -87,8 +87,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
-    classes, links = spans.shared_spans(table(spark, d, "documents"))
-    return spans.shared_shares(classes, cut_lineage(links))
+    return spans.shared_shares(*spans.shared_spans(table(spark, d, "documents")))
 
 
 QUERIES = {

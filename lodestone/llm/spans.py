@@ -1,13 +1,21 @@
 """Long exact spans shared between records.
 
-A text's tokens are its character q-grams, hashed. Of the Cartesian tree over the hashes, each node of a width of at
-least ``t`` q-grams is a *compact window*: all its subsequences of that length that cover the node share the node's
-hash as their minimum. Two texts with a common substring of t + q - 1 characters share a subsequence of t q-grams, so
-its minimum, so the hash of a compact window in each: one hash function finds every exact case. The windows are read off
-as runs of equal sliding minima, in linear time for any text; there are about 2n / t of them.
-
-Windows are joined by hash. The candidates' texts are then compared exactly, by all their substrings of that length.
-Texts are taken once per class of exact copies, so a group of copies costs as much as one text.
+A text's tokens are its character q-grams, hashed. Of the Cartesian tree over the hashes, each node (a q-gram that is
+smaller than all others from one side of it to the other) is a *compact window*: all subsequences of t q-grams inside of
+it that hold the node share its hash as their minimum. Their starts form one interval, so the tree's nodes that are wide
+enough are read off as the runs of equal places in the sliding minimum, in linear time for any text.
+
+1. Under each of ``HASHES`` hash functions every start lies in one window. *Interval join* within a text: where the
+   windows of all functions overlap, the starts share the whole signature, that is all minima and their distances.
+   Two texts with a common substring of t + q - 1 characters have a run of starts with the same signature each.
+2. *Interval join* between texts: runs with one signature, laid over each other at their first minimum. Runs of equal
+   extent and text are one class, so a passage copied into a million records is one row from here on; where classes of
+   one signature differ in extent (at a copy's ends), they meet start by start.
+3. *Verification*: each member's characters are compared with those of its class, and those of a class with the
+   smallest one that it meets; rows for that are in proportion to the runs, never to pairs.
+
+Texts are taken once per class of exact copies. Links stay in the form of groups (with their members), since a
+group of n records stands for n * (n - 1) / 2 pairs; ``document_pairs`` writes them out.
 """
 
 from __future__ import annotations
@@ -19,12 +27,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.session import cut_lineage
+from lodestone.session import cut_lineage, spread
 
 SPAN = 300
 Q = 100
+HASHES = 3
 _B = 0x5851F42D4C957F2D  # odd, so it has an inverse
 _B_INV = pow(_B, -1, 2**64)
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+#: Places are kept in the low bits of a hash while minima are taken, so longer texts go in pieces that overlap.
+PLACE_BITS = 20
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -35,22 +47,34 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Roller:
-    """Hashes of all substrings of one length, modulo 2**64."""
+    """Hashes of substrings of one text, modulo 2**64."""
 
     def __init__(self):
         self.up, self.down = _powers(_B, 0), _powers(_B_INV, 0)
 
-    def __call__(self, codes: np.ndarray, length: int) -> np.ndarray:
+    def read(self, codes: np.ndarray) -> None:
         n = len(codes)
-        if n < length:
-            return np.zeros(0, dtype=np.uint64)
         if len(self.up) < n:
             self.up, self.down = _powers(_B, 2 * n), _powers(_B_INV, 2 * n)
-        p = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(7)) * self.down[:n], out=p[1:])
-        h = (p[length:] - p[:-length]) * self.up[: n - length + 1]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(32))
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(7)) * self.down[:n], out=self.sums[1:])
+
+    def at(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash of each [begin, end) of the text read last."""
+        return mixed((self.sums[end] - self.sums[begin]) * self.up[begin])
+
+    def __call__(self, codes: np.ndarray, length: int) -> np.ndarray:
+        """Those of all substrings of one length."""
+        if len(codes) < length:
+            return np.zeros(0, dtype=np.uint64)
+        self.read(codes)
+        begin = np.arange(len(codes) - length + 1)
+        return self.at(begin, begin + length)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(_ODD[3])
+    return h ^ (h >> np.uint64(32))
 
 
 def codes(text: str) -> np.ndarray:
@@ -69,75 +93,99 @@ def sliding_min(h: np.ndarray, t: int) -> np.ndarray:
     return np.minimum(suffix[: n - t + 1], prefix[t - 1 : n])
 
 
-def compact_windows(h: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, last q-gram) of every compact window of at least t q-grams."""
-    low = sliding_min(h, t)
-    if not len(low):
+def compact_windows(h: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place, first, last) of every compact window of at least t hashes, in order.
+
+    first .. last are the starts of the sequences of t hashes that lie in the window and hold its minimum, which stands
+    at place: the first one, where equal hashes repeat. Each start belongs to one window.
+    """
+    bits = np.uint64(2**PLACE_BITS - 1)
+    parts = []
+    for lo in range(0, max(1, len(h) - t + 1), 2**PLACE_BITS - t):
+        x = h[lo : lo + 2**PLACE_BITS - 1]
+        low = sliding_min((x & ~bits) | np.arange(len(x), dtype=np.uint64), t)
+        if len(low):
+            begin = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+            end = np.concatenate([begin[1:], [len(low)]]) - 1
+            parts.append((low[begin] & ~bits, (low[begin] & bits).astype(np.int64) + lo, begin + lo, end + lo))
+    if not parts:
         none = np.zeros(0, dtype=np.int64)
-        return low, none, none
-    begin = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    end = np.concatenate([begin[1:], [len(low)]]) - 1
-    return low[begin], begin, end + t - 1
+        return h[:0], none, none, none
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
 
+def signed_runs(h: np.ndarray, t: int, hashes: int = HASHES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, place, first, last): the interval join of the compact windows under all hash functions.
 
-def _windows(span: int, q: int):
+    place is that of the first function's minimum; the signature holds all minima and the others' distances from it.
+    """
+    views = [compact_windows(mixed(h * np.uint64(_ODD[k % 4] + 2 * (k // 4))), t) for k in range(hashes)]
+    first = np.unique(np.concatenate([v[2] for v in views]))
+    last = np.concatenate([first[1:] - 1, [len(h) - t]]) if len(first) else first
+    sign, place = np.zeros(len(first), dtype=np.uint64), None
+    for v in views:
+        on = np.searchsorted(v[2], first, "right") - 1
+        place = v[1][on] if place is None else place
+        sign = mixed(sign * np.uint64(_ODD[0]) + v[0][on]) + (v[1][on] - place).astype(np.uint64) * np.uint64(_ODD[1])
+    return mixed(sign), place if place is not None else first, first, last
+
+
+def _runs(span: int, q: int, hashes: int):
+    """(doc_id, sign, run, first, last, low) of every run; run names its extent and text."""
     t = span - q + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         roll = Roller()
         for b in batches:
-            who, what = [], []
+            parts = []
             for d, text in zip(b["doc_id"], b["text"]):
-                v = np.unique(compact_windows(roll(codes(text), q), t)[0])
-                who.append(np.full(len(v), d, dtype=np.int64))
-                what.append(v.view(np.int64))
-            yield pd.DataFrame({"doc_id": np.concatenate(who), "hash": np.concatenate(what)})
+                sign, place, first, last = signed_runs(roll(codes(text), q), t, hashes)
+                name = roll.at(first, last + span) * np.uint64(_ODD[1]) + sign + (first - place).view(np.uint64) * np.uint64(_ODD[2]) + (last - place).view(np.uint64)
+                parts.append((np.full(len(sign), d, dtype=np.int64), sign.view(np.int64), mixed(name).view(np.int64), first, last, first - place))
+            if parts:
+                yield pd.DataFrame(dict(zip(("doc_id", "sign", "run", "first", "last", "low"), (np.concatenate(x) for x in zip(*parts)))))
 
     return run
 
 
-def common(a: str, b: str, span: int, roll: Roller) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """The stretches of a, and those of b, made of substrings of span characters that the other has too."""
-    x, y = codes(a), codes(b)
-    h, g = roll(x, span), roll(y, span)
-    both = np.intersect1d(h, g)
-    if not len(both):
-        return [], []
-    i, j = np.flatnonzero(np.isin(h, both)), np.flatnonzero(np.isin(g, both))
-    order = np.argsort(g[j], kind="stable")
-    at = j[order][np.searchsorted(g[j][order], h[i])]
-    if not all(np.array_equal(x[p : p + span], y[r : r + span]) for p, r in zip(i[_edges(i)], at[_edges(i)])):
-        sure = {a[p : p + span] for p in i} & {b[p : p + span] for p in j}  # a hash collided
-        i = np.array([p for p in i if a[p : p + span] in sure], dtype=np.int64)
-        j = np.array([p for p in j if b[p : p + span] in sure], dtype=np.int64)
-    return _stretches(i, span), _stretches(j, span)
-
+def _starts(span: int):
+    """(sign, run, key, at): each start of the runs of a text, at places from its first; key names what begins there."""
 
-def _edges(at: np.ndarray) -> np.ndarray:
-    """Places in at whose substrings cover all others': every run's ends, and steps within it."""
-    run = np.concatenate([[True], np.diff(at) > 1])
-    return np.flatnonzero(run | np.concatenate([run[1:], [True]]) | (np.arange(len(at)) % 150 == 0))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        roll = Roller()
+        for b in batches:
+            for text, runs in zip(b["text"], b["runs"]):
+                roll.read(codes(text))
+                name = np.array([r["run"] for r in runs], dtype=np.int64)
+                sign = np.array([r["sign"] for r in runs], dtype=np.int64).view(np.uint64)
+                first, last, low = (np.array([r[k] for r in runs], dtype=np.int64) for k in ("first", "last", "low"))
+                n = last - first + 1
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                begin = np.repeat(first, n) + at
+                key = roll.at(begin, begin + span) * np.uint64(_ODD[2]) + np.repeat(sign, n) + (np.repeat(low, n) + at).view(np.uint64) * np.uint64(_ODD[0])
+                yield pd.DataFrame({"sign": np.repeat(sign.view(np.int64), n), "run": np.repeat(name, n), "key": mixed(key).view(np.int64), "at": at})
 
+    return run
 
-def _stretches(at: np.ndarray, span: int) -> list[tuple[int, int]]:
-    if not len(at):
-        return []
-    cut = np.flatnonzero(np.diff(at) > span)
-    return list(zip(at[np.concatenate([[0], cut + 1])].tolist(), (at[np.concatenate([cut, [len(at) - 1]])] + span).tolist()))
 
+def _same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id) of the links whose characters differ."""
+    for b in batches:
+        bad = [
+            i
+            for x, y, links in zip(b["x"], b["y"], b["links"])
+            for i, p, r, n in ((k["id"], k["p"], k["r"], k["n"]) for k in links)
+            if x[p : p + n] != y[r : r + n]
+        ]
+        yield pd.DataFrame({"id": np.array(bad, dtype=np.int64)})
 
-def _verified(span: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        roll = Roller()
-        for batch in batches:
-            out = []
-            for a, b, x, y in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"]):
-                i, j = common(x, y, span, roll)
-                if i:
-                    out.append((a, b, [{"begin": s, "end": e} for s, e in i], [{"begin": s, "end": e} for s, e in j]))
-            yield pd.DataFrame(out, columns=["a", "b", "spans_a", "spans_b"])
 
-    return run
+def _differing(links: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id) of links (id, a, p, b, r, n) where n characters of a's text from p aren't those of b's from r."""
+    by = links.groupBy("a", "b").agg(F.collect_list(F.struct("id", "p", "r", "n")).alias("links"))  # bounded by the runs of one text
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
+    return by.join(left, "a").join(right, "b").select("x", "y", "links").mapInPandas(_same, "id bigint")
 
 
 def copy_classes(documents: DataFrame, span: int = SPAN) -> DataFrame:
@@ -148,34 +196,77 @@ def copy_classes(documents: DataFrame, span: int = SPAN) -> DataFrame:
     return rows.join(first, "digest").select("doc_id", "class_id", "n_chars").distinct()
 
 
-def shared_spans(documents: DataFrame, span: int = SPAN, q: int = Q) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): copy_classes(), and (a, b, spans_a, spans_b) between classes a < b that share a span.
+def shared_spans(documents: DataFrame, span: int = SPAN, q: int = Q, hashes: int = HASHES) -> tuple[DataFrame, DataFrame]:
+    """(classes, groups): copy_classes(), and (sign, span_id, class_id, begin, end): the members of every shared span.
+
+    A group, named by sign and span_id, is a text of at least span characters that stands in more than one class of exact copies, its members the
+    places [begin, end) where it does. Two classes share a span if and only if they have a group in common. Compared
+    exactly, code point by code point, without any folding. Null texts and texts of fewer than span characters have no
+    span; a doc_id that comes again with the same text counts once. Empty tables give no rows.
 
-    spans_a: the stretches [begin, end) of a's text made of substrings of span code points that b has too. Compared
-    exactly, without any folding. Null texts and texts of fewer than span characters have no span; a doc_id that comes
-    again with the same text counts once. Empty tables give no rows.
+    Runs are told apart by 128 bits (signature and name) before their characters are compared; a run whose characters
+    then differ from its class's is left out.
     """
     classes = cut_lineage(copy_classes(documents, span))
     firsts = classes.where("doc_id = class_id").select("doc_id")
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") >= span)
-    marks = texts.mapInPandas(_windows(span, q), "doc_id bigint, hash bigint").join(firsts, "doc_id", "left_semi").distinct()
-    marks = cut_lineage(marks)
-    often = marks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    a = marks.join(often, "hash", "left_semi").select("hash", F.col("doc_id").alias("a"))
-    b = marks.select("hash", F.col("doc_id").alias("b"))
-    near = cut_lineage(a.join(b, "hash").where("a < b").select("a", "b").distinct())
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).dropDuplicates(["a"])
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).dropDuplicates(["b"])
-    kind = "a bigint, b bigint, spans_a array<struct<begin:int,end:int>>, spans_b array<struct<begin:int,end:int>>"
-    return classes, near.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(_verified(span), kind)
-
-
-def document_pairs(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id_a, doc_id_b), a < b: links between classes and copies within them, written out for every two documents."""
+    runs = spread(texts).mapInPandas(_runs(span, q, hashes), "doc_id bigint, sign bigint, run bigint, first bigint, last bigint, low bigint").join(firsts, "doc_id", "left_semi").distinct()
+    runs = cut_lineage(runs)
+    # Signatures of one document alone share nothing.
+    often = runs.groupBy("sign").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("sign")
+    shared = cut_lineage(runs.join(often, "sign", "left_semi").withColumn("id", F.monotonically_increasing_id()))
+    classed = shared.groupBy("sign", "run").agg(
+        F.min(F.struct("doc_id", "first", "last", "low")).alias("m"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
+    )
+    heads = cut_lineage(classed.select("sign", "run", "m.*", "least", "most"))
+    alone = F.col("kinds") == 1
+    kinds = heads.groupBy("sign").agg(F.count("*").alias("kinds"))
+    known = heads.join(kinds, "sign")
+    # Members against the head of their class.
+    one = texts.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    held = shared.join(heads.select("sign", "run", F.col("doc_id").alias("b"), F.col("first").alias("r")), ["sign", "run"]).where("doc_id != b or first != r")
+    links = held.select("id", F.col("doc_id").alias("a"), F.col("first").alias("p"), "b", "r", (F.col("last") - F.col("first") + span).alias("n"))
+    # Starts of the heads, where classes of one signature differ.
+    asked = known.where(~alone).groupBy("doc_id").agg(F.collect_list(F.struct("run", "sign", "first", "last", "low")).alias("runs"))
+    starts = cut_lineage(asked.join(one, "doc_id").select("text", "runs").mapInPandas(_starts(span), "sign bigint, run bigint, key bigint, at bigint"))
+    met = starts.join(heads.select("run", "sign", "doc_id", "first", "least", "most"), ["sign", "run"])
+    meets = met.groupBy("key", "sign").agg(F.min(F.struct("doc_id", "first", "at", "run")).alias("m"), F.min("least").alias("least"), F.max("most").alias("most"), F.bit_xor(F.xxhash64("run")).alias("who"), F.count("*").alias("n"))
+    meets = cut_lineage(meets.where("least < most").select("key", "sign", "who", "n", F.col("m.run").alias("head"), F.col("m.doc_id").alias("b"), (F.col("m.first") + F.col("m.at")).alias("r")))
+    pairs = starts.join(meets, ["sign", "key"]).join(heads.select("run", "sign", F.col("doc_id").alias("a"), "first"), ["sign", "run"])
+    # Neighbouring starts that meet the same classes make one stretch.
+    step = Window.partitionBy("run", "who", "n", "b", F.col("r") - F.col("at")).orderBy("at")
+    stretch = cut_lineage(
+        pairs.withColumn("part", F.col("at") - F.row_number().over(step))
+        .groupBy("run", "sign", "a", "first", "who", "n", "b", (F.col("r") - F.col("at")).alias("shift"), "part")
+        .agg(F.min("at").alias("lo"), (F.max("at") + span).alias("hi"), F.min_by("key", "at").alias("key"))
+        .withColumn("id", -1 - F.monotonically_increasing_id())
+    )
+    more = stretch.select("id", "a", (F.col("first") + F.col("lo")).alias("p"), "b", (F.col("shift") + F.col("lo")).alias("r"), (F.col("hi") - F.col("lo")).alias("n")).where("a != b or p != r")
+    bad = cut_lineage(_differing(links.unionByName(more), one))
+    if bad.limit(1).count():
+        shared, stretch = shared.join(bad, "id", "left_anti"), stretch.join(bad, "id", "left_anti")
+    whole = known.where(alone & (F.col("least") < F.col("most"))).select("run", "sign", F.col("run").alias("span_id"), F.lit(0).alias("lo"), (F.col("last") - F.col("first") + span).alias("hi"))
+    # A stretch is named by its first start, so classes that meet along it share the name.
+    parts = stretch.select("run", "sign", F.col("key").alias("span_id"), "lo", "hi")
+    groups = shared.join(whole.unionByName(parts), ["sign", "run"]).select(
+        "sign", "span_id", F.col("doc_id").alias("class_id"), (F.col("first") + F.col("lo")).alias("begin"), (F.col("first") + F.col("hi")).alias("end")
+    )
+    return classes, cut_lineage(groups)
+
+
+def document_pairs(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(doc_id_a, doc_id_b), a < b: groups and copies, written out for every two documents.
+
+    Of groups with the same members one is written out.
+    """
+    members = groups.select("sign", "span_id", F.col("class_id").alias("c")).distinct()
+    sets = members.groupBy("sign", "span_id").agg(F.bit_xor(F.xxhash64("c")).alias("who"), F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most")).where("n > 1")
+    once = sets.groupBy("who", "n", "least", "most").agg(F.min(F.struct("sign", "span_id")).alias("s")).select("s.*")
+    kept = cut_lineage(members.join(once, ["sign", "span_id"], "left_semi"))
+    links = kept.select("sign", "span_id", F.col("c").alias("a")).join(kept.select("sign", "span_id", F.col("c").alias("b")), ["sign", "span_id"]).where("a < b").select("a", "b").distinct()
     m = classes.select("class_id", "doc_id")
     across = (
-        links.select("a", "b")
-        .join(m.select(F.col("class_id").alias("a"), F.col("doc_id").alias("x")), "a")
+        links.join(m.select(F.col("class_id").alias("a"), F.col("doc_id").alias("x")), "a")
         .join(m.select(F.col("class_id").alias("b"), F.col("doc_id").alias("y")), "b")
         .select("x", "y")
     )
@@ -183,21 +274,19 @@ def document_pairs(classes: DataFrame, links: DataFrame) -> DataFrame:
     return across.unionByName(within).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
 
-def shared_shares(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_chars, n_copies, n_links, shared_chars, shared_share): how much of each document is elsewhere.
+def shared_shares(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_chars, n_copies, shared_chars, shared_share): how much of each document is elsewhere.
 
-    n_links: classes of other texts that share a span. A document with exact copies is shared whole.
+    A document with exact copies is shared whole. Its links are the groups of its class_id.
     """
-    spans = links.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("spans_a").alias("s")), F.struct(F.col("b").alias("c"), F.col("spans_b").alias("s")))).alias("x"))
-    each = spans.select(F.col("x.c").alias("class_id"), F.explode("x.s").alias("s")).select("class_id", "s.begin", "s.end").groupBy("class_id", "begin").agg(F.max("end").alias("end"))
+    each = groups.groupBy("class_id", "begin").agg(F.max("end").alias("end"))
     w = Window.partitionBy("class_id").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max("end").over(w), F.lit(0))
     covered = each.withColumn("reach", reach).groupBy("class_id").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("begin", "reach"))).alias("chars"))
-    ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
     size = classes.groupBy("class_id").agg(F.count("*").alias("n_copies"))
     chars = F.when(F.col("n_copies") > 1, F.col("n_chars")).otherwise(F.coalesce("chars", F.lit(0))).cast("bigint")
     return (
-        classes.join(size, "class_id").join(ends, "class_id", "left").join(covered, "class_id", "left")
-        .select("doc_id", "class_id", "n_chars", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), chars.alias("shared_chars"))
+        classes.join(size, "class_id").join(covered, "class_id", "left")
+        .select("doc_id", "class_id", F.col("n_chars").cast("bigint").alias("n_chars"), "n_copies", chars.alias("shared_chars"))
         .withColumn("shared_share", F.round(F.col("shared_chars") / F.col("n_chars"), 6))
     )
