@@ -3,6 +3,9 @@
 A chunk of a file is a map from the lexer state at its begin to the state at its end, with the brackets that it leaves
 open or closes for others. Two neighbouring chunks combine into one, associatively, so a file's chunks can be reduced
 in any grouping, on any executors.
+
+In TypeScript a closing brace that a chunk doesn't open itself may end a block or the part of a template, which only the
+chunks before it know. The chunk's map then has a node for either case, named by the place behind the brace.
 """
 
 from __future__ import annotations
@@ -48,13 +51,14 @@ class Tokens(NamedTuple):
     new_line: list[bool]  # a line feed stands before it
     state: str  # after the last
     templates: tuple[int, ...]  # depth of brackets at each open ${
+    stop: int = 0  # behind the brace at which lexing stopped
 
 
-def lex(text: str, lang: str, state: str = CODE, templates: tuple[int, ...] = ()) -> Tokens:
-    """The tokens of text, entered in the given state. BadLex where none fits."""
+def lex(text: str, lang: str, state: str = CODE, at: int = 0, stop: bool = False) -> Tokens:
+    """The tokens of text from at, entered in the given state, with stop up to the first closing brace opened before. BadLex where none fits."""
     master, kind, val, pos, new_line = _MASTER[lang], [], [], [], []
-    i, n, fresh, depth, open_at = 0, len(text), True, 0, list(templates)
-    if state == CODE and text.startswith("#!") and lang == "typescript":
+    i, n, fresh, depth, open_at = at, len(text), True, 0, []
+    if state == CODE and not at and text.startswith("#!") and lang == "typescript":
         i = (text.find("\n") + 1) or n
 
     def add(k: str, v: str, p: int) -> None:
@@ -80,18 +84,18 @@ def lex(text: str, lang: str, state: str = CODE, templates: tuple[int, ...] = ()
         return m.end()
 
     if state == COMMENT:
-        e = text.find("*/")
+        e = text.find("*/", at)
         if e < 0:
-            return Tokens(kind, val, pos, new_line, COMMENT, templates)
+            return Tokens(kind, val, pos, new_line, COMMENT, ())
         i, state = e + 2, CODE
     elif state == BLOCK_TEXT:
         state = CODE
         if lang == "typescript":
-            i = template(0, True)
+            i = template(at, True)
         else:
             m = _TEXT_END.match(text)
             if not m:
-                return Tokens(kind, val, pos, new_line, BLOCK_TEXT, templates)
+                return Tokens(kind, val, pos, new_line, BLOCK_TEXT, ())
             add("str", '""', 0)
             i = m.end()
     while i < n:
@@ -124,7 +128,7 @@ def lex(text: str, lang: str, state: str = CODE, templates: tuple[int, ...] = ()
             e = template(e, True)
         elif k == "op":
             v = m[0]
-            if v in ("/", "/=") and lang == "typescript" and _regex_may_begin(kind, val):
+            if v in ("/", "/=") and lang == "typescript" and _regex_may_begin(kind, val, at):
                 r = _REGEX.match(text, i)
                 if not r:
                     raise BadLex(i)
@@ -133,11 +137,13 @@ def lex(text: str, lang: str, state: str = CODE, templates: tuple[int, ...] = ()
             elif v == "}" and open_at and open_at[-1] == depth:
                 open_at.pop()
                 e = template(e, False)
+            elif v == "}" and stop and not depth and not open_at:
+                return Tokens(kind, val, pos, new_line, "}", (), e)
             else:
                 if v in "([{":
                     depth += 1
                 elif v in ")]}":
-                    depth -= 1
+                    depth = max(0, depth - 1)
                 add("op", v, i)
         elif k != "line":
             if k == "num" and e < n and (text[e].isalnum() or text[e] in "_$"):
@@ -151,9 +157,9 @@ def lex(text: str, lang: str, state: str = CODE, templates: tuple[int, ...] = ()
     return Tokens(kind, val, pos, new_line, state, tuple(open_at))
 
 
-def _regex_may_begin(kind: list[str], val: list[str]) -> bool:
+def _regex_may_begin(kind: list[str], val: list[str], at: int) -> bool:
     if not kind:
-        return True
+        return not at  # elsewhere lexing begins behind a brace
     k, v = kind[-1], val[-1]
     if k == "op":
         return v not in (")", "]", "}", "++", "--")
@@ -161,12 +167,18 @@ def _regex_may_begin(kind: list[str], val: list[str]) -> bool:
 
 
 class Piece(NamedTuple):
-    """A run of chunks entered in one state: the state after it, brackets it closes for others and leaves open."""
+    """A run of chunks entered in one state: the state after it, brackets it closes for others and leaves open.
+
+    A run that stopped at a brace has the nodes from which it goes on: block for one that ends a block, part for one
+    that ends the part of a template. It leaves nothing open then.
+    """
 
     state: str
     closes: str
     opens: str
     bad: bool
+    block: str = ""
+    part: str = ""
 
 
 def brackets(t: Tokens) -> tuple[str, str, bool]:
@@ -190,18 +202,29 @@ def brackets(t: Tokens) -> tuple[str, str, bool]:
     return "".join(closes), "".join(opens), bad
 
 
-def summarise(text: str, lang: str) -> dict[str, Piece]:
-    """The chunk's map: from each state that may hold at its begin."""
-    out = {}
-    for s in STATES[lang]:
+def summarise(text: str, lang: str, begin: int = 0) -> dict[str, Piece]:
+    """The map of the chunk that begins at begin of its file: from each state that may hold there, and its nodes behind braces."""
+    out: dict[str, Piece] = {}
+    todo = [(s, 0) for s in (STATES[lang] if begin else (CODE,))]
+    while todo:
+        s, at = todo.pop()
+        name = f"{s}@{begin + at}" if at else s
+        if name in out:
+            continue
         if lang == "python":
-            out[s] = _python_piece(text, s)
+            out[name] = _python_piece(text, s)
             continue
         try:
-            t = lex(text, lang, s)
-            out[s] = Piece(t.state, *brackets(t))
+            t = lex(text, lang, s, at, lang == "typescript")
         except BadLex:
-            out[s] = Piece(CODE, "", "", True)
+            out[name] = Piece(CODE, "", "", True)
+            continue
+        closes, opens, bad = brackets(t)
+        if t.stop:
+            out[name] = Piece(t.state, closes, "", bad, f"{CODE}@{begin + t.stop}", f"{BLOCK_TEXT}@{begin + t.stop}")
+            todo += [(CODE, t.stop), (BLOCK_TEXT, t.stop)]
+        else:
+            out[name] = Piece(t.state, closes, opens, bad)
     return out
 
 
@@ -232,19 +255,30 @@ def _python_piece(text: str, state: str) -> Piece:
                 closes.append(CLOSES[v])
 
 
-def combine(a: dict[str, Piece], b: dict[str, Piece]) -> dict[str, Piece]:
-    """The map of two neighbouring runs. Associative."""
-    out = {}
-    for s, x in a.items():
-        y = b[x.state]
-        opens, closes, bad = list(x.opens), [], x.bad or y.bad
+def _joined(x: Piece, b: dict[str, Piece]) -> Piece:
+    """x, gone on through the map b."""
+    if x.block:
+        return x
+    stack, closes, bad, y = list(x.opens), x.closes, x.bad, b[x.state]
+    while True:
+        bad = bad or y.bad
         for k, c in enumerate(y.closes):
-            if not opens:
-                closes.append(y.closes[k:])
+            if not stack:
+                closes += y.closes[k:]
                 break
-            bad = opens.pop() != c or bad
-        out[s] = Piece(y.state, x.closes + "".join(closes), "".join(opens) + y.opens, bad)
-    return out
+            bad = stack.pop() != c or bad
+        if not y.block:
+            return Piece(y.state, closes, "".join(stack) + y.opens, bad)
+        if not stack:
+            return Piece(y.state, closes, "", bad, y.block, y.part)
+        c = stack.pop()
+        bad = bad or c not in "{$"
+        y = b[y.part if c == "$" else y.block]
+
+
+def combine(a: dict[str, Piece], b: dict[str, Piece]) -> dict[str, Piece]:
+    """The map of two neighbouring runs. Associative."""
+    return {s: _joined(x, b) for s, x in a.items()} | {s: y for s, y in b.items() if "@" in s}
 
 
 def verdict(m: dict[str, Piece]) -> bool:
@@ -253,14 +287,17 @@ def verdict(m: dict[str, Piece]) -> bool:
     return p.state == CODE and not p.closes and not p.opens and not p.bad
 
 
+_NO_CUT = re.compile(r"[ \t]*/(?![/*])")
+
+
 def cut(text: str, size: int) -> list[str]:
-    """Chunks of about size characters, each ending at a line feed that no backslash continues; b"".join restores."""
+    """Chunks of about size characters whose join is text, each ending at a line feed that no backslash continues and that no line beginning with a slash follows."""
     out, i, n = [], 0, len(text)
     while n - i > size:
         e = text.find("\n", i + size)
-        while e > 0 and text[max(i, e - 2) : e].rstrip("\r").endswith("\\"):
+        while e > 0 and (text[max(i, e - 2) : e].rstrip("\r").endswith("\\") or _NO_CUT.match(text, e + 1)):
             e = text.find("\n", e + 1)
-        if e < 0:
+        if e < 0 or e + 1 == n:
             break
         out.append(text[i : e + 1])
         i = e + 1

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import ast
 import re
-import sys
 import warnings
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.keys import norm_id, norm_path
 from lodestone.llm.codelex import Tokens, lex
+from lodestone.session import spread
 from lodestone.llm.syntax import CHUNK_CHARS, LANGUAGES, parses, valid_tokens
 
 # First words, filler words and headings of the definition of a trivial comment.
@@ -298,13 +298,16 @@ def _line_ends(mask: str, begin: int, at: int) -> bool:
     return not re.match(r"\s*(?:[{|&:?=.,)\]>+*/-]|extends\b|implements\b)", mask[at : at + 200])
 
 
+_BRACES = re.compile(r"[{}]")
+
+
 def _skip(mask: str, at: int) -> int:
     """Behind the brace that closes the one at at."""
     depth = 0
-    for m in re.finditer(r"[{}]", mask[at:]):
+    for m in _BRACES.finditer(mask, at):
         depth += 1 if m[0] == "{" else -1
         if not depth:
-            return at + m.end()
+            return m.end()
     return len(mask)
 
 
@@ -357,27 +360,30 @@ def indented(text: str) -> list[Found]:
     return [Found(*x) for x in out]
 
 
+_SIGNS, _BLANKS, _JOINED = re.compile(r"[()\[\]{}:]"), re.compile(r"\s*"), re.compile(r"[ \t\f]*(?:\\\n[ \t\f]*)*")
+
+
 def _docstring(text: str, mask: str, starts: dict[int, tuple[int, str]], inside: bytearray, at: int) -> str | None:
     """The string that is the first statement of the body after the header whose name ends at at."""
     depth = 0
-    for m in re.finditer(r"[()\[\]{}:]", mask[at:]):
+    for m in _SIGNS.finditer(mask, at):
         if m[0] in "([{":
             depth += 1
         elif m[0] in ")]}":
             depth -= 1
         elif not depth:
-            at += m.end()
+            at = m.end()
             break
     else:
         return None
-    at = re.compile(r"\s*").match(mask, at).end()
+    at = _BLANKS.match(mask, at).end()
     parts = []
     while at in starts:
         end, prefix = starts[at]
         if "b" in prefix or "f" in prefix:
             return None
         parts.append(text[at:end])
-        at = re.compile(r"[ \t\f]*(?:\\\n[ \t\f]*)*").match(mask, end).end()
+        at = _JOINED.match(mask, end).end()
     if not parts or (at < len(mask) and mask[at] not in "\n;"):
         return None
     try:
@@ -423,7 +429,6 @@ def pairs(text: str, path: str, lang: str) -> list[tuple[str, str, str]]:
 
 
 def _paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sys.setrecursionlimit(20_000)
     for b in batches:
         got = [[{"qualified_name": q, "code": c, "description": d} for q, c, d in pairs(t, p, lang)] for t, p, lang in zip(b["content"], b["path"], b["lang"])]
         yield b[["file_id", "repository_id", "lang", "indexed_at"]].assign(pairs=got)
@@ -440,7 +445,7 @@ def documented_functions(files: DataFrame) -> DataFrame:
         norm_id("file_id").alias("file_id"), norm_id("repository_id").alias("repository_id"), F.lower(F.trim("language")).alias("lang"),
         norm_path("path").alias("path"), "content", F.col("indexed_at").cast("timestamp").alias("indexed_at"),
     ).where(F.col("content").isNotNull() & F.col("lang").isin(*LANGUAGES) & F.col("file_id").isNotNull())
-    got = rows.mapInPandas(
+    got = spread(rows).mapInPandas(
         _paired, "file_id string, repository_id string, lang string, indexed_at timestamp, pairs array<struct<qualified_name:string,code:string,description:string>>"
     )
     return (

@@ -850,5 +850,5 @@ def parses(t: Tokens) -> bool:
     try:
         Java(t).unit()
         return True
-    except (Bad, RecursionError):
+    except Bad:
         return False

@@ -1170,5 +1170,5 @@ def parses(t: Tokens) -> bool:
     try:
         TypeScript(t).file()
         return True
-    except (Bad, RecursionError):
+    except Bad:
         return False

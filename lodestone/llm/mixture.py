@@ -1,11 +1,15 @@
 """Mixing sources to target weights.
 
-Temperature mixing: a source's natural share of the tokens is raised to an exponent. One exponent for all sources is
-bisected to meet a target entropy (``temperature_weights``); with given targets each source has an exponent of its own,
-bisected until its weight meets the target share or the share that max_repeats allows (``target_weights``), which one
-exponent could not do. The weights become token budgets. A budget is filled with whole passes over the source, each a
-random permutation of its documents, and a last block of a permutation that just stays within the budget. The cut of
-that block comes from token sums per slice of the permutation key, so no task ever orders a whole source.
+Temperature mixing: a source's natural share p of the tokens is raised to an exponent. With one exponent for all, p ** x
+normalised, it is bisected to a target entropy or to the limits that max_repeats sets (``temperature_weights``). Ten
+given shares can't be met by one exponent, so with targets t each source goes from its natural share towards its target,
+p ** (1 - x) * t ** x, on an exponent of its own, bisected to the largest that its repetition limit allows
+(``target_weights``): a source with x = 1 holds its target, one with x < 1 must fall short.
+
+The weights become token budgets, which are realised as block permutations: each pass over a source is a random
+permutation of its documents, cut into blocks of about ``block_tokens``; the last pass ends where the budget does.
+position spreads the blocks of every source evenly, so rows sorted by it hold the weights in every stretch. All cuts
+come from token sums per slice of a permutation, so no task ever orders a whole source.
 """
 
 from __future__ import annotations
@@ -13,18 +17,20 @@ from __future__ import annotations
 import base64
 import math
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.session import cut_lineage
+from lodestone.session import cut_lineage, spread
 
 VOCABULARY = os.environ.get("LODESTONE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the public split pattern of the byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SLICES = 4096
+BLOCK_TOKENS = 1_000_000
 PIECE = 100_000
 _ENCODINGS: dict[str, object] = {}
 
@@ -40,17 +46,17 @@ def encoding(path: str):
     return _ENCODINGS[path]
 
 
+_CUT = re.compile(r"(?<=[^\W_])(?=\s)")
+
+
 def _count(text: str | None, enc) -> int:
-    """Tokens of a text; very long ones piece by piece, cut before a blank, where no token spans the cut."""
+    """Tokens of a text; long ones piece by piece, cut only where a letter or digit ends before a blank, which no token spans."""
     if not text:
         return 0
     n, i = 0, 0
-    while len(text) - i > PIECE:
-        e = i + PIECE
-        while e < len(text) and not (text[e] == " " and text[e - 1 : e].isalnum()) and e - i < 2 * PIECE:
-            e += 1
-        n += len(enc.encode_ordinary(text[i:e]))
-        i = e
+    while len(text) - i > PIECE and (m := _CUT.search(text, i + PIECE)):
+        n += len(enc.encode_ordinary(text[i : m.start()]))
+        i = m.start()
     return n + len(enc.encode_ordinary(text[i:]))
 
 
@@ -66,7 +72,14 @@ def _counted(path: str):
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, tokens): source trimmed and in lower case; a null or empty text has 0 tokens."""
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.nullif(F.lower(F.trim("source")), F.lit("")).alias("source"), "text").where("doc_id is not null")
-    return rows.mapInPandas(_counted(vocabulary), "doc_id bigint, source string, tokens bigint").groupBy("doc_id").agg(F.max(F.struct("source", "tokens")).alias("r")).select("doc_id", "r.*")
+    return spread(rows).mapInPandas(_counted(vocabulary), "doc_id bigint, source string, tokens bigint").groupBy("doc_id").agg(F.max(F.struct("source", "tokens")).alias("r")).select("doc_id", "r.*")
+
+
+def char_counts(documents: DataFrame) -> DataFrame:
+    """token_counts() with code points as the size."""
+    source = F.nullif(F.lower(F.trim("source")), F.lit(""))
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(source.alias("source"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("tokens")).alias("r"))
+    return rows.where("doc_id is not null").groupBy("doc_id").agg(F.max("r").alias("r")).select("doc_id", "r.*")
 
 
 def _bisect(f, low: float, high: float, rounds: int = 200) -> float:
@@ -108,30 +121,39 @@ def temperature_weights(shares: dict[str, float], entropy: float | None = None,
     return at(x), x
 
 
-def target_weights(shares: dict[str, float], targets: dict[str, float], limits: dict[str, float]) -> dict[str, tuple[float, float | None]]:
-    """{source: (weight, exponent)}: share ** exponent, the exponent bisected to the target or, where less, the limit.
+def target_weights(shares: dict[str, float], targets: dict[str, float], limits: dict[str, float], redistribute: bool = False) -> dict[str, tuple[float, float | None]]:
+    """{source: (weight, exponent)}: share ** (1 - x) * target ** x with the largest x up to 1 that keeps the limit.
 
-    A source without tokens, or with all of them, has no exponent; its weight is the lesser of target and limit.
+    limits: the greatest weight that a source can bear, its share times max_repeats. A source without tokens or repeats
+    has weight 0 and no exponent. redistribute: what short sources lack goes to those below their limits, in proportion.
     """
-    out = {}
-    for s, target in targets.items():
-        p, goal = shares.get(s, 0.0), min(target, limits.get(s, 0.0))
-        if not 0 < p < 1 or goal <= 0:
-            out[s] = (max(0.0, goal), None)
+    out: dict[str, tuple[float, float | None]] = {}
+    for s, t in targets.items():
+        p, most = shares.get(s, 0.0), limits.get(s, 0.0)
+        if p <= 0 or most <= 0 or t <= 0:
+            out[s] = (0.0, 1.0 if t <= 0 else None)
             continue
-        # p ** x falls from p ** low = 1 / p**60 to p ** high; the goal lies between
-        x = _bisect(lambda x: goal - p**x, -60.0, math.log(1e-300) / math.log(p))
-        out[s] = (goal if abs(p**x - goal) <= 1e-9 * goal else p**x, x)
+        at = lambda x: p ** (1 - x) * t**x
+        # Where the target is above its limit the weight grows with x from the share, which any repetition allows.
+        x = 1.0 if t <= most else _bisect(lambda x: at(x) - most, 0.0, 1.0)
+        out[s] = (at(x) if x == 1 else min(at(x), most), x)
+    while redistribute:
+        lack = 1 - sum(w for w, _ in out.values())
+        free = {s: w for s, (w, _) in out.items() if 0 < w < limits[s] * (1 - 1e-12)}
+        if lack <= 1e-12 or not free:
+            break
+        for s, w in free.items():
+            out[s] = (min(limits[s], w * (1 + lack / sum(free.values()))), out[s][1])
     return out
 
 
-def source_plan(counts: DataFrame, targets: DataFrame) -> DataFrame:
+def source_plan(counts: DataFrame, targets: DataFrame, redistribute: bool = False) -> DataFrame:
     """(source, documents, tokens, target_share, max_repeats, budget, weight, exponent, short): one row a source of targets.
 
     counts: of token_counts(). The size of the mix is the tokens of all documents whose source is in targets. short:
-    the source's tokens times max_repeats are fewer than its share of the size. Repeated rows of targets count once,
-    the greatest share holding; null shares and repeats count as 0; null sources are left out. The plan has one row a
-    row of targets, so it is worked out on the driver.
+    the exponent stops before the target, as the source's tokens times max_repeats are fewer than its share of the size.
+    Repeated rows of targets count once, the greatest share holding; null shares and repeats count as 0; null sources
+    are left out. The plan has one row a row of targets, so it is worked out on the driver.
     """
     spark = counts.sparkSession
     goal = targets.select(F.nullif(F.lower(F.trim("source")), F.lit("")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(0)).alias("repeats"))
@@ -139,51 +161,68 @@ def source_plan(counts: DataFrame, targets: DataFrame) -> DataFrame:
     have = counts.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"))
     rows = goal.join(have, "source", "left").select("source", "share", "repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens")).collect()
     size = sum(r["tokens"] for r in rows)
-    w = target_weights(
-        {r["source"]: r["tokens"] / size if size else 0.0 for r in rows},
-        {r["source"]: r["share"] for r in rows},
-        {r["source"]: r["tokens"] * max(0, r["repeats"]) / size if size else 0.0 for r in rows},
-    )
+    kind = "source string, documents bigint, tokens bigint, target_share double, max_repeats int, budget bigint, weight double, exponent double, short boolean"
+    most = {r["source"]: r["tokens"] * max(0, r["repeats"]) for r in rows}
+    # A target that is met to the token isn't missed by the rounding of its limit.
+    limits = {r["source"]: max(most[r["source"]] / size, r["share"] if most[r["source"]] >= r["share"] * size else 0.0) for r in rows} if size else {}
+    w = target_weights({r["source"]: r["tokens"] / size for r in rows} if size else {}, {r["source"]: r["share"] for r in rows}, limits, redistribute)
     out = []
     for r in rows:
         weight, x = w[r["source"]]
-        short = r["tokens"] * max(0, r["repeats"]) < r["share"] * size
-        budget = r["tokens"] * max(0, r["repeats"]) if short else min(round(weight * size), r["tokens"] * max(0, r["repeats"]))
-        out.append((r["source"], r["documents"], r["tokens"], float(r["share"]), r["repeats"], int(budget), float(weight), x, bool(short)))
-    return spark.createDataFrame(
-        sorted(out), "source string, documents bigint, tokens bigint, target_share double, max_repeats int, budget bigint, weight double, exponent double, short boolean"
-    )
+        short = bool(size) and (x is None or x < 1)
+        budget = most[r["source"]] if short else min(round(weight * size), most[r["source"]])
+        out.append((r["source"], r["documents"], r["tokens"], float(r["share"]), r["repeats"], int(budget), float(weight), x, short))
+    return spark.createDataFrame(sorted(out, key=lambda r: r[0]), kind)
 
 
-def mix(counts: DataFrame, plan: DataFrame, seed: int = 7, slices: int = SLICES) -> DataFrame:
-    """(doc_id, source, tokens, repeats): how often each document is in the mix, repeats of 0 left out.
-
-    Every document of a source comes budget // tokens times; those first in the permutation, as far as the rest of the
-    budget goes, once more. So no document comes more than max_repeats times, and a source falls short of its budget
-    by less than the document at the cut. Ties of the permutation's key go by doc_id.
+def tempered_plan(counts: DataFrame, targets: DataFrame, entropy: float | None = None) -> DataFrame:
+    """source_plan() without targets: temperature_weights() with one exponent, for an entropy in nats or, none given, the flattest mix that keeps every max_repeats."""
+    spark = counts.sparkSession
+    base = source_plan(counts, targets)
+    rows = base.collect()  # one row a row of targets
+    size = sum(r["tokens"] for r in rows)
+    shares = {r["source"]: r["tokens"] / size for r in rows if size}
+    w, x = temperature_weights(shares, entropy, None if entropy is not None else {r["source"]: shares.get(r["source"], 0.0) * max(0, r["max_repeats"]) for r in rows})
+    out = [
+        (r["source"], r["documents"], r["tokens"], r["target_share"], r["max_repeats"], min(round(w.get(r["source"], 0.0) * size), r["tokens"] * max(0, r["max_repeats"])), w.get(r["source"], 0.0), x,
+         w.get(r["source"], 0.0) * size > r["tokens"] * max(0, r["max_repeats"]) + 1)
+        for r in rows
+    ]
+    return spark.createDataFrame(out, base.schema)
+
+
+def mix(counts: DataFrame, plan: DataFrame, seed: int = 7, slices: int = SLICES, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(doc_id, source, tokens, pass, block, position): one row each time that a document is in the mix.
+
+    Each pass is a permutation of the source of its own, cut into blocks of about block_tokens by its slices; the last
+    one ends with the document that just stays within the budget. So no document comes more than max_repeats times, and
+    a source falls short of its budget by less than the document at the cut. position, from 0 to 1, is the place of the
+    document's slice in its source's budget. Ties of the permutation's key go by doc_id.
     """
-    quota = plan.where("tokens > 0").select("source", (F.col("budget") / F.col("tokens")).cast("bigint").alias("passes"), (F.col("budget") % F.col("tokens")).alias("rest"))
-    keyed = counts.join(F.broadcast(quota), "source").withColumn("key", F.xxhash64(F.lit(seed), "doc_id"))
-    keyed = keyed.withColumn("slice", F.pmod(F.shiftrightunsigned("key", 33), F.lit(slices)))
-    sums = keyed.groupBy("source", "slice").agg(F.sum("tokens").alias("t"))
-    w = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    edge = sums.select("source", "slice", "t", F.coalesce(F.sum("t").over(w), F.lit(0)).alias("before"))
-    rows = keyed.join(edge, ["source", "slice"])
-    inside = rows.where(F.col("before") + F.col("t") <= F.col("rest")).withColumn("more", F.lit(1))
-    beyond = rows.where(F.col("before") >= F.col("rest")).withColumn("more", F.lit(0))
-    cut = rows.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("t") > F.col("rest")))
-    k = Window.partitionBy("source", "slice").orderBy("key", "doc_id")
-    cut = cut.withColumn("more", (F.col("before") + F.sum("tokens").over(k.rowsBetween(Window.unboundedPreceding, 0)) <= F.col("rest")).cast("int"))
-    return (
-        inside.unionByName(beyond).unionByName(cut)
-        .select("doc_id", "source", "tokens", (F.col("passes") + F.col("more")).alias("repeats"))
-        .where("repeats > 0")
-    )
+    quota = plan.where("tokens > 0 and budget > 0").select("source", F.col("tokens").alias("size"), "budget")
+    keyed = (
+        counts.join(F.broadcast(quota), "source")  # one row a source of the plan
+        .withColumn("pass", F.explode(F.sequence(F.lit(0), F.expr("cast((budget - 1) div size as int)"))))
+        .withColumn("room", F.least("size", F.col("budget") - F.col("pass") * F.col("size")))
+        .withColumn("key", F.xxhash64(F.lit(seed), "pass", "doc_id"))
+        .withColumn("slice", F.pmod(F.shiftrightunsigned("key", 33), F.lit(slices)))
+    )
+    sums = keyed.groupBy("source", "pass", "slice").agg(F.sum("tokens").alias("t"))
+    w = Window.partitionBy("source", "pass").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    rows = keyed.join(sums.select("source", "pass", "slice", "t", F.coalesce(F.sum("t").over(w), F.lit(0)).alias("before")), ["source", "pass", "slice"])
+    inside = rows.where(F.col("before") + F.col("t") <= F.col("room"))
+    cut = rows.where((F.col("before") <= F.col("room")) & (F.col("before") + F.col("t") > F.col("room")))
+    k = Window.partitionBy("source", "pass", "slice").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    cut = cut.withColumn("upto", F.col("before") + F.sum("tokens").over(k)).where("upto <= room").drop("upto")
+    offset = F.col("pass") * F.col("size") + F.col("before")
+    return inside.unionByName(cut).select(
+        "doc_id", "source", "tokens", "pass", F.floor(offset / block_tokens).alias("block"), F.round(offset / F.col("budget"), 9).alias("position")
+    )
 
 
 def mix_report(mixed: DataFrame, plan: DataFrame) -> DataFrame:
     """The plan with what the mix holds: tokens_in, share_of_size (of the tokens of all sources), actual_share (of the mix)."""
-    got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens_in"), F.max("repeats").alias("most_repeats"))
+    got = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens_in"), (F.max("pass") + 1).alias("most_repeats"))
     every = Window.partitionBy(F.lit(1))
     return (
         plan.join(got, "source", "left")

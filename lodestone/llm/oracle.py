@@ -57,6 +57,12 @@ WITH t AS (SELECT lower(trim(source)) AS source, max(target_share) AS share, max
 d AS (SELECT lower(trim(source)) AS source, sum(coalesce(length(text), 0)) AS size FROM documents GROUP BY 1),
 x AS (SELECT t.source, share, reps, coalesce(size, 0) AS size FROM t LEFT JOIN d USING (source))
 SELECT source FROM x WHERE size * reps < share * (SELECT sum(size) FROM x)""",
+    "p9_char_plan": """
+WITH t AS (SELECT lower(trim(source)) AS source, max(target_share) AS share, max(max_repeats) AS reps FROM mix_targets GROUP BY 1),
+d AS (SELECT lower(trim(source)) AS source, count(*) AS n, sum(coalesce(length(text), 0)) AS size FROM documents GROUP BY 1),
+x AS (SELECT t.source, share, reps, coalesce(n, 0) AS n, coalesce(size, 0) AS size, (sum(coalesce(size, 0)) OVER ())::DOUBLE AS total FROM t LEFT JOIN d USING (source))
+SELECT source, n AS documents, size::BIGINT AS tokens, share AS target_share, reps::BIGINT AS max_repeats,
+  (CASE WHEN size * reps < share * total THEN size * reps ELSE round_even(share * total, 0) END)::BIGINT AS budget, size * reps < share * total AS short FROM x""",
     "p10_found": _SPANS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN m USING (s) JOIN g b ON b.s = a.s AND a.doc_id < b.doc_id",
     "p10_shares": _SPANS
     + """, t AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import borda as b
 from lodestone.llm import docpairs, leakage, mixture, packing, spans, syntax
 from lodestone.llm.oracle import SQL  # noqa: F401  (read by the entry module)
-from lodestone.session import table
+from lodestone.session import cut_lineage, table
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
@@ -67,21 +67,36 @@ def p8_near(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def _planned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixture.planned(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    _, plan = mixture.planned(table(spark, d, "documents"), table(spark, d, "mix_targets"))
-    return plan.where("short").select("source")
+    return _planned(spark, d)[1].where("short").select("source")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    counts, plan = mixture.planned(table(spark, d, "documents"), table(spark, d, "mix_targets"))
-    return mixture.mix(counts, plan)
+    return mixture.mix(*_planned(spark, d))
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
-    counts, plan = mixture.planned(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    counts, plan = _planned(spark, d)
     return mixture.mix_report(mixture.mix(counts, plan), plan)
 
 
+def p9_tempered(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    counts = cut_lineage(mixture.token_counts(table(spark, d, "documents")))
+    plan = mixture.tempered_plan(counts, targets)
+    return mixture.mix_report(mixture.mix(counts, plan), plan)
+
+
+def p9_char_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The plan with code points in place of tokens, which SQL can count."""
+    counts = mixture.char_counts(table(spark, d, "documents"))
+    return mixture.source_plan(counts, table(spark, d, "mix_targets")).select("source", "documents", "tokens", "target_share", F.col("max_repeats").cast("bigint").alias("max_repeats"), "budget", "short")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.document_pairs(*spans.shared_spans(table(spark, d, "documents")))
 
@@ -92,5 +107,5 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_contexts, p2_report, p3_found, p3_ranking, p3_ndcg, p4_found, p4_pairs, p6_found, p6_rates, p8_found, p8_near, p9_found, p9_mix, p9_report, p10_found, p10_shares)
+    for f in (p2_found, p2_contexts, p2_report, p3_found, p3_ranking, p3_ndcg, p4_found, p4_pairs, p6_found, p6_rates, p8_found, p8_near, p9_found, p9_mix, p9_report, p9_tempered, p9_char_plan, p10_found, p10_shares)
 }

@@ -172,8 +172,27 @@ def test_temperature_meets_entropy_and_limits():
 
 def test_target_weights_meet_target_or_limit():
     w = mixture.target_weights({"a": 0.7, "b": 0.3, "c": 0.0}, {"a": 0.2, "b": 0.7, "c": 0.1}, {"a": 1.4, "b": 0.6})
-    assert abs(w["a"][0] - 0.2) < 1e-9 and abs(0.7 ** w["a"][1] - 0.2) < 1e-6 and abs(w["b"][0] - 0.6) < 1e-9 and w["c"] == (0.0, None)
-    assert mixture.target_weights({"a": 1.0}, {"a": 1.0}, {"a": 3.0})["a"][0] == 1.0
+    assert abs(w["a"][0] - 0.2) < 1e-12 and w["a"][1] == 1.0 and w["c"] == (0.0, None)
+    weight, x = w["b"]
+    assert abs(weight - 0.6) < 1e-9 and 0 < x < 1 and abs(0.3 ** (1 - x) * 0.7**x - 0.6) < 1e-9
+    assert mixture.target_weights({"a": 1.0}, {"a": 1.0}, {"a": 3.0})["a"] == (1.0, 1.0)
+    assert mixture.target_weights({"a": 0.5}, {"a": 0.5}, {"a": 0.0})["a"] == (0.0, None)
+    w = mixture.target_weights({"a": 0.2, "b": 0.4, "c": 0.4}, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.2, "b": 0.4, "c": 1.2}, redistribute=True)
+    assert abs(sum(v for v, _ in w.values()) - 1) < 1e-9 and abs(w["b"][0] - 0.4) < 1e-9 and abs(w["c"][0] - 0.4) < 1e-9
+
+
+def test_long_texts_are_counted_as_they_are():
+    if not os.path.exists(mixture.VOCABULARY):
+        pytest.skip("no vocabulary")
+    enc, was = mixture.encoding(mixture.VOCABULARY), mixture.PIECE
+    rng = random.Random(3)
+    texts = ["a" * 5000, "ab'll  x\n\n  y_" * 300, "".join(rng.choices("ab1 _'\n\té.", k=6000)), "x " * 2000, "  " * 2000 + "x", "_ " * 2000]
+    try:
+        mixture.PIECE = 50
+        got = [mixture._count(t, enc) for t in texts]
+    finally:
+        mixture.PIECE = was
+    assert got == [len(enc.encode_ordinary(t)) for t in texts]
 
 
 DOC, TARGET = "doc_id bigint, text string, source string, tokens string, key int", "source string, target_share double, max_repeats int, tokens string"
@@ -192,18 +211,30 @@ def test_mix(spark, slices):
     assert len(tokens) == 603 and tokens[1000][1] == tokens[1001][1] == 0 and tokens[1002][1] == 60_001
     size = sum(t for s, t in tokens.values() if s in ("a", "b", "c"))
     assert p["gone"].short and p["gone"].budget == 0 and set(p) == {"a", "b", "c", "gone"}
-    got = mixture.mix(counts, plan, slices=slices).collect()
-    used, largest = Counter(), max(t for s, t in tokens.values() if s in p)
+    got = mixture.mix(counts, plan, slices=slices, block_tokens=500).collect()
+    used, largest, times = Counter(), max(t for s, t in tokens.values() if s in p), defaultdict(set)
     for r in got:
-        assert r.repeats <= p[r.source].max_repeats
-        used[r.source] += r.tokens * r.repeats
+        assert r["pass"] < p[r.source].max_repeats and r["pass"] not in times[r.doc_id] and 0 <= r.position <= 1
+        times[r.doc_id].add(r["pass"])
+        used[r.source] += r.tokens
     for s, r in p.items():
-        assert r.short == (r.tokens * r.max_repeats < r.target_share * size)
+        assert r.short == (r.tokens * r.max_repeats < r.target_share * size) == (r.exponent is None or r.exponent < 1)
         assert r.budget - largest < used[s] <= r.budget or r.budget == used[s]
+    # all documents come once before any comes twice, and passes are permutations of their own
+    assert all(seen == set(range(len(seen))) or max(seen) == max(x["pass"] for x in got if x.source == tokens[d][0]) for d, seen in times.items())
     report = {r.source: r for r in mixture.mix_report(mixture.mix(counts, plan, slices=slices), plan).collect()}
     assert abs(sum(r.actual_share for r in report.values()) - 1) < 1e-4
-    again = sorted(map(tuple, mixture.mix(counts, plan, slices=slices).collect()))
+    again = sorted(map(tuple, mixture.mix(counts, plan, slices=slices, block_tokens=500).collect()))
     assert again == sorted(map(tuple, got))
+    if slices == 4096:  # in every third of the order each source holds its weight
+        order, total = sorted(got, key=lambda r: r.position), sum(used.values())
+        for k in range(3):
+            part = Counter()
+            for r in order[k * len(order) // 3 : (k + 1) * len(order) // 3]:
+                part[r.source] += r.tokens
+            assert all(abs(part[s] / sum(part.values()) - used[s] / total) < 0.1 for s in used)
+    tempered = {r.source: r for r in mixture.tempered_plan(counts, spark.createDataFrame(targets, TARGET)).collect()}
+    assert all(r.budget <= r.tokens * r.max_repeats for r in tempered.values()) and len({r.exponent for r in tempered.values()}) == 1
     empty, none = mixture.planned(spark.createDataFrame([], DOC), spark.createDataFrame(targets, TARGET))
     assert mixture.mix(empty, none).count() == 0 and none.where("short").count() == 0
 

@@ -110,19 +110,39 @@ def test_broken(lang, text):
 
 @pytest.mark.parametrize("lang", ["java", "typescript", "python"])
 def test_chunks_reduce_associatively(lang):
-    text = {"java": JAVA, "typescript": TS.replace("`x ${fn(`y ${{ a: 1 }.a}`)} z`", "`x\n{ ( \n`"), "python": 'def f(a,\n  b):\n  """Doc (\n [ {\n"""\n  return {"a": [1,\n 2]}\n' * 3}[lang]
+    text = {"java": JAVA, "typescript": TS.replace("`x ${fn(`y ${{ a: 1 }.a}`)} z`", "`x\n{ ( ${\nfn(`y\n ${{\n a: { b: 1 }\n }.a}\n`)\n}\n ) z`"), "python": 'def f(a,\n  b):\n  """Doc (\n [ {\n"""\n  return {"a": [1,\n 2]}\n' * 3}[lang]
     for size in (10, 60, 300):
         parts = cut(text, size)
         assert "".join(parts) == text
-        maps = [summarise(p, lang) for p in parts]
+        maps, begin = [], 0
+        for p in parts:
+            maps.append(summarise(p, lang, begin))
+            begin += len(p)
         left = reduce(combine, maps)
         right = maps[-1]
         for m in reversed(maps[:-1]):
             right = combine(m, right)
-        assert left["code"] == right["code"] and verdict(left)
+        assert left == right and verdict(left)
         assert not verdict(reduce(combine, maps[: len(maps) // 2] or [summarise("(", lang)])) or len(maps) == 1 or lang == "python"
 
 
+@pytest.mark.parametrize(("lang", "text", "ok"), [
+    ("typescript", "const a = `\n${\nf({\n a: 1\n})\n}\n`\n", True), ("typescript", "const a = `\n${\nf({\n a: 1\n}\n}\n`\n", False), ("typescript", "function f() {\n}\n}\n", False),
+    ("typescript", "const a = `\n}\n${\n`\n${\n1\n}\n`\n}\n`\nif (a) {\n}\n", True), ("typescript", "{\n`\n", False), ("typescript", "/*\n`{\n*/\n", True), ("typescript", "let x = 1\n  / 2\nlet y = {\n}\n", True),
+    ("java", "class A {\n/*\n}}\n*/\n}\n", True), ("java", "class A {\n/*\n}}\n}\n", False), ("java", 'class A {\nString s = """\n  } " (\n""";\n}\n', True), ("java", "class A {\n(\n}\n)\n", False),
+])
+def test_maps_of_lines(lang, text, ok):
+    """Every line a chunk of its own, so that strings, comments and templates are entered in the middle."""
+    assert all(syntax.balanced(text, lang, size) is ok for size in (1, 8, 20, 10_000))
+
+
+@pytest.mark.parametrize(("lang", "text"), [("java", "class A {{ int x = %s1%s; }}"), ("typescript", "const x = %s1%s"), ("typescript", "const x = %s%s")])
+def test_deep_nesting_is_no_fault(lang, text):
+    n = 4_000
+    a, b = ("[", "]") if text.endswith("%s%s") else ("(", ")")
+    assert syntax.parses(text.replace("{{", "{").replace("}}", "}") % (a * n, b * n), lang) and not syntax.parses(text.replace("{{", "{").replace("}}", "}") % (a * n, b * (n - 1)), lang)
+
+
 def test_python_runs_agree_with_the_whole():
     text = "".join(f'@d\ndef f{i}(a):\n    """D\nx = (\n"""\n    if a:\n        pass\n    else:\n        return [\n1]\n\nif f{i}:\n  pass\nelif 1:\n  pass\n' for i in range(40))
     for size in (5, 50, 500):
