@@ -37,6 +37,9 @@ m AS (SELECT s FROM (SELECT s, count(*) AS n FROM g GROUP BY 1) WHERE n > 1)
 
 SQL = {
     "p2_found": _ITEMS + "SELECT DISTINCT q AS query_id, c AS candidate_id FROM item JOIN cap USING (config_id) WHERE size > capacity",
+    "p2_invariants": _ITEMS
+    + """, x AS (SELECT q, size, CASE WHEN size >= 0 AND capacity IS NOT NULL AND NOT (size > capacity AND capacity = 0) THEN size END AS put FROM item LEFT JOIN cap USING (config_id))
+SELECT q AS query_id, count(*) AS n_items, count(*) - count(put) AS n_unplaced, sum(size)::BIGINT AS tokens, sum(put)::BIGINT AS placed, 0::BIGINT AS n_over FROM x GROUP BY 1""",
     "p3_found": _RANKS + "SELECT query_id, chunk_id FROM ranked WHERE rb = 1 AND rv = 1 AND rg = 1 AND b IS NOT NULL AND v IS NOT NULL AND g IS NOT NULL",
     "p3_ranking": _RANKS
     + """SELECT query_id, chunk_id, rb::DOUBLE AS bm25_score_rank, rv::DOUBLE AS vector_score_rank, rg::DOUBLE AS graph_score_rank,

@@ -23,6 +23,7 @@ from lodestone.session import cut_lineage
 
 WINDOW = 4096
 OPEN = 64
+MAX_CONFIGS = 100_000
 DIMS, BITS = 3, 10
 SCHEMA = (
     "query_id string, candidate_id string, config_id int, size bigint, capacity bigint, final_score double, "
@@ -122,20 +123,18 @@ def _packed(window: int, keep: int):
             nonlocal first
             if bins is not None:
                 flush()
-                if first or last:  # the query may go on in another partition
-                    for i in range(len(out)):
-                        if out[i][0] == at and out[i][8] is not None and out[i][6] != "full":
-                            out[i] = (*out[i][:-1], True)
+                if first or last:  # the query may go on in another partition: its open contexts, at most keep, are told
+                    out.extend((at, None, None, None, bins.capacity, None, "open", bins.capacity - left, f"{bins.name}{b}", 0, True) for left, b in bins.room)
                 first = False
 
         for b in batches:
             for q, c, cfg, size, cap, score in zip(b["query_id"], b["candidate_id"], b["config_id"], b["size"], b["capacity"], b["final_score"]):
                 if q != at:
                     done(False)
-                    if len(out) > 20_000:
-                        yield pd.DataFrame(out, columns=cols)
-                        out.clear()
                     at, bins = q, Bins(0 if pd.isna(cap) else int(cap), f"{part}-")
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=cols)
+                    out.clear()
                 cfg = None if pd.isna(cfg) else int(cfg)
                 row = (q, c, cfg, None if pd.isna(size) else int(size), None if pd.isna(cap) else int(cap), None if pd.isna(score) else float(score))
                 size, cap = row[3], row[4]
@@ -160,7 +159,7 @@ def _packed(window: int, keep: int):
 
 
 def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Open contexts of one query, a bounded number a partition, packed into each other."""
+    """Open contexts of one query, at most OPEN a partition that it spans, packed into each other."""
     pdf = pdf.sort_values(["tokens", "context"], ascending=[False, True])
     bins = Bins(int(pdf["capacity"].iloc[0]), "")
     to = [bins.put(int(t)) for t in pdf["tokens"]]
@@ -184,7 +183,8 @@ def pack(items: DataFrame, configs: DataFrame, window: int = WINDOW, keep_open:
     """
     reserves = ("reserved_system_tokens", "reserved_query_tokens", "reserved_output_tokens", "safety_margin_tokens")
     room = configs.groupBy("config_id").agg(F.max(F.greatest(F.lit(0), F.col("max_context_tokens") - sum(F.coalesce(F.col(r), F.lit(0)) for r in reserves))).cast("bigint").alias("capacity"))
-    rows = (
+    # Cut, as range partitioning reads its input twice.
+    rows = cut_lineage(
         items.select(
             norm_id("query_id").alias("query_id"), norm_id("candidate_id").alias("candidate_id"), F.col("packed_at"), F.col("config_id").cast("int").alias("config_id"),
             F.coalesce(F.col("token_count"), F.col("code_tokens") + F.col("header_tokens")).cast("bigint").alias("size"),
@@ -194,7 +194,7 @@ def pack(items: DataFrame, configs: DataFrame, window: int = WINDOW, keep_open:
         .groupBy("query_id", "candidate_id")
         .agg(F.max(F.struct("packed_at", "config_id", "size", "final_score", "hashes")).alias("r"))
         .select("query_id", "candidate_id", "r.config_id", "r.size", "r.final_score", F.pandas_udf(_curve_keys, "bigint")("r.hashes").alias("key"))
-        .join(room, "config_id", "left")
+        .join(F.broadcast(room) if configs.limit(MAX_CONFIGS + 1).count() <= MAX_CONFIGS else room, "config_id", "left")
     )
     packed = cut_lineage(
         rows.repartitionByRange("query_id", "key", "candidate_id")
@@ -202,9 +202,8 @@ def pack(items: DataFrame, configs: DataFrame, window: int = WINDOW, keep_open:
         .select("query_id", "candidate_id", "config_id", "size", "capacity", "final_score")
         .mapInPandas(_packed(window, keep_open), SCHEMA)
     )
-    cut = packed.where("open").groupBy("query_id", "context").agg(F.sum("tokens").alias("tokens"), F.first("capacity").alias("capacity"))
-    moves = cut.groupBy("query_id").applyInPandas(_merged, "query_id string, context string, into string")
-    return packed.join(moves, ["query_id", "context"], "left").select(
+    moves = packed.where("open").select("query_id", "context", "tokens", "capacity").groupBy("query_id").applyInPandas(_merged, "query_id string, context string, into string")
+    return packed.where("not open").join(moves, ["query_id", "context"], "left").select(
         "query_id", "candidate_id", "config_id", "size", "capacity", "final_score", "piece", "tokens", F.coalesce("into", "context").alias("context"), "contexts"
     )
 
@@ -218,3 +217,12 @@ def packing_report(packed: DataFrame) -> DataFrame:
         F.max("capacity").alias("capacity"), F.sum("n_items").alias("n_items"), F.sum("contexts").alias("n_contexts"), F.sum("tokens").alias("tokens"),
         F.round(1 - F.sum("tokens") / F.nullif(F.sum(F.col("contexts") * F.col("capacity")), F.lit(0)), 6).alias("unused_share"),
     )
+
+
+def packing_invariants(packed: DataFrame) -> DataFrame:
+    """(query_id, n_items, n_unplaced, tokens, placed, n_over) of pack(): every item once, whole, and no context above its capacity."""
+    items = packed.groupBy("query_id", "candidate_id").agg(F.max("size").alias("size"), F.max((F.col("piece") == "unplaced").cast("int")).alias("unplaced"), F.sum(F.when(F.col("piece") != "unplaced", F.col("tokens"))).alias("placed"))
+    by = items.groupBy("query_id").agg(F.count("*").alias("n_items"), F.sum("unplaced").alias("n_unplaced"), F.sum("size").alias("tokens"), F.sum("placed").alias("placed"))
+    fill = packed.where("context is not null").groupBy("query_id", "context").agg((F.sum("tokens") > F.max("capacity") * F.max("contexts")).cast("int").alias("over"))
+    over = fill.groupBy("query_id").agg(F.sum("over").alias("n_over"))
+    return by.join(over, "query_id", "left").withColumn("n_over", F.coalesce("n_over", F.lit(0)))

@@ -27,6 +27,10 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(_packed(spark, d))
 
 
+def p2_invariants(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_invariants(_packed(spark, d))
+
+
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     return b.borda(table(spark, d, "retrieval_results"))
 
@@ -107,5 +111,5 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_contexts, p2_report, p3_found, p3_ranking, p3_ndcg, p4_found, p4_pairs, p6_found, p6_rates, p8_found, p8_near, p9_found, p9_mix, p9_report, p9_tempered, p9_char_plan, p10_found, p10_shares)
+    for f in (p2_found, p2_contexts, p2_report, p2_invariants, p3_found, p3_ranking, p3_ndcg, p4_found, p4_pairs, p6_found, p6_rates, p8_found, p8_near, p9_found, p9_mix, p9_report, p9_tempered, p9_char_plan, p10_found, p10_shares)
 }

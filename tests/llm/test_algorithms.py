@@ -85,6 +85,20 @@ def test_a_query_across_partitions_is_packed_as_one(spark):
     assert len(fill) <= 1.1 * math.ceil(sum(fill.values()) / 200) + 10
 
 
+def test_a_hot_query_leaves_a_bounded_number_of_contexts_open(spark):
+    """One query of 200,000 items: each partition tells at most OPEN contexts, and all items are placed well."""
+    n = 200_000
+    df = spark.range(n).selectExpr(
+        "'q' AS query_id", "concat('c', id) AS candidate_id", "1 AS config_id", "0.0D AS final_score", "concat('d', id % 97, '/f.py') AS file_path", "concat('m', id) AS qualified_name", "'n' AS symbol_name",
+        "'class' AS node_kind", "1 AS code_tokens", "1 AS header_tokens", "cast(20 + id % 90 AS int) AS token_count", "timestamp_ntz'2025-01-01' AS packed_at",
+    )
+    got = packing.pack(df, configs(spark))
+    r = packing.packing_report(got).first()
+    assert r.n_items == n and r.unused_share < 0.05
+    v = packing.packing_invariants(got).first()
+    assert v.n_items == n and v.n_over == 0 and v.n_unplaced == 0 and v.tokens == v.placed
+
+
 def test_hilbert_curve_takes_unit_steps():
     side = np.arange(8)
     grid = np.stack(np.meshgrid(side, side, side, indexing="ij"), -1).reshape(-1, 3)
