@@ -92,23 +92,19 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def walk(rows: list[tuple[str, str | None, str | None, bool]], label: str, sep: str) -> Iterator[tuple]:
-    """Depth-first over one component, without recursion. rows: (node_id, parent_id, name, dangling)."""
+def _coloured(rows: list[tuple[str, str | None]], label: str) -> tuple[dict[str, list[str]], dict[str, int], set[str]]:
+    """(children, rows below each row, rows on the circle) of one component: depth first, without recursion."""
     children: dict[str, list[str]] = {}
-    parent, name, dangling = {}, {}, {}
-    for n, p, x, d in rows:
-        parent[n], name[n], dangling[n] = p, x, d
+    for n, p in rows:
         if p is not None:
             children.setdefault(p, []).append(n)
     for c in children.values():
         c.sort()
     white, grey, black = 0, 1, 2
-    colour = dict.fromkeys(parent, white)
+    colour = dict.fromkeys((n for n, _ in rows), white)
     circle: set[str] = set()
     below: dict[str, int] = {}
     way: list[str] = []
-    rooted = parent[label] is None
-    out: dict[str, tuple] = {}
     stack: list[tuple[str, int]] = [(label, 0)]
     while stack:
         n, k = stack.pop()
@@ -116,7 +112,6 @@ def walk(rows: list[tuple[str, str | None, str | None, bool]], label: str, sep:
             colour[n] = grey
             way.append(n)
             below[n] = 0
-            out[n] = ((sep.join(name[x] or "" for x in way), tuple(way)) if rooted else (None, None))
         kids = children.get(n, ())
         if k < len(kids):
             stack.append((n, k + 1))
@@ -130,15 +125,52 @@ def walk(rows: list[tuple[str, str | None, str | None, bool]], label: str, sep:
             way.pop()
             if way:
                 below[way[-1]] += below[n] + 1
-    cycle = min(circle) if circle else None
-    for n in parent:
-        path, ids = out[n]
-        on = n in circle
-        yield (
-            n, parent[n], label, label if rooted else None, len(ids) - 1 if rooted else None, path, list(ids) if rooted else None,
-            len(parent) - 1 if on else below[n], cycle if on else None,
-            ("dangling" if dangling[n] else "rooted") if rooted else "cycle" if on else "into_cycle",
-        )
+    return children, below, circle
+
+
+def walk(rows: list[tuple[str, str | None, str | None, bool]], label: str, sep: str) -> Iterator[tuple]:
+    """One component's rows of SCHEMA. rows: (node_id, parent_id, name, dangling).
+
+    The first pass colours and counts, the second gives out each row as it is met, so what is held is one way down and
+    the component's links, never all paths.
+    """
+    children, below, circle = _coloured([r[:2] for r in rows], label)
+    if circle:
+        cycle = min(circle)
+        for n, p, _, _ in rows:
+            on = n in circle
+            yield n, p, label, None, None, None, None, len(rows) - 1 if on else below[n], cycle if on else None, "cycle" if on else "into_cycle"
+        return
+    kept = {n: (p, x or "", d) for n, p, x, d in rows}
+    ids: list[str] = []
+    names: list[str] = []
+    stack: list[tuple[str, int]] = [(label, 0)]
+    while stack:
+        n, depth = stack.pop()
+        del ids[depth:], names[depth:]
+        parent, name, dangling = kept[n]
+        ids.append(n)
+        names.append(name)
+        yield n, parent, label, label, depth, sep.join(names), ids.copy(), below[n], None, "dangling" if dangling else "rooted"
+        stack.extend((c, depth + 1) for c in reversed(children.get(n, ())))
+
+
+#: Path entries up to which rows of a walk are gathered before they leave the task.
+HELD_ENTRIES = 200_000
+
+
+def _components(batches: Iterator[pd.DataFrame], cols: tuple[str, ...]) -> Iterator[tuple[str, list[tuple]]]:
+    """(label, rows) of each component, from rows that come component by component."""
+    at, rows = None, []
+    for b in batches:
+        for label, *row in zip(b["label"], *(b[c] for c in cols)):
+            if label != at and rows:
+                yield at, rows
+                rows = []
+            at = label
+            rows.append(tuple(row))
+    if rows:
+        yield at, rows
 
 
 def _walks(sep: str):
@@ -146,25 +178,41 @@ def _walks(sep: str):
     cols = [c.split()[0] for c in SCHEMA.replace("array<string>", "a").split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, rows, out = None, [], []
-        for b in batches:
-            for label, n, p, x, d in zip(b["label"], b["node_id"], b["parent_id"], b["name"], b["dangling"]):
-                if label != at and rows:
-                    out.extend(walk(rows, at, sep))
-                    rows = []
-                    if len(out) > 20_000:
-                        yield pd.DataFrame(out, columns=cols)
-                        out = []
-                at = label
-                rows.append((n, p, x, d))
-        if rows:
-            out.extend(walk(rows, at, sep))
+        out, held = [], 0
+        for label, rows in _components(batches, ("node_id", "parent_id", "name", "dangling")):
+            for r in walk(rows, label, sep):
+                out.append(r)
+                held += 4 + len(r[6] or ())
+                if held > HELD_ENTRIES:
+                    yield pd.DataFrame(out, columns=cols)
+                    out, held = [], 0
         if out:
             yield pd.DataFrame(out, columns=cols)
 
     return run
 
 
+def _circles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for label, rows in _components(batches, ("node_id", "parent_id")):
+        circle = sorted(_coloured(rows, label)[2])
+        yield pd.DataFrame({"node_id": circle, "cycle_id": circle[0]})
+
+
+def cycles(df: DataFrame, node: str, parent: str, max_component: int = MAX_COMPONENT) -> DataFrame:
+    """(node_id, cycle_id): the rows on circles, as in hierarchy(), whose rules hold, without any path.
+
+    Only components that end in a circle are walked; the pointers' jumps tell them apart. Of one above max_component the
+    jumps also tell its circle.
+    """
+    looped = cut_lineage(components(clean_links(df, node, parent, node)).where("not rooted").select("node_id", "parent_id", "label", "on_cycle"))
+    large = cut_lineage(looped.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > max_component).select("label"))
+    far = None
+    if large.limit(1).count():
+        looped, far = looped.join(large, "label", "left_anti"), looped.join(large, "label", "left_semi")
+    out = looped.select("label", "node_id", "parent_id").repartition("label").sortWithinPartitions("label").mapInPandas(_circles, "node_id string, cycle_id string")
+    return out if far is None else out.unionByName(far.where("on_cycle").select("node_id", F.col("label").alias("cycle_id")))
+
+
 def _doubled(part: DataFrame, sep: str) -> DataFrame:
     """The same columns for components of any size: pointers double together with the way they skip.
 

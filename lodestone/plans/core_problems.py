@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.keys import norm_name
-from lodestone.operators.hierarchy import all_descendants, descendants, hierarchy
+from lodestone.operators.hierarchy import all_descendants, cycles, descendants, hierarchy
 from lodestone.operators.orphans import orphan_counts, orphan_references
 from lodestone.operators.snapshots import snapshot_changes
 from lodestone.session import table
@@ -17,7 +17,7 @@ def _placed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _placed(spark, d).where("cycle_id is not null").select(F.col("node_id").alias("entity_id"), "cycle_id")
+    return cycles(table(spark, d, "ir_entities"), "entity_id", "parent_id").select(F.col("node_id").alias("entity_id"), "cycle_id")
 
 
 def _named(spark: SparkSession, d: str, n_descendants: Column) -> DataFrame:

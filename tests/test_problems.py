@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 
@@ -49,6 +50,8 @@ def test_hierarchy_matches_links(spark, bound):
         assert (got[i].root_id, got[i].depth, got[i].cycle_id) == (root, depth, cycle), i
         if root:
             assert got[i].path == ".".join(got[i].path_ids) and got[i].path_ids[-1] == i
+    circles = {r.node_id: r.cycle_id for r in h.cycles(df, "entity_id", "parent_id", max_component=bound).collect()}
+    assert circles == {i: c for i, (_, _, c) in want.items() if c}
     assert got["z000"].n_descendants == 149 and got["c1"].n_descendants == 4 and got["t1"].n_descendants == 1
     assert got["lost"].status == "dangling" and got["kid"].status == "rooted" and got["t2"].status == "into_cycle" and got["self"].status == "cycle"
 
@@ -77,7 +80,20 @@ def test_all_descendants_have_circles_and_rows_below_them(spark, bound):
     assert {r.node_id: r.n_descendants for r in placed.collect()} == {i: sum(a == i for a, _, _ in got) for i in links}
 
 
+def test_deep_chains(spark):
+    """A walk holds one way down: rows leave as they are met. Circles are found below 50,000 links without any path."""
+    n = 3_000
+    rows_ = [(f"{i:06d}", f"{i - 1:06d}" if i else None, "x", False) for i in range(n)]
+    depths = [r[4] for r in h.walk(rows_, "000000", ".")]
+    assert depths == list(range(n))
+    frames = list(h._walks(".")(iter([pd.DataFrame([("000000", *r) for r in rows_], columns=["label", "node_id", "parent_id", "name", "dangling"])])))
+    assert sum(map(len, frames)) == n and max(f["path_ids"].map(len).sum() for f in frames) <= h.HELD_ENTRIES + n
+    chain = spark.range(50_000).selectExpr("lpad(id, 6, '0') AS entity_id", "lpad(if(id = 0, 9, id - 1), 6, '0') AS parent_id", "'x' AS name", "'' AS path")
+    assert {r.node_id for r in h.cycles(chain, "entity_id", "parent_id").collect()} == {f"{i:06d}" for i in range(10)}
+
+
 def test_hierarchy_of_nothing(spark):
+    assert h.cycles(spark.createDataFrame([], LINKS), "entity_id", "parent_id").count() == 0
     assert h.hierarchy(spark.createDataFrame([], LINKS), "entity_id", "parent_id", "name").count() == 0
 
 
