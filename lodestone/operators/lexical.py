@@ -1,7 +1,8 @@
 """BM25 over field-weighted code tokens, for many queries in one job.
 
-Postings (token, chunk, tf) come from one pass with partial aggregation; document frequencies and the corpus totals are
-aggregates of them. Queries meet postings by a shuffled or, where it is small, broadcast join on the token.
+An index is one row a chunk with its weighted tokens and length, tokenised once; it can be stored, extended, thinned
+and cloned as a table (``upsert``, ``remove``, ``clone``). A search takes the asked tokens out of it before anything is
+shuffled, so what moves is in proportion to the postings of the query's tokens, not to the corpus.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import code_tokens
-from lodestone.session import cut_lineage
+from lodestone.session import cut_lineage, spread
 
 K1, B, IDF_FLOOR = 1.5, 0.75, 1e-6
 BROADCAST_TERMS = 200_000
@@ -23,52 +24,103 @@ FIELD_WEIGHTS = {"name": 10, "qualified_name": 5, "path": 3, "signature": 3, "do
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings (chunk_id, token, tf), lengths (chunk_id, length, extra columns) and frequencies (token, df)."""
+    """rows: (chunk_id, scope, length, terms array<struct<token, w>>, extra columns), one a chunk.
 
-    postings: DataFrame
-    lengths: DataFrame
-    frequencies: DataFrame
-    totals: DataFrame
+    scope holds what has corpus statistics of its own, as a repository's version; it is null where there is one corpus.
+    """
+
+    rows: DataFrame
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.rows.drop("terms")
+
+    @property
+    def totals(self) -> DataFrame:
+        """(scope, n, avgdl): a corpus without tokens has the average 1."""
+        return self.lengths.groupBy("scope").agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("length"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+
+    def postings(self, tokens: DataFrame | None = None, where: Column | None = None) -> DataFrame:
+        """(chunk_id, scope, token, tf, length, kept), of the given tokens (one column, small enough to be broadcast) or of all; kept: whether where holds."""
+        kept = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+        each = self.rows.select("chunk_id", "scope", "length", kept.alias("kept"), F.explode("terms").alias("t")).select("chunk_id", "scope", "length", "kept", "t.*")
+        if tokens is not None:
+            each = each.join(tokens, "token", "left_semi")
+        parts = int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return each.groupBy("chunk_id", "scope", "token").agg(F.sum("w").alias("tf"), F.max("length").alias("length"), F.max("kept").alias("kept")).repartition(parts, "chunk_id")
 
+    @property
+    def frequencies(self) -> DataFrame:
+        """(scope, token, df)."""
+        return self.postings().groupBy("scope", "token").agg(F.count("*").alias("df"))
 
-def build_index(chunks: DataFrame, chunk_id: str, fields: Mapping[str, Column], keep: tuple[str, ...] = ()) -> LexicalIndex:
-    """fields: column expressions by field name of FIELD_WEIGHTS. Chunks of one id: the rows are taken as one text each.
+
+def index_rows(chunks: DataFrame, chunk_id: str, fields: Mapping[str, Column], keep: tuple[str, ...] = (), scope: Column | None = None) -> DataFrame:
+    """The rows of an index. fields: column expressions by field name of FIELD_WEIGHTS.
 
     Null fields have no tokens; a chunk without tokens counts in the corpus with length 0. keep: columns for filters.
     """
+
     def weighed(c: Column, w: int) -> Column:
         return F.transform(code_tokens(c), lambda t: F.struct(t.alias("token"), F.lit(w).alias("w")))
 
-    weighted = F.flatten(F.array(*[weighed(c, FIELD_WEIGHTS[f]) for f, c in fields.items()]))
-    rows = chunks.select(F.col(chunk_id).alias("chunk_id"), F.explode(weighted).alias("t"))
-    postings = cut_lineage(rows.groupBy("chunk_id", "t.token").agg(F.sum("t.w").alias("tf")))  # read three times, made once
-    sizes = postings.groupBy("chunk_id").agg(F.sum("tf").alias("length"))
-    lengths = chunks.select(F.col(chunk_id).alias("chunk_id"), *keep).join(sizes, "chunk_id", "left").withColumn("length", F.coalesce("length", F.lit(0)))
-    totals = lengths.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("length"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
-    return LexicalIndex(postings, lengths, postings.groupBy("token").agg(F.count("*").alias("df")), totals)
+    terms = F.concat(*[weighed(c, FIELD_WEIGHTS[f]) for f, c in fields.items()])
+    rows = spread(chunks).select(F.col(chunk_id).alias("chunk_id"), (F.lit(None).cast("string") if scope is None else scope).alias("scope"), *keep, terms.alias("terms"))
+    return rows.withColumn("length", F.aggregate("terms", F.lit(0), lambda a, t: a + t["w"]))
+
+
+def build_index(chunks: DataFrame, chunk_id: str, fields: Mapping[str, Column], keep: tuple[str, ...] = (), scope: Column | None = None) -> LexicalIndex:
+    """index_rows(), written once. Chunk ids must be unique within a scope; upsert() makes them so."""
+    return LexicalIndex(cut_lineage(index_rows(chunks, chunk_id, fields, keep, scope)))
+
+
+def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Index rows with new ones added; a chunk that is there already is replaced, and all statistics with it."""
+    ids = new.select("chunk_id", F.coalesce("scope", F.lit("")).alias("s"))
+    kept = old.withColumn("s", F.coalesce("scope", F.lit(""))).join(ids, ["chunk_id", "s"], "left_anti").select(old.columns)
+    return kept.unionByName(new)
+
+
+def remove(rows: DataFrame, gone: DataFrame, scope: str | None = None) -> DataFrame:
+    """Index rows without the chunks of gone (chunk_id), in one scope or in all."""
+    hit = rows if scope is None else rows.where(F.col("scope") == scope)
+    left = hit.join(gone.select("chunk_id"), "chunk_id", "left_anti").select(rows.columns)
+    return left if scope is None else left.unionByName(rows.where(F.col("scope").isNull() | (F.col("scope") != scope)))
+
+
+def clear(rows: DataFrame, scope: str | None = None) -> DataFrame:
+    """Index rows without those of a scope, or none at all."""
+    return rows.where(F.lit(False)) if scope is None else rows.where(F.col("scope").isNull() | (F.col("scope") != scope))
+
+
+def clone(rows: DataFrame, scope: str, to: str) -> DataFrame:
+    """Index rows with those of a scope once more under another, which they replace."""
+    return clear(rows, to).unionByName(rows.where(F.col("scope") == scope).withColumn("scope", F.lit(to)))
 
 
 def search(index: LexicalIndex, queries: DataFrame, k: int = 10, where: Column | None = None, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best chunks of every query.
 
-    queries: (query_id, text). A repeated query token counts each time. where filters chunks after the corpus
-    statistics. Scores are rounded to 6 places before ranking, ties go by chunk_id; scores that aren't above 0 and
-    finite are left out. k below 1 is an error.
+    queries: (query_id, text), and scope where the index has scopes: each query then meets its own, whose statistics
+    count. A repeated query token counts each time. where filters chunks after the corpus statistics. Scores are rounded
+    to 6 places before ranking, ties go by chunk_id; scores that aren't above 0 and finite are left out. k below 1 is an
+    error.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    terms = cut_lineage(queries.select("query_id", F.explode(code_tokens("text")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf")))
-    idf = index.frequencies.join(terms.select("token").distinct(), "token", "left_semi").join(F.broadcast(index.totals)).select(
-        "token", "avgdl", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(IDF_FLOOR)).alias("idf")
-    )  # the totals are one row
-    asked = terms.join(idf, "token")
+    scope = F.coalesce("scope", F.lit("")) if "scope" in queries.columns else F.lit("")
+    asked = cut_lineage(queries.select("query_id", scope.alias("s"), F.explode(code_tokens("text")).alias("token")).groupBy("query_id", "s", "token").agg(F.count("*").alias("qtf")))
     # Where the query side is small, each task of postings meets it whole: a frequent token then isn't one task's work.
-    if terms.limit(broadcast_terms + 1).count() <= broadcast_terms:
-        asked = F.broadcast(asked)
-    lengths = index.lengths if where is None else index.lengths.where(where)
-    hits = index.postings.join(lengths.select("chunk_id", "length"), "chunk_id").join(asked, "token")
+    small = asked.limit(broadcast_terms + 1).count() <= broadcast_terms
+    hint = F.broadcast if small else (lambda df: df)
+    hits = cut_lineage(index.postings(hint(asked.select("token").distinct()), where).withColumn("s", F.coalesce("scope", F.lit(""))))
+    totals = index.totals.select(F.coalesce("scope", F.lit("")).alias("s"), "n", "avgdl")
+    idf = hits.groupBy("s", "token").agg(F.count("*").alias("df")).join(totals, "s").select(
+        "s", "token", "avgdl", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(IDF_FLOOR)).alias("idf")
+    )
+    terms = hint(asked.join(idf, ["s", "token"]))
     part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part * F.col("qtf")), 6).alias("score"))
+    scored = hits.where("kept").join(terms, ["s", "token"]).groupBy("query_id", "chunk_id").agg(F.round(F.sum(part * F.col("qtf")), 6).alias("score"))
     return top(scored.where((F.col("score") > 0) & (F.col("score") < float("inf"))), k)
 
 

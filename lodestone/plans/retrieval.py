@@ -30,7 +30,7 @@ def lexical_tokens(spark: SparkSession, d: str) -> DataFrame:
 def lexical_statistics(spark: SparkSession, d: str) -> DataFrame:
     i = _index(spark, d)
     terms = i.frequencies.agg(F.count("*").alias("n_tokens"), F.sum("df").alias("n_postings"))
-    return i.totals.select(F.col("n").alias("n_chunks"), F.round("avgdl", 6).alias("avgdl")).join(terms)
+    return i.totals.select(F.col("n").alias("n_chunks"), F.round("avgdl", 6).alias("avgdl")).join(F.broadcast(terms))  # one row each
 
 
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
@@ -41,6 +41,24 @@ def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     return lexical.search(_index(spark, d), _queries(spark, d), where=F.col("lang") == "python")
 
 
+def bm25_by_repository(spark: SparkSession, d: str) -> DataFrame:
+    """Each query meets the documents of its repository, whose statistics count."""
+    docs = table(spark, d, "documents")
+    index = lexical.build_index(docs, "doc_id", {"path": F.col("file_path"), "content": F.col("text")}, (), norm_id("repository_id"))
+    asked = docs.where("doc_id % 100 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), norm_id("repository_id").alias("scope"), "text")
+    return lexical.search(index, asked)
+
+
+def bm25_after_update(spark: SparkSession, d: str) -> DataFrame:
+    """A version whose German documents are taken out and whose English ones have lost their paths."""
+    docs = table(spark, d, "documents").withColumn("lang", F.lower(F.trim("lang")))
+    rows = cut_lineage(lexical.index_rows(docs, "doc_id", {"path": F.col("file_path"), "content": F.col("text")}, (), F.lit("v1")))
+    both = lexical.clone(rows, "v1", "v2")
+    new = lexical.index_rows(docs.where("lang = 'en'"), "doc_id", {"content": F.col("text")}, (), F.lit("v2"))
+    version = lexical.upsert(lexical.remove(both, docs.where("lang = 'de'").select(F.col("doc_id").alias("chunk_id")), "v2"), new)
+    return lexical.search(lexical.LexicalIndex(cut_lineage(version)), _queries(spark, d).withColumn("scope", F.lit("v2")))
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
 
@@ -130,7 +148,7 @@ def judgment_statistics(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        lexical_tokens, lexical_statistics, bm25_search, bm25_filtered, vector_search, vector_filtered, fused_ranking, source_contribution, reranked, quality,
+        lexical_tokens, lexical_statistics, bm25_search, bm25_filtered, bm25_by_repository, bm25_after_update, vector_search, vector_filtered, fused_ranking, source_contribution, reranked, quality,
         quality_breakdown, ablation, latency_percentiles, judgment_statistics,
     )
 }
@@ -193,6 +211,12 @@ FROM ji LEFT JOIN fr USING (query_id, chunk_id) GROUP BY 1"""
 SQL = {
     "lexical_tokens": f"WITH docs AS (SELECT doc_id AS id, text FROM documents), body AS ({_tokens('docs', 'text')}) SELECT token, count(*) AS n FROM body GROUP BY 1",
     "bm25_search": _BM25.replace("FILTER", "true"),
+    "bm25_by_repository": _BM25.replace("lower(trim(lang)) AS lang", "lower(trim(repository_id)) AS lang").replace("coalesce(nullif(avg(length), 0), 1.0) AS avgdl FROM len", "lang, coalesce(nullif(avg(length), 0), 1.0) AS avgdl FROM len GROUP BY lang")
+    .replace("SELECT token, count(*) AS df FROM post GROUP BY 1", "SELECT lang, token, count(*) AS df FROM post JOIN docs USING (id) GROUP BY 1, 2")
+    .replace("q AS (SELECT id AS query_id, token, count(*) AS qtf FROM body WHERE id % 100 = 0 GROUP BY 1, 2)", "q AS (SELECT id AS query_id, lang, token, count(*) AS qtf FROM body JOIN docs USING (id) WHERE id % 100 = 0 GROUP BY 1, 2, 3)")
+    .replace("JOIN post USING (token) JOIN df USING (token) JOIN len ON len.id = post.id CROSS JOIN tot WHERE FILTER", "JOIN post USING (token) JOIN len ON len.id = post.id AND len.lang = q.lang JOIN df ON df.token = q.token AND df.lang = q.lang JOIN tot ON tot.lang = q.lang"),
+    "bm25_after_update": _BM25.replace("WITH docs AS (SELECT doc_id AS id, text, file_path, lower(trim(lang)) AS lang FROM documents)", "WITH every AS (SELECT doc_id AS id, text FROM documents), docs AS (SELECT doc_id AS id, text, CASE WHEN lower(trim(lang)) = 'en' THEN NULL ELSE file_path END AS file_path, lang FROM documents WHERE lower(trim(lang)) IS DISTINCT FROM 'de')")
+    .replace("body AS (", f"asked AS ({_tokens('every', 'text')}), body AS (", 1).replace("FROM body WHERE id % 100", "FROM asked WHERE id % 100").replace("FILTER", "true"),
     "bm25_filtered": _BM25.replace("FILTER", "lang = 'python'"),
     "lexical_statistics": _BM25.split("q AS (SELECT id AS query_id")[0].rstrip().rstrip(",")
     + " SELECT n AS n_chunks, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM df) AS n_tokens, (SELECT sum(df)::BIGINT FROM df) AS n_postings FROM tot",
