@@ -73,21 +73,43 @@ def uuid5(namespace: str, key: Column) -> Column:
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
+def embedding_text(header: dict[str, Column], content: Column) -> Column:
+    """What of a chunk is embedded: a header line for each part that is known, a blank line, the trimmed content.
+
+    header: language, path, chunk_type, symbol, signature, parent, doc; a doc comment becomes one line, a blank content a
+    fixed text.
+    """
+    names = {"language": "Language", "path": "Path", "chunk_type": "ChunkType", "symbol": "Symbol", "signature": "Signature", "parent": "Parent", "doc": "Doc"}
+    if set(header) - set(names):
+        raise ValueError("unknown header")
+    doc = F.array_join(F.filter(F.transform(F.split(header.get("doc", F.lit(None).cast("string")), r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != ""), " ")
+    parts = [F.when(c != "", F.concat(F.lit(f"[{names[k]}: "), c, F.lit("]"))) for k in names if k in header for c in (doc if k == "doc" else header[k],)]
+    body = F.coalesce(F.nullif(F.trim(content), F.lit("")), F.lit("[Content: (Empty implementation)]"))
+    return F.concat_ws("\n", *parts, F.when(F.coalesce(*parts, F.lit("")) != "", ""), body) if parts else body
+
+
 def hash_embedding(text: Column, model: str = "hash", version: str = "1", dimension: int = 64) -> Column:
     """A deterministic unit vector from SHA-256: value i of the bytes i % 32 and (7 i + 13) % 32, a zero vector even."""
-    h = F.sha2(F.concat_ws(":", F.lit(model), F.lit(version), F.coalesce(text, F.lit(""))), 256)
+    def byte(h: Column, k: Column) -> Column:
+        return F.conv(F.substring(h, 2 * k + 1, F.lit(2)), 16, 10).cast("int")
+
+    def once(c: Column, f) -> Column:
+        """f of c, which is evaluated once, though f uses it often."""
+        return F.transform(F.array(c), f)[0]
 
-    def byte(k: int) -> Column:
-        return F.conv(F.substring(h, 2 * k + 1, 2), 16, 10).cast("int")
+    def values(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: (byte(h, i % 32) * 256 + byte(h, (7 * i + 13) % 32)) / F.lit(32767.5) - 1)
 
-    raw = F.array(*[(byte(i % 32) * 256 + byte((7 * i + 13) % 32)) / F.lit(32767.5) - 1 for i in range(dimension)])
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm == 0, F.array_repeat(F.lit(1.0 / dimension**0.5), dimension)).otherwise(F.transform(raw, lambda x: x / norm))
+    def unit(r: Column) -> Column:
+        return once(F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.when(n == 0, F.array_repeat(F.lit(1.0 / dimension**0.5), dimension)).otherwise(F.transform(r, lambda x: x / n)))
+
+    h = F.sha2(F.concat_ws(":", F.lit(model), F.lit(version), F.coalesce(text, F.lit(""))), 256)
+    return once(once(h, values), unit)
 
 
 def claims(c: Column | str) -> Column:
     """An answer's statements: split at line feeds and behind a full stop that blanks and a capital follow."""
-    return F.filter(F.transform(F.split(F.coalesce(_c(c), F.lit("")), r"\n+|(?<=\.)\s+(?=[A-Z])"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(_c(c), F.lit("")), r"\n+|(?<=\.)\s+(?=[A-Z])"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def normalised_query(c: Column | str) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.lexical import top
+from lodestone.session import spread
 
 BLOCK = 2048
 
@@ -35,16 +36,17 @@ def _best(block, k: int):
                 raise ValueError("vectors differ in dimension")
             s = np.clip(np.round(q @ x.T, 6), -1.0, 1.0) + 0.0
             chunk = b["chunk_id"].to_numpy()
+            place = np.argsort(np.argsort(chunk, kind="stable"), kind="stable")  # the order of ids, whatever their type
             for lo in range(0, len(ids), 256):
                 part = s[lo : lo + 256]
-                order = np.lexsort((np.broadcast_to(chunk, part.shape), -part), axis=1)[:, :k]
+                order = np.lexsort((np.broadcast_to(place, part.shape), -part), axis=1)[:, :k]
                 yield pd.DataFrame({"query_id": np.repeat(ids[lo : lo + 256], order.shape[1]), "chunk_id": chunk[order].ravel(), "score": np.take_along_axis(part, order, 1).ravel()})
 
     return run
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
-    """(query_id, chunk_id, score, rank) from (chunk_id, vector) and (query_id, vector); ids are bigints.
+    """(query_id, chunk_id, score, rank) from (chunk_id, vector) and (query_id, vector); ids are bigints or strings.
 
     score: cosine rounded to 6 places, 0 where a norm is 0, negative ones stay. Ties go by chunk_id. Null vectors are
     left out, other dimensions are an error, and so is k below 1. Empty tables give no rows.
@@ -52,6 +54,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK)
     if k < 1:
         raise ValueError("k must be positive")
     spark = vectors.sparkSession
+    ids = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}"
+    vectors = spread(vectors)
     asked = queries.where("vector is not null and query_id is not null").select("query_id", "vector")
     blocks = max(1, -(-asked.count() // block))
     out = None
@@ -60,6 +64,6 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK)
         if not len(rows):
             continue
         held = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), _units(rows["vector"])))
-        got = vectors.where("vector is not null").select("chunk_id", "vector").mapInPandas(_best(held, k), "query_id bigint, chunk_id bigint, score double")
+        got = vectors.where("vector is not null").select("chunk_id", "vector").mapInPandas(_best(held, k), f"{ids}, score double")
         out = got if out is None else out.unionByName(got)
-    return top(out, k) if out is not None else spark.createDataFrame([], "query_id bigint, chunk_id bigint, score double, rank int")
+    return top(out, k) if out is not None else spark.createDataFrame([], f"{ids}, score double, rank int")

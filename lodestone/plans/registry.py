@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import code_graph, contexts, core_problems, retrieval
+from lodestone.plans import code_graph, contexts, core_problems, retrieval, search
 
-MODULES = (core_problems, retrieval, code_graph, contexts)
+MODULES = (core_problems, retrieval, code_graph, contexts, search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.reranked(spark, sf_dir)
+    return search.hybrid_search(spark, sf_dir)
