@@ -141,7 +141,7 @@ def _runs(span: int, q: int, hashes: int):
             for d, text in zip(b["doc_id"], b["text"]):
                 sign, place, first, last = signed_runs(roll(codes(text), q), t, hashes)
                 name = roll.at(first, last + span) * np.uint64(_ODD[1]) + sign + (first - place).view(np.uint64) * np.uint64(_ODD[2]) + (last - place).view(np.uint64)
-                parts.append((np.full(len(sign), d, dtype=np.int64), sign.view(np.int64), mixed(name).view(np.int64), first, last, first - place))
+                parts.append((np.full(len(sign), d, dtype=np.int64), sign.view(np.int64), mixed(name).view(np.int64), *(x.astype(np.int32) for x in (first, last, first - place))))
             if parts:
                 yield pd.DataFrame(dict(zip(("doc_id", "sign", "run", "first", "last", "low"), (np.concatenate(x) for x in zip(*parts)))))
 
@@ -210,11 +210,11 @@ def shared_spans(documents: DataFrame, span: int = SPAN, q: int = Q, hashes: int
     classes = cut_lineage(copy_classes(documents, span))
     firsts = classes.where("doc_id = class_id").select("doc_id")
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") >= span)
-    runs = spread(texts).mapInPandas(_runs(span, q, hashes), "doc_id bigint, sign bigint, run bigint, first bigint, last bigint, low bigint").join(firsts, "doc_id", "left_semi").distinct()
-    runs = cut_lineage(runs)
+    runs = spread(texts).mapInPandas(_runs(span, q, hashes), "doc_id bigint, sign bigint, run bigint, first int, last int, low int")
+    runs = cut_lineage(runs.join(firsts, "doc_id", "left_semi"))
     # Signatures of one document alone share nothing.
     often = runs.groupBy("sign").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("sign")
-    shared = cut_lineage(runs.join(often, "sign", "left_semi").withColumn("id", F.monotonically_increasing_id()))
+    shared = cut_lineage(runs.join(often, "sign", "left_semi").distinct().withColumn("id", F.monotonically_increasing_id()))
     classed = shared.groupBy("sign", "run").agg(
         F.min(F.struct("doc_id", "first", "last", "low")).alias("m"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
     )
