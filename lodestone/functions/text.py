@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +14,10 @@ PROSE_WORDS = tuple(
     "how where what why who which does do is are can should work works handled handles processed created implemented defined used authenticated "
     "validates process payments service classes".split()
 )
+# Words in types that name nothing, modules and packages of the languages' own libraries.
+TYPE_WORDS = ("any", "bool", "boolean", "byte", "char", "const", "double", "extends", "final", "float", "infer", "int", "keyof", "long", "never", "new", "null", "number", "object", "readonly", "short", "str", "string", "super", "symbol", "typeof", "undefined", "unknown", "void", "None")
+PYTHON_MODULES = ("__future__", "abc", "argparse", "array", "ast", "asyncio", "base64", "bisect", "builtins", "calendar", "collections", "concurrent", "configparser", "contextlib", "copy", "csv", "ctypes", "dataclasses", "datetime", "decimal", "difflib", "dis", "email", "enum", "errno", "functools", "gc", "getpass", "glob", "gzip", "hashlib", "heapq", "hmac", "html", "http", "importlib", "inspect", "io", "ipaddress", "itertools", "json", "logging", "lzma", "math", "mimetypes", "multiprocessing", "numbers", "operator", "os", "pathlib", "pickle", "platform", "pprint", "queue", "random", "re", "sched", "secrets", "select", "shelve", "shlex", "shutil", "signal", "socket", "sqlite3", "ssl", "stat", "statistics", "string", "struct", "subprocess", "sys", "tarfile", "tempfile", "textwrap", "threading", "time", "timeit", "tkinter", "traceback", "types", "typing", "unicodedata", "unittest", "urllib", "uuid", "warnings", "weakref", "xml", "zipfile", "zlib", "zoneinfo")
+JAVA_PACKAGES = ("java", "javax", "jdk", "sun", "com.sun", "org.w3c.dom", "org.xml.sax")
 RAW_TOKEN = r"[A-Za-z0-9_\-./]+"
 EXTENSIONS = {".py": "python", ".java": "java", ".ts": "typescript", ".tsx": "typescript", ".js": "typescript", ".jsx": "typescript"}
 
@@ -132,3 +139,90 @@ def identifiers(c: Column | str) -> Column:
 
 def qualified_names(c: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(_c(c), F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+)\b"), 1))
+
+
+def text_tokens(tokens: Column, ids: Column) -> Column:
+    """A query's tokens that are neither stop words nor parts of its identifiers; repeats stay."""
+    parts = F.flatten(F.transform(ids, lambda i: code_tokens(i)))
+    return F.filter(tokens, lambda t: ~t.isin(*STOP_WORDS) & ~F.array_contains(parts, t))
+
+
+def fused_relevance(score: Column) -> Column:
+    """A fused score, which rarely exceeds a thirtieth, on the scale from 0 to 1. Null and NaN give 0."""
+    return F.when(score.isNull() | F.isnan(score), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score * 30)))
+
+
+def clamped(score: Column) -> Column:
+    """A score between 0 and 1; null and NaN give 0."""
+    return F.when(score.isNull() | F.isnan(score), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+
+
+def type_names(c: Column | str) -> Column:
+    """The names in a type: Map<String, List<a.B[]>> gives Map, String, List, a.B; builtin words and repeats are left out.
+
+    Signs of arrays, unions, generics and functions only separate names.
+    """
+    names = F.regexp_extract_all(F.coalesce(_c(c), F.lit("")), F.lit(r"([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)"), 1)
+    return F.array_distinct(F.filter(names, lambda n: ~n.isin(*TYPE_WORDS)))
+
+
+def split_type_args(c: Column | str) -> Column:
+    """What stands between the commas outside of all brackets, trimmed: a, Map<b, c>, d gives three parts."""
+    signs = F.split(F.coalesce(_c(c), F.lit("")), "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("depth"))
+
+    def step(s: Column, x: Column) -> Column:
+        cut = (x == ",") & (s["depth"] == 0)
+        return F.struct(
+            F.when(cut, F.concat(s["done"], F.array(F.trim(s["now"])))).otherwise(s["done"]).alias("done"),
+            F.when(cut, F.lit("")).otherwise(F.concat(s["now"], x)).alias("now"),
+            (s["depth"] + F.when((x == ">") & s["now"].endswith("="), 0).when(x.isin("<", "[", "(", "{"), 1).when(x.isin(">", "]", ")", "}"), -1).otherwise(0)).alias("depth"),
+        )
+
+    return F.filter(F.aggregate(signs, start, step, lambda s: F.concat(s["done"], F.array(F.trim(s["now"])))), lambda p: p != "")
+
+
+def relative_module(importer: Column | str, spec: Column | str) -> Column:
+    """The path that a relative TypeScript import names, without extension; null where the import isn't relative.
+
+    ./b from a/x.ts gives a/b, ../c gives c; steps above the root are left out.
+    """
+    spec, importer = _c(spec), _c(importer)
+    parts = F.split(F.concat_ws("/", F.nullif(F.regexp_replace(importer, r"(^|/)[^/]*$", ""), F.lit("")), F.regexp_replace(spec, r"\.(?:tsx?|jsx?|d\.ts)$", "")), "/")
+    none = F.array().cast("array<string>")
+    way = F.aggregate(
+        parts, none, lambda a, p: F.when((p == ".") | (p == ""), a).when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p)))
+    )
+    return F.when(spec.startswith("./") | spec.startswith("../") | (spec == ".") | (spec == ".."), F.array_join(way, "/"))
+
+
+def is_external(module: Column | str, language: Column | str) -> Column:
+    """Whether an import names a module of the language's own library or, in TypeScript, any package: it isn't relative."""
+    m, lang = _c(module), F.lower(F.trim(_c(language)))
+    first = F.substring_index(m, ".", 1)
+    java = F.lit(False)
+    for p in JAVA_PACKAGES:
+        java = java | (m == p) | m.startswith(p + ".")
+    return F.coalesce(F.when(lang == "python", first.isin(*PYTHON_MODULES)).when(lang == "java", java).when(lang == "typescript", ~m.startswith(".") & ~m.startswith("/")), F.lit(False))
+
+
+def body_slice(text: Column | str, start_line: Column, start_column: Column, end_line: Column, end_column: Column) -> Column:
+    """Text from a line and column to another, line feeds kept; lines count from 1, columns from 0, the end column is excluded.
+
+    Null or senseless places give an empty text.
+    """
+    lines = F.split(F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"\r\n?", "\n"), "\n")
+    n = end_line - start_line + 1
+    ok = F.coalesce((start_line >= 1) & (n >= 1) & (start_column >= 0) & (end_column >= 0) & (start_line <= F.size(lines)), F.lit(False))
+    got = F.slice(lines, F.when(ok, start_line).otherwise(1), F.when(ok, n).otherwise(0))
+    cut = F.transform(got, lambda x, i: F.when(i == n - 1, F.substring(x, F.lit(1), end_column)).otherwise(x))
+    return F.when(ok, F.array_join(F.transform(cut, lambda x, i: F.when(i == 0, F.substring(x, start_column + 1, F.length(x))).otherwise(x)), "\n")).otherwise("")
+
+
+def _nfc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+
+def nfc(c: Column | str) -> Column:
+    """Texts in Unicode's composed form (NFC), which no built-in function makes. Nulls stay."""
+    return F.pandas_udf(_nfc, "string")(_c(c))

@@ -64,15 +64,17 @@ def duplicate_groups(c: DataFrame, near: float | None = None) -> DataFrame:
     """(query_id, candidate_id, survivor_id, reason): greedy stars in the order of rank, not transitive.
 
     In order, each candidate joins the first earlier survivor it matches, or survives itself: EXACT for the same file
-    and lines, LOGICAL for the same qualified name (trimmed, case ignored), NEAR (with near, a least Jaccard
-    similarity, of name parts and place within one file). A null key matches nothing. Earlier survivors are found by
+    and lines or search result, LOGICAL for the same qualified name (trimmed, case ignored) or node, NEAR (with near, a
+    least Jaccard similarity, of name parts and place within one file). A null or empty key, and the node unknown,
+    matches nothing. Earlier survivors are found by
     their keys, so a query is streamed; only near looks through the survivors of the same file.
 
-    c: (query_id, candidate_id, rank, file_path, start_line, end_line, symbol_name, qualified_name, node_kind).
+    c: (query_id, candidate_id, rank, file_path, start_line, end_line, symbol_name, qualified_name, node_kind) and, where
+    it has them, chunk_id and node_id. With the rank of prune_order() a survivor is the best of its group.
     """
 
     def start() -> dict:
-        return {"n": 0, "place": {}, "name": {}, "file": {}}
+        return {"n": 0, "place": {}, "chunk": {}, "name": {}, "node": {}, "file": {}}
 
     def known(v) -> bool:
         return v is not None and not (isinstance(v, float) and pd.isna(v))
@@ -80,15 +82,14 @@ def duplicate_groups(c: DataFrame, near: float | None = None) -> DataFrame:
     def step(s: dict, r: dict) -> dict:
         place = (r["file_path"], r["start_line"], r["end_line"]) if all(known(r[k]) for k in ("file_path", "start_line", "end_line")) else None
         name = r["qualified_name"].strip().lower() if known(r["qualified_name"]) and r["qualified_name"].strip() else None
-        traits = frozenset(x for x in (r["symbol_name"], r["node_kind"], f"lines:{r['start_line']}-{r['end_line']}", *(name.split(".") if name else ())) if known(x))
-        hits = []
-        if place in s["place"]:
-            hits.append((*s["place"][place], "EXACT"))
-        if name in s["name"]:
-            hits.append((*s["name"][name], "LOGICAL"))
+        low = [r[k].lower() for k in ("symbol_name", "node_kind") if known(r[k]) and r[k]]
+        traits = frozenset([*low, *([f"lines:{r['start_line']}-{r['end_line']}"] if known(r["start_line"]) and known(r["end_line"]) else ()), *(name.split(".") if name else ())])
+        chunk, node = r.get("chunk_id") or None, r.get("node_id") or None
+        keys = {"place": (place, "EXACT"), "chunk": (chunk, "EXACT"), "name": (name, "LOGICAL"), "node": (None if node == "unknown" else node, "LOGICAL")}
+        hits = [(*s[k][v], why) for k, (v, why) in keys.items() if v is not None and v in s[k]]
         if near is not None and known(r["file_path"]):
             for n, who, other in s["file"].get(r["file_path"], ()):
-                if len(traits & other) >= near * len(traits | other):
+                if traits and other and len(traits & other) >= near * len(traits | other):
                     hits.append((n, who, "NEAR"))
                     break
         if hits:
@@ -96,10 +97,9 @@ def duplicate_groups(c: DataFrame, near: float | None = None) -> DataFrame:
             return {"survivor_id": who, "reason": why}
         s["n"] += 1
         me = (s["n"], r["candidate_id"])
-        if place is not None:
-            s["place"].setdefault(place, me)
-        if name is not None:
-            s["name"].setdefault(name, me)
+        for k, (v, _) in keys.items():
+            if v is not None:
+                s[k].setdefault(v, me)
         if near is not None and known(r["file_path"]):
             s["file"].setdefault(r["file_path"], []).append((*me, traits))
         return {"survivor_id": r["candidate_id"], "reason": None}
@@ -108,6 +108,69 @@ def duplicate_groups(c: DataFrame, near: float | None = None) -> DataFrame:
     return ordered_fold(c, "query_id", order, start, step, "survivor_id string, reason string").select("query_id", "candidate_id", "survivor_id", "reason")
 
 
+def prune_order(c: DataFrame) -> DataFrame:
+    """c with rank: by score (6 places), provenance, retrieval score, depth, relation, id; provenance comes before the retrieval score here.
+
+    c: (query_id, candidate_id, final_score, f_provenance, retrieval_score, depth, relation).
+    """
+    w = Window.partitionBy("query_id").orderBy(
+        F.round("final_score", 6).desc_nulls_last(), F.col("f_provenance").desc_nulls_last(), F.coalesce("retrieval_score", F.lit(0.0)).desc(), F.coalesce("depth", F.lit(0)), F.coalesce("relation", F.lit("NONE")), "candidate_id"
+    )
+    return c.withColumn("rank", F.row_number().over(w))
+
+
+def merge_groups(c: DataFrame, groups: DataFrame) -> DataFrame:
+    """(query_id, candidate_id, n_merged, merged_ids, reason_codes, source, reason, <features>): one row a survivor.
+
+    c: (query_id, candidate_id, rank, qualified_name, source, reason_codes array, f_* features); groups: of
+    duplicate_groups(). Each feature is the group's greatest; reason codes are united, with MULTI_SOURCE_EVIDENCE where
+    search and graph both found the group, whose provenance then is 1. reason is that of the last candidate merged:
+    LOGICAL for the survivor's qualified name, else NEAR; null where nothing was merged.
+    """
+    features = [n for n in c.columns if n.startswith("f_")]
+    rows = c.join(groups.select("query_id", "candidate_id", "survivor_id"), ["query_id", "candidate_id"])
+    own = F.col("candidate_id") == F.col("survivor_id")
+    got = rows.groupBy("query_id", "survivor_id").agg(
+        F.count("*").alias("n_merged"), F.array_sort(F.collect_set("candidate_id")).alias("merged_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("reason_codes", F.array().cast("array<string>")))))).alias("codes"),
+        F.bool_or(F.coalesce(F.col("source").contains("RETRIEVAL"), F.lit(False))).alias("r"), F.bool_or(F.coalesce(F.col("source").contains("GRAPH"), F.lit(False))).alias("g"),
+        F.max(F.when(own, F.col("source"))).alias("own_source"), F.max(F.when(own, F.coalesce("qualified_name", F.lit("")))).alias("q"),
+        F.max_by(F.when(~own, F.coalesce("qualified_name", F.lit(""))), F.when(~own, F.col("rank"))).alias("last_q"), *[F.max(f).alias(f) for f in features],
+    )
+    both = F.col("r") & F.col("g")
+    out = got.select(
+        "query_id", F.col("survivor_id").alias("candidate_id"), "n_merged", "merged_ids",
+        F.when(both & (F.col("n_merged") > 1), F.array_sort(F.array_union("codes", F.array(F.lit("MULTI_SOURCE_EVIDENCE"))))).otherwise(F.col("codes")).alias("reason_codes"),
+        F.when(F.col("n_merged") == 1, F.col("own_source")).when(both, "RETRIEVAL+GRAPH_EXPANSION").when(F.col("r"), "RETRIEVAL").when(F.col("g"), "GRAPH_EXPANSION").otherwise(F.col("own_source")).alias("source"),
+        F.when(F.col("n_merged") > 1, F.when((F.col("q") != "") & (F.col("q") == F.col("last_q")), "LOGICAL").otherwise("NEAR")).alias("reason"),
+        *[F.when(both & (F.col("n_merged") > 1), F.greatest(f, F.lit(1.0))).otherwise(F.col(f)).alias(f) if f == "f_provenance" else F.col(f) for f in features],
+    )
+    return out
+
+
+#: The reason of each feature, and how much of it is needed.
+REASONS = (
+    ("DIRECT_QUERY_TARGET", "f_entity", 1.0), ("PRIMARY_INTENT_MATCH", "f_intent", 0.8), ("RELATIONSHIP_MATCH", "f_relation", 0.8), ("MULTI_SOURCE_EVIDENCE", "f_provenance", 0.9),
+)
+
+
+def reason_codes() -> Column:
+    """The sorted reasons that rank_features() gives a candidate; SUPPORTING_CONTEXT where there is none."""
+    found = F.filter(F.array(*[F.when(F.col(f) >= least, F.lit(name)) for name, f, least in REASONS]), lambda x: x.isNotNull())
+    return F.when(F.size(found) > 0, F.array_sort(found)).otherwise(F.array(F.lit("SUPPORTING_CONTEXT")))
+
+
+def protected(codes: Column, source: Column, targets: bool = True, multi_source: bool = True, structure: bool = True) -> Column:
+    """Whether pruning must keep a candidate, by its reasons and where it was found."""
+    out = F.lit(False)
+    if targets:
+        out = out | F.array_contains(codes, "DIRECT_QUERY_TARGET")
+    if multi_source:
+        out = out | (source == "RETRIEVAL+GRAPH_EXPANSION") | F.array_contains(codes, "MULTI_SOURCE_EVIDENCE")
+    if structure:
+        out = out | F.array_contains(codes, "RELATIONSHIP_MATCH") | F.array_contains(codes, "PRIMARY_INTENT_MATCH")
+    return F.coalesce(out, F.lit(False))
+
+
 def prune(c: DataFrame, least: float = 0.0, per_symbol: int | None = 2, per_file: int | None = 3, most: int | None = 10) -> DataFrame:
     """(query_id, candidate_id, decision): KEPT or the reason; caps count only what was kept before, in order of rank.
 
@@ -158,6 +221,62 @@ def pack_budget(c: DataFrame) -> DataFrame:
     return ordered_fold(c, "query_id", [F.col("rank"), F.col("candidate_id")], start, step, "decision string, used bigint").select("query_id", "candidate_id", "decision", "used")
 
 
+LEAST_CODE = 10
+
+
+def pack_context(c: DataFrame, least: int | None = None, most: int | None = None) -> DataFrame:
+    """(query_id, candidate_id, decision, tokens, kept_lines, used): the packer with its limits, reasons and truncation.
+
+    c: (query_id, candidate_id, rank, header_tokens, line_tokens array<int>, budget, policy). In order of rank: an item
+    below least is omitted as BELOW_MINIMUM, one above most as CANDIDATE_TOO_LARGE; one that fits is INCLUDED. Of
+    another, under the policy TRUNCATE and with more room than its header and LEAST_CODE tokens, the first lines that fit
+    are kept (TRUNCATED), none of them if the first is too long. Else it is omitted: BUDGET_EXHAUSTED with nothing left,
+    CANDIDATE_TOO_LARGE above the whole budget, TOKEN_BUDGET_EXCEEDED otherwise. Later items are still tried. tokens: what
+    the item takes. Null sizes count as 0, a null budget as 0.
+    """
+
+    def start() -> dict:
+        return {"used": 0}
+
+    def number(v) -> int:
+        return 0 if v is None or pd.isna(v) else int(v)
+
+    def step(s: dict, r: dict) -> dict:
+        head, budget = number(r["header_tokens"]), number(r["budget"])
+        lines = [number(x) for x in (r["line_tokens"] if r["line_tokens"] is not None else ())]
+        total, left, kept = head + sum(lines), budget - s["used"], len(lines)
+        if least is not None and total < least:
+            decision, take, kept = "BELOW_MINIMUM", 0, 0
+        elif most is not None and total > most:
+            decision, take, kept = "CANDIDATE_TOO_LARGE", 0, 0
+        elif total <= left:
+            decision, take = "INCLUDED", total
+        elif r["policy"] == "TRUNCATE" and left > head + LEAST_CODE:
+            decision, take, kept = "TRUNCATED", head, 0
+            for x in lines:
+                if take + x > left:
+                    break
+                take, kept = take + x, kept + 1
+        else:
+            decision, take, kept = "BUDGET_EXHAUSTED" if left <= 0 else "CANDIDATE_TOO_LARGE" if total > budget else "TOKEN_BUDGET_EXCEEDED", 0, 0
+        s["used"] += take
+        return {"decision": decision, "tokens": take, "kept_lines": kept, "used": s["used"]}
+
+    out = "decision string, tokens bigint, kept_lines int, used bigint"
+    return ordered_fold(c, "query_id", [F.col("rank"), F.col("candidate_id")], start, step, out).select("query_id", "candidate_id", "decision", "tokens", "kept_lines", "used")
+
+
+def packing_stats(packed: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(query_id, n_input, n_packed, n_truncated, n_omitted, tokens, remaining, utilisation) of pack_context(); budgets: (query_id, budget)."""
+    inside = F.col("decision").isin("INCLUDED", "TRUNCATED")
+    got = packed.groupBy("query_id").agg(F.count("*").alias("n_input"), F.count_if(inside).alias("n_packed"), F.count_if(F.col("decision") == "TRUNCATED").alias("n_truncated"), F.count_if(~inside).alias("n_omitted"), F.sum("tokens").alias("tokens"))
+    budget = F.coalesce("budget", F.lit(0)).cast("bigint")
+    return got.join(budgets, "query_id", "left").select(
+        "query_id", "n_input", "n_packed", "n_truncated", "n_omitted", "tokens", F.greatest(budget - F.col("tokens"), F.lit(0)).alias("remaining"),
+        F.when(budget > 0, F.round(F.least(F.col("tokens") / budget, F.lit(1.0)), 6)).otherwise(0.0).alias("utilisation"),
+    )
+
+
 def formatted(item: dict[str, Column]) -> Column:
     """One context item as text: five header lines and the code in a fence. item: id, symbol, path, lines, language, code."""
     return F.concat_ws(

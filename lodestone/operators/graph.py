@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.keys import norm_id, norm_name
+from lodestone.functions.text import type_names
 from lodestone.session import cut_lineage
 
 #: The kinds of edges that carry dependencies, and those that only say where something stands.
@@ -45,6 +46,44 @@ def reference_edges(refs: DataFrame) -> DataFrame:
     )
 
 
+def classified(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges, in which a call of a class or interface, which makes an object, is a use."""
+    kinds = nodes.select(F.col("node_id").alias("target_id"), F.col("kind").alias("target_kind"))
+    kind = F.when((F.col("kind") == "calls") & F.col("target_kind").isin("class", "interface"), "uses").otherwise(F.col("kind"))
+    return edges.join(kinds, "target_id", "left").withColumn("kind", kind).select(edges.columns)
+
+
+TYPE_CONFIDENCE = 0.9
+
+
+def type_edges(typed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(edge_id, source_id, target_id, kind, confidence): uses edges from what has a type to the types that are nodes.
+
+    typed: (source_id, repository_id, type_text). Of the nodes of the repository with a part's qualified name, else its
+    name, the smallest id holds; a type that names its own source gives no edge. Null and blank types name nothing.
+    """
+    parts = typed.select("source_id", "repository_id", F.explode(type_names("type_text")).alias("t")).distinct()
+    types = nodes.where(F.col("kind").isin("class", "interface"))
+    keys = F.explode(F.array(F.struct(F.lit(0).alias("way"), F.col("qualified_name").alias("t")), F.struct(F.lit(1).alias("way"), F.col("name").alias("t")))).alias("k")
+    named = types.select("node_id", "repository_id", keys).select("node_id", "repository_id", "k.*").where("t is not null").groupBy("repository_id", "t", "way").agg(F.min("node_id").alias("node_id"))
+    hit = parts.join(named, ["repository_id", "t"]).groupBy("source_id", "t").agg(F.min(F.struct("way", "node_id")).alias("m")).select("source_id", F.col("m.node_id").alias("target_id")).where("source_id <> target_id").distinct()
+    return hit.select(F.concat_ws(":", "source_id", F.lit("type"), "target_id").alias("edge_id"), "source_id", "target_id", F.lit("uses").alias("kind"), F.lit(TYPE_CONFIDENCE).alias("confidence"))
+
+
+def ordered_paths(paths: DataFrame) -> DataFrame:
+    """paths of simple_paths() with their place under each root: by depth, target and the way itself."""
+    w = Window.partitionBy("root_id").orderBy("depth", "node_id", "path")
+    return paths.withColumn("place", F.row_number().over(w))
+
+
+def require_nodes(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """roots (node_id); an error that names up to ten of them that are no nodes."""
+    lost = [r["node_id"] for r in roots.join(nodes.select("node_id"), "node_id", "left_anti").orderBy("node_id").limit(10).collect()]
+    if lost:
+        raise KeyError(f"no such nodes: {', '.join(map(str, lost))}")
+    return roots
+
+
 def containment_edges(nodes: DataFrame) -> DataFrame:
     """declares edges from a parent to each of its children."""
     return nodes.where("parent_id is not null").select(F.concat_ws(">", "parent_id", "node_id").alias("edge_id"), F.col("parent_id").alias("source_id"), F.col("node_id").alias("target_id"), F.lit("declares").alias("kind"))
@@ -113,6 +152,7 @@ def simple_paths(edges: DataFrame, roots: DataFrame, direction: str = "in", kind
         at = at.join(steps, F.col("node_id") == F.col("at")).where(~F.array_contains("path", F.col("to"))).select(
             "root_id", F.col("to").alias("node_id"), F.concat("path", F.array("to")).alias("path"), F.array_sort(F.array_union("kinds", "k")).alias("kinds")
         )
+        at = cut_lineage(at)
         level = at.withColumn("depth", F.lit(depth))
         out = level if out is None else out.unionByName(level)
     return out if out is not None else at.withColumn("depth", F.lit(0)).where(F.lit(False))
@@ -127,7 +167,7 @@ def impact(edges: DataFrame, roots: DataFrame, max_depth: int = 3, kinds: Sequen
 
 
 def invalidated(impacted: DataFrame) -> DataFrame:
-    """(node_id, min_depth, n_roots): over all changed roots, without the roots themselves."""
+    """(node_id, min_depth, n_roots): over all changed roots, without the roots themselves. impacted: (root_id, node_id, min_depth)."""
     roots = impacted.select(F.col("root_id").alias("node_id")).distinct()
     return impacted.groupBy("node_id").agg(F.min("min_depth").alias("min_depth"), F.count_distinct("root_id").alias("n_roots")).join(roots, "node_id", "left_anti")
 
@@ -139,6 +179,29 @@ def induced(edges: DataFrame, reached: DataFrame) -> DataFrame:
     return a.join(inside.withColumnRenamed("node_id", "target_id"), ["root_id", "target_id"], "left_semi").select("root_id", "edge_id").distinct()
 
 
+GRAM = 3
+SEARCH_BROADCAST = 200_000
+
+
+def symbol_search(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, node_id, kind): nodes whose name or qualified name holds the query's text, letter case ignored.
+
+    queries: (query_id, text). A text is looked up by one of its trigrams, the first; a node by all that its names hold,
+    so no query meets every node; texts of fewer signs by themselves as whole grams. Null and blank texts find nothing.
+    """
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+
+    def grams(c: Column, n: int) -> Column:
+        return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    asked = queries.select("query_id", F.lower(F.trim("text")).alias("q")).where("q <> ''").withColumn("gram", F.substring("q", 1, GRAM))
+    if asked.limit(SEARCH_BROADCAST + 1).count() <= SEARCH_BROADCAST:
+        asked = F.broadcast(asked)
+    each = F.array_distinct(F.concat(*[grams(F.col(c), n) for c in ("a", "b") for n in range(1, GRAM + 1)]))
+    held = nodes.select("node_id", "kind", low("name").alias("a"), low("qualified_name").alias("b")).select("*", F.explode(each).alias("gram"))
+    return held.join(asked, "gram").where("contains(a, q) or contains(b, q)").select("query_id", "node_id", "kind").distinct()
+
+
 def without_nodes(edges: DataFrame, gone: DataFrame) -> DataFrame:
     """Edges left after nodes are removed."""
     g = gone.select("node_id")

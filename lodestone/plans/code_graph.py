@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, resolve
+from lodestone.functions.keys import norm_id
+from lodestone.operators import graph, records, resolve
 from lodestone.session import cut_lineage, table
 
 
@@ -64,7 +65,7 @@ def graph_impact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_invalidated(spark: SparkSession, d: str) -> DataFrame:
-    return graph.invalidated(cut_lineage(graph.impact(_sound(spark, d), _roots(spark, d), 3)))
+    return graph.invalidated(graph.traverse(_sound(spark, d), _roots(spark, d), "in", graph.DEPENDENCY_KINDS, 3).withColumnRenamed("depth", "min_depth"))
 
 
 def graph_subgraph(spark: SparkSession, d: str) -> DataFrame:
@@ -77,9 +78,28 @@ def graph_without_roots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def symbol_search(spark: SparkSession, d: str) -> DataFrame:
-    """Substring search on names and qualified names, letter case ignored."""
-    q = "ledger"
-    return _nodes(spark, d).where(F.lower("name").contains(q) | F.lower("qualified_name").contains(q)).select("node_id", "kind", "name")
+    """Every root's name, looked for in all names and qualified names, letter case ignored."""
+    n = _nodes(spark, d)
+    asked = n.join(_roots(spark, d), "node_id", "left_semi").select(F.col("node_id").alias("query_id"), F.col("name").alias("text"))
+    return graph.symbol_search(n, asked)
+
+
+def graph_classified(spark: SparkSession, d: str) -> DataFrame:
+    n = _nodes(spark, d)
+    e = graph.classified(_sound(spark, d), n)
+    return e.join(n.select(F.col("node_id").alias("target_id"), F.col("kind").alias("target_kind")), "target_id").groupBy("kind", "target_kind").agg(F.count("*").alias("n"))
+
+
+def file_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return records.file_symbols(_nodes(spark, d)).select("file_id", F.concat_ws("|", "symbols").alias("symbols"), F.size("symbols").cast("bigint").alias("n"))
+
+
+def nodes_in_order(spark: SparkSession, d: str) -> DataFrame:
+    return records.in_order(_nodes(spark, d), ["repository_id"]).select("repository_id", "node_id", "place")
+
+
+def repositories_listed(spark: SparkSession, d: str) -> DataFrame:
+    return records.listed(table(spark, d, "repositories").withColumn("repository_id", norm_id("repository_id")), "created_at", "repository_id").select("repository_id", "name", "status", "place")
 
 
 def references_resolved(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +114,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         graph_kinds, graph_dangling, graph_containment, graph_callers, graph_neighbours, graph_traverse, graph_dependents, graph_impact, graph_invalidated, graph_subgraph,
-        graph_without_roots, symbol_search, references_resolved, imports_resolved,
+        graph_without_roots, graph_classified, file_symbols, nodes_in_order, repositories_listed, symbol_search, references_resolved, imports_resolved,
     )
 }
 
@@ -180,7 +200,16 @@ FROM (SELECT edge_id, source_id IN (SELECT node_id FROM nodes) AS s, target_id I
     + """, ins AS (SELECT DISTINCT root_id, node_id FROM walk WHERE root_id IN (SELECT root_id FROM walk WHERE depth > 0 AND node_id <> root_id))
 SELECT DISTINCT a.root_id, e.edge_id FROM sound e JOIN ins a ON a.node_id = e.source_id JOIN ins b ON b.node_id = e.target_id AND b.root_id = a.root_id""",
     "graph_without_roots": _GRAPH + "SELECT edge_id, source_id, target_id, kind FROM edges WHERE source_id NOT IN (SELECT node_id FROM roots) AND target_id NOT IN (SELECT node_id FROM roots)",
-    "symbol_search": _GRAPH + "SELECT node_id, kind, name FROM nodes WHERE contains(lower(name), 'ledger') OR contains(lower(qualified_name), 'ledger')",
+    "symbol_search": _GRAPH
+    + """, qn AS (SELECT node_id AS query_id, lower(trim(name)) AS q FROM nodes JOIN roots USING (node_id) WHERE trim(name) <> '')
+SELECT query_id, node_id, kind FROM nodes JOIN qn ON contains(lower(name), q) OR contains(lower(qualified_name), q)""",
+    "graph_classified": _GRAPH
+    + """, k AS (SELECT CASE WHEN s.kind = 'calls' AND n.kind IN ('class', 'interface') THEN 'uses' ELSE s.kind END AS kind, n.kind AS target_kind FROM sound s JOIN nodes n ON n.node_id = s.target_id)
+SELECT kind, target_kind, count(*) AS n FROM k GROUP BY 1, 2""",
+    "file_symbols": _GRAPH + "SELECT file_id, array_to_string(list_sort(list(DISTINCT qualified_name)), '|') AS symbols, count(DISTINCT qualified_name) AS n FROM nodes WHERE file_id IS NOT NULL AND qualified_name IS NOT NULL GROUP BY 1",
+    "nodes_in_order": _GRAPH + "SELECT repository_id, node_id, CAST(row_number() OVER (PARTITION BY repository_id ORDER BY kind NULLS FIRST, qualified_name NULLS FIRST, node_id) AS INTEGER) AS place FROM nodes",
+    "repositories_listed": """SELECT lower(trim(repository_id)) AS repository_id, name, status, CAST(row_number() OVER (ORDER BY created_at DESC, lower(trim(repository_id))) AS INTEGER) AS place FROM repositories""",
+
     "references_resolved": _RESOLVE,
     "imports_resolved": _GRAPH
     + """, ref AS (SELECT DISTINCT lower(trim(reference_id)) AS reference_id, lower(trim(repository_id)) AS repo, regexp_replace(trim(target_qualified_name), '\\.\\*$', '') AS target

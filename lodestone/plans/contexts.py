@@ -56,6 +56,62 @@ def context_budget_report(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("query_id").agg(F.count_if(F.col("decision") == "INCLUDED").alias("n_included"), F.count_if(F.col("decision") == "OMITTED").alias("n_omitted"), F.max("used").alias("used"))
 
 
+def _with_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Items with budget and policy; an item's code tokens are spread over its lines, the rest over the first ones."""
+    c = table(spark, d, "budget_configs")
+    reserves = sum(F.coalesce(F.col(r), F.lit(0)) for r in ("reserved_system_tokens", "reserved_query_tokens", "reserved_output_tokens", "safety_margin_tokens"))
+    b = c.groupBy("config_id").agg(F.max(F.greatest(F.lit(0), F.col("max_context_tokens") - reserves)).alias("budget"), F.max("overflow_policy").alias("policy"))
+    n = F.greatest(F.lit(1), F.coalesce(F.col("end_line") - F.col("start_line") + 1, F.lit(1)))
+    code = F.coalesce("code_tokens", F.lit(0))
+    lines = F.transform(F.sequence(F.lit(1), n), lambda i: F.floor(code / n).cast("int") + (i <= code % n).cast("int"))
+    return _items(spark, d).join(b, "config_id", "left").select("query_id", "candidate_id", "rank", "header_tokens", lines.alias("line_tokens"), "budget", "policy")
+
+
+def context_packing(spark: SparkSession, d: str) -> DataFrame:
+    return context.pack_context(_with_budget(spark, d), 20, 4000)
+
+
+def context_packing_stats(spark: SparkSession, d: str) -> DataFrame:
+    i = cut_lineage(_with_budget(spark, d))
+    return context.packing_stats(context.pack_context(i, 20, 4000), i.groupBy("query_id").agg(F.max("budget").alias("budget")))
+
+
+_RELATIONS = ("NONE", "CALLS", "CALLERS", "DEPENDENCIES", "DEPENDENTS", "USES", "IMPORTS", "EXTENDS")
+_INTENTS = ("SYMBOL", "DEPENDENCY", "IMPACT", "ARCHITECTURE", "EXPLANATION", "SEARCH")
+_SCOPES = ("SYMBOL", "FILE", "MODULE", "PACKAGE", "REPOSITORY")
+
+
+def _varied(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates whose relation, depth, sources, intent and scope vary with rank and query, with their features and reasons."""
+    i = _items(spark, d)
+    top = i.where("rank = 1").groupBy("query_id").agg(F.min("symbol_name").alias("target"))
+    q = F.conv(F.substring("query_id", 1, 4), 16, 10).cast("int")
+
+    def pick(names: tuple[str, ...], k) -> F.Column:
+        return F.element_at(F.array(*[F.lit(n) for n in names]), (k % len(names) + 1).cast("int"))
+
+    c = i.join(top, "query_id", "left").select(
+        "query_id", "candidate_id", "rank", "final_score", F.col("final_score").alias("retrieval_score"), "symbol_name", "qualified_name", "file_path", "start_line", "end_line", "node_kind",
+        pick(_RELATIONS, F.col("rank")).alias("relation"), (F.col("rank") % 4).cast("int").alias("depth"), (F.col("rank") % 3).alias("n_sources"), (F.col("rank") % 5 == 0).alias("has_graph"), "target",
+        pick(_RELATIONS, q).alias("asked_relation"), pick(_INTENTS, q).alias("intent"), pick(_SCOPES, q).alias("scope"),
+        F.when(F.col("rank") % 5 == 0, "GRAPH_EXPANSION").otherwise("RETRIEVAL").alias("source"),
+    )
+    return c
+
+
+def context_ranking_varied(spark: SparkSession, d: str) -> DataFrame:
+    return context.rank_context(_varied(spark, d).drop("rank", "final_score"))
+
+
+def context_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Survivors of the duplicates in pruning order, with what their groups bring together."""
+    f = context.prune_order(context.rank_features(_varied(spark, d)).withColumn("reason_codes", context.reason_codes()).drop("rank"))
+    f = cut_lineage(f)
+    g = context.duplicate_groups(f.select("query_id", "candidate_id", "rank", "file_path", "start_line", "end_line", "symbol_name", "qualified_name", "node_kind"), context.NEAR_JACCARD)
+    m = context.merge_groups(f.select("query_id", "candidate_id", "rank", "qualified_name", "source", "reason_codes", *[n for n in f.columns if n.startswith("f_")]), g)
+    return m.select("query_id", "candidate_id", "n_merged", F.concat_ws("+", "merged_ids").alias("merged_ids"), F.concat_ws("+", "reason_codes").alias("reason_codes"), "source", "reason", F.round("f_entity", 6).alias("entity"), F.round("f_provenance", 6).alias("provenance"), F.round("f_proximity", 6).alias("proximity"))
+
+
 def context_texts(spark: SparkSession, d: str) -> DataFrame:
     i = _items(spark, d)
     text = context.formatted({"id": F.col("candidate_id"), "symbol": F.col("symbol_name"), "path": F.col("file_path"), "lines": F.concat_ws("-", "start_line", "end_line"), "language": language_of("file_path"), "code": F.col("qualified_name")})
@@ -99,8 +155,7 @@ def path_modules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hash_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "eval_items").select("item_id", hash_embedding(F.col("text"), dimension=16).alias("v"))
-    return v.select("item_id", F.round(F.col("v")[0], 6).alias("v0"), F.round(F.col("v")[7], 6).alias("v7"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(hash_embedding(F.col("text"))).alias("place", "value")).select("doc_id", "place", F.round("value", 6).alias("value"))
 
 
 def chunk_files(spark: SparkSession, d: str) -> DataFrame:
@@ -110,8 +165,10 @@ def chunk_files(spark: SparkSession, d: str) -> DataFrame:
 def chunk_entities(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "ir_entities")
     spans = e.groupBy(norm_id("entity_id").alias("node_id")).agg(F.min(F.struct("start_line", "end_line")).alias("r")).select("node_id", "r.*")
-    c = chunking.entity_chunks(table(spark, d, "source_files"), graph.entity_nodes(e), spans)
-    return c.select("entity_id", "chunk_type", "sub_index", "n_sub", "start_line", "end_line", F.md5("content").alias("digest"))
+    nodes = graph.entity_nodes(e)
+    signed = chunking.signatures(nodes, table(spark, d, "code_refs"), e.groupBy(norm_id("entity_id").alias("node_id")).agg(F.bool_or("is_async").alias("is_async")))
+    c = chunking.entity_chunks(table(spark, d, "source_files"), nodes, spans, signed, 20)
+    return c.select("entity_id", "chunk_type", "sub_index", "n_sub", "start_line", "end_line", "signature", F.md5("content").alias("digest"))
 
 
 def chunk_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +207,7 @@ def changed_files_audit(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        context_ranking, context_duplicates, context_near_duplicates, context_pruning, context_budget, context_budget_report, context_texts, grounding_claims, grounding_summary, answer_claims,
+        context_ranking, context_duplicates, context_near_duplicates, context_pruning, context_budget, context_budget_report, context_packing, context_packing_stats, context_ranking_varied, context_merged, context_texts, grounding_claims, grounding_summary, answer_claims,
         question_plans, question_identifiers, token_estimates, path_modules, hash_embeddings, chunk_files, chunk_entities, chunk_upsert, symbol_diff, reindex_actions, index_version, changed_files_audit,
     )
 }
@@ -207,7 +264,71 @@ f AS (SELECT file_id, r.path AS path, replace(replace(r.content, chr(13) || chr(
 l AS (SELECT file_id, path, CASE WHEN t = '' THEN []::VARCHAR[] ELSE string_split(regexp_replace(t, '\\n$', ''), chr(10)) END AS lines FROM f)
 """
 
+_PACK = "WITH RECURSIVE " + _ITEMS + """,
+pol AS (SELECT config_id, max(overflow_policy) AS policy FROM budget_configs GROUP BY 1),
+z AS (SELECT o.query_id, o.candidate_id, at_row, coalesce(header_tokens, 0) AS h, coalesce(code_tokens, 0) AS c, greatest(1, coalesce(end_line - start_line + 1, 1)) AS n, coalesce(budget, 0) AS b, policy FROM o LEFT JOIN pol USING (config_id)),
+g AS (
+  SELECT query_id, NULL::VARCHAR AS candidate_id, 0::BIGINT AS at_row, NULL::VARCHAR AS decision, 0::BIGINT AS tokens, 0::INTEGER AS kept_lines, 0::BIGINT AS used FROM (SELECT DISTINCT query_id FROM z)
+  UNION ALL
+  SELECT query_id, candidate_id, at_row, decision, t, k, used + t FROM (
+    SELECT *, CASE decision WHEN 'INCLUDED' THEN h + c WHEN 'TRUNCATED' THEN h + k * (c // n) + least(k, c % n) ELSE 0 END::BIGINT AS t FROM (
+      SELECT *, CASE decision WHEN 'INCLUDED' THEN n WHEN 'TRUNCATED' THEN len(list_filter(range(1, n + 1), lambda i: h + i * (c // n) + least(i, c % n) <= b - used)) ELSE 0 END::INTEGER AS k FROM (
+        SELECT z.*, used, CASE WHEN h + c < 20 THEN 'BELOW_MINIMUM' WHEN h + c > 4000 THEN 'CANDIDATE_TOO_LARGE' WHEN h + c <= b - used THEN 'INCLUDED' WHEN policy = 'TRUNCATE' AND b - used > h + 10 THEN 'TRUNCATED'
+          WHEN b - used <= 0 THEN 'BUDGET_EXHAUSTED' WHEN h + c > b THEN 'CANDIDATE_TOO_LARGE' ELSE 'TOKEN_BUDGET_EXCEEDED' END AS decision
+        FROM g JOIN z ON z.query_id = g.query_id AND z.at_row = g.at_row + 1))))
+"""
+
+_VARIED = "WITH RECURSIVE " + _ITEMS + """,
+tt AS (SELECT query_id, min(symbol_name) AS target FROM it WHERE rank = 1 GROUP BY 1),
+va AS (SELECT it.query_id, candidate_id, final_score, coalesce(final_score, 0) AS s, symbol_name, qualified_name, file_path, start_line, end_line, node_kind, ['NONE', 'CALLS', 'CALLERS', 'DEPENDENCIES', 'DEPENDENTS', 'USES', 'IMPORTS', 'EXTENDS'] AS names,
+  names[rank % 8 + 1] AS rel, rank % 4 AS depth, rank % 3 AS ns, rank % 5 = 0 AS gr, ('0x' || it.query_id[1:4])::INT AS qn, names[qn % 8 + 1] AS asked,
+  ['SYMBOL', 'DEPENDENCY', 'IMPACT', 'ARCHITECTURE', 'EXPLANATION', 'SEARCH'][qn % 6 + 1] AS intent, ['SYMBOL', 'FILE', 'MODULE', 'PACKAGE', 'REPOSITORY'][qn % 5 + 1] AS scope,
+  CASE WHEN rank % 5 = 0 THEN 'GRAPH_EXPANSION' ELSE 'RETRIEVAL' END AS src,
+  lower(trim(coalesce(target, ''))) AS g, lower(trim(coalesce(symbol_name, ''))) AS sy, lower(trim(coalesce(qualified_name, ''))) AS q, lower(trim(coalesce(file_path, ''))) AS p, upper(node_kind) AS nk FROM it LEFT JOIN tt USING (query_id)),
+fe AS (SELECT *, CASE WHEN g <> '' AND (g = q OR g = sy) THEN 1.0 WHEN g <> '' AND contains(p, g) THEN 0.8 WHEN g <> '' AND (contains(sy, g) OR contains(q, g)) THEN 0.5 ELSE 0 END::DOUBLE AS fe,
+  CASE WHEN intent IN ('DEPENDENCY', 'EXPLANATION') AND rel IN ('CALLS', 'CALLERS', 'DEPENDENCIES', 'DEPENDENTS', 'USES', 'IMPORTS') THEN 1.0 WHEN intent = 'IMPACT' AND rel <> 'NONE' THEN 1.0
+    WHEN intent = 'SYMBOL' AND nk IN ('FUNCTION', 'METHOD', 'CLASS', 'INTERFACE') THEN 1.0 WHEN intent = 'ARCHITECTURE' AND nk IN ('MODULE', 'FILE', 'PACKAGE', 'CLASS') THEN 1.0 ELSE 0.3 END::DOUBLE AS fi,
+  CASE WHEN asked = 'NONE' THEN 0.5 WHEN asked = rel THEN 1.0 WHEN (asked, rel) IN (('CALLERS', 'CALLS'), ('CALLS', 'CALLERS'), ('DEPENDENTS', 'DEPENDENCIES')) THEN 0.7 WHEN rel <> 'NONE' THEN 0.3 ELSE 0 END::DOUBLE AS fr,
+  CASE WHEN gr AND ns > 1 THEN 1.0 WHEN ns > 1 THEN 0.9 WHEN gr THEN 0.5 WHEN ns = 1 THEN 0.6 ELSE 0.3 END::DOUBLE AS fp, 1 / (1 + depth * 0.5::DOUBLE) AS fx,
+  CASE WHEN scope = 'SYMBOL' AND (sy <> '' OR q <> '') THEN CASE WHEN g <> '' AND sy = g THEN 1.0 ELSE 0.7 END WHEN scope = 'FILE' AND p <> '' THEN 0.9 WHEN scope IN ('MODULE', 'PACKAGE') THEN 0.8 ELSE 0.5 END::DOUBLE AS fs,
+  CASE WHEN p = '' THEN 0 WHEN g <> '' AND contains(p, g) THEN 1.0 ELSE 0.2 END::DOUBLE AS fl FROM va),
+cx AS (SELECT *, round(0.30::DOUBLE * (1 / (1 + exp(-s))) + 0.25::DOUBLE * fe + 0.15::DOUBLE * fi + 0.10::DOUBLE * fr + 0.10::DOUBLE * fp + 0.05::DOUBLE * fx + 0.03::DOUBLE * fs + 0.02::DOUBLE * fl, 6) AS sc FROM fe)
+"""
+
+_STAR = """
+w AS (SELECT *, CASE WHEN file_path IS NOT NULL AND start_line IS NOT NULL AND end_line IS NOT NULL THEN file_path || chr(1) || start_line || '-' || end_line END AS place, nullif(lower(trim(qualified_name)), '') AS nm,
+  list_distinct(list_filter(list_concat([nullif(lower(symbol_name), ''), nullif(lower(node_kind), ''), 'lines:' || start_line || '-' || end_line], coalesce(string_split(nullif(lower(trim(qualified_name)), ''), '.'), [])), lambda x: x IS NOT NULL)) AS tr FROM ORDERED),
+f AS (
+  SELECT query_id, 0::BIGINT AS at_row, NULL::VARCHAR AS candidate_id, NULL::VARCHAR AS survivor_id, NULL::VARCHAR AS reason, []::STRUCT(id VARCHAR, place VARCHAR, nm VARCHAR, fp VARCHAR, tr VARCHAR[])[] AS st FROM (SELECT DISTINCT query_id FROM w)
+  UNION ALL
+  SELECT query_id, at_row, candidate_id, coalesce(hit.id, candidate_id), CASE WHEN hit IS NULL THEN NULL WHEN hit.place = place THEN 'EXACT' WHEN hit.nm = nm THEN 'LOGICAL' ELSE 'NEAR' END,
+    CASE WHEN hit IS NULL THEN list_append(st, {'id': candidate_id, 'place': place, 'nm': nm, 'fp': file_path, 'tr': tr}) ELSE st END
+  FROM (SELECT w.*, f.st, list_filter(f.st, lambda x: coalesce(x.place = w.place, false) OR coalesce(x.nm = w.nm, false) OR (NEARBY))[1] AS hit FROM f JOIN w ON w.query_id = f.query_id AND w.at_row = f.at_row + 1))
+"""
+_NEARBY = "coalesce(x.fp = w.file_path, false) AND len(x.tr) > 0 AND len(w.tr) > 0 AND len(list_intersect(x.tr, w.tr)) >= 0.85 * len(list_distinct(list_concat(x.tr, w.tr)))"
+_DUPLICATES = "WITH RECURSIVE " + _ITEMS + "," + _STAR.replace("ORDERED", "o") + "SELECT query_id, candidate_id, survivor_id, reason FROM f WHERE candidate_id IS NOT NULL"
+
 SQL = {
+    "context_duplicates": _DUPLICATES.replace("NEARBY", "false"),
+    "context_near_duplicates": _DUPLICATES.replace("NEARBY", _NEARBY),
+    "context_packing": _PACK + "SELECT query_id, candidate_id, decision, tokens, kept_lines, used FROM g WHERE candidate_id IS NOT NULL",
+    "context_packing_stats": _PACK
+    + """SELECT query_id, count(*) AS n_input, count(*) FILTER (decision IN ('INCLUDED', 'TRUNCATED')) AS n_packed, count(*) FILTER (decision = 'TRUNCATED') AS n_truncated, count(*) FILTER (decision NOT IN ('INCLUDED', 'TRUNCATED')) AS n_omitted,
+  sum(tokens)::BIGINT AS tokens, greatest(0, max(b) - sum(tokens))::BIGINT AS remaining, CASE WHEN max(b) > 0 THEN round(least(1.0, sum(tokens) / max(b)), 6) ELSE 0 END::DOUBLE AS utilisation
+FROM (SELECT g.*, z.b FROM g JOIN z USING (query_id, candidate_id)) GROUP BY 1""",
+    "context_ranking_varied": _VARIED
+    + "SELECT query_id, candidate_id, sc AS context_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, s DESC, fp DESC, depth, rel, candidate_id) AS INTEGER) AS context_rank FROM cx",
+    "context_merged": _VARIED
+    + """, po AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(final_score, 6) DESC NULLS LAST, fp DESC, s DESC, depth, rel, candidate_id) AS at_row,
+  CASE WHEN fe >= 1 OR fi >= 0.8 OR fr >= 0.8 OR fp >= 0.9 THEN list_filter([CASE WHEN fe >= 1 THEN 'DIRECT_QUERY_TARGET' END, CASE WHEN fi >= 0.8 THEN 'PRIMARY_INTENT_MATCH' END, CASE WHEN fr >= 0.8 THEN 'RELATIONSHIP_MATCH' END,
+    CASE WHEN fp >= 0.9 THEN 'MULTI_SOURCE_EVIDENCE' END], lambda x: x IS NOT NULL) ELSE ['SUPPORTING_CONTEXT'] END AS codes FROM cx),"""
+    + _STAR.replace("ORDERED", "po").replace("NEARBY", _NEARBY)
+    + """, gr AS (SELECT po.*, f.survivor_id, po.candidate_id = survivor_id AS own, coalesce(qualified_name, '') AS qn2 FROM f JOIN po USING (query_id, candidate_id)),
+ag AS (SELECT query_id, survivor_id, count(*) AS n_merged, array_to_string(list_sort(list(candidate_id)), '+') AS merged_ids, list_distinct(flatten(list(codes))) AS codes, bool_or(src = 'RETRIEVAL') AS r, bool_or(src = 'GRAPH_EXPANSION') AS g,
+  max(src) FILTER (own) AS own_src, max(qn2) FILTER (own) AS oq, arg_max(qn2, at_row) FILTER (NOT own) AS lq, max(fe) AS fe, max(fp) AS fp, max(fx) AS fx FROM gr GROUP BY 1, 2)
+SELECT query_id, survivor_id AS candidate_id, n_merged, merged_ids, array_to_string(list_sort(CASE WHEN r AND g AND n_merged > 1 AND NOT list_contains(codes, 'MULTI_SOURCE_EVIDENCE') THEN list_append(codes, 'MULTI_SOURCE_EVIDENCE') ELSE codes END), '+') AS reason_codes,
+  CASE WHEN n_merged = 1 THEN own_src WHEN r AND g THEN 'RETRIEVAL+GRAPH_EXPANSION' WHEN r THEN 'RETRIEVAL' ELSE 'GRAPH_EXPANSION' END AS source,
+  CASE WHEN n_merged > 1 THEN CASE WHEN oq <> '' AND oq = lq THEN 'LOGICAL' ELSE 'NEAR' END END AS reason, round(fe, 6) AS entity, round(CASE WHEN r AND g AND n_merged > 1 THEN 1.0::DOUBLE ELSE fp END, 6) AS provenance, round(fx, 6) AS proximity FROM ag""",
     "context_ranking": "WITH " + _ITEMS
     + """, t AS (SELECT query_id, min(symbol_name) AS target FROM it WHERE rank = 1 GROUP BY 1),
 x AS (SELECT it.query_id, candidate_id, coalesce(final_score, 0) AS s, lower(trim(coalesce(target, ''))) AS g, lower(trim(coalesce(symbol_name, ''))) AS sy, lower(trim(coalesce(qualified_name, ''))) AS q,
@@ -228,6 +349,11 @@ SELECT query_id, candidate_id, concat_ws(chr(10), '[CTX:' || candidate_id || ']'
 FROM documents WHERE lower(trim(source)) = 'answer_log'""",
     "token_estimates": """SELECT doc_id, CAST(CASE WHEN coalesce(length(text), 0) = 0 THEN 0
   ELSE greatest(1, len(regexp_extract_all(text, '[\\p{L}\\p{N}\\p{M}_]+|[^\\p{L}\\p{N}\\p{M}_\\s]')), ceil(length(text) / 4.0)) END AS BIGINT) AS tokens FROM documents""",
+    "hash_embeddings": """
+WITH h AS (SELECT doc_id, sha256('hash:1:' || coalesce(text, '')) AS h FROM documents),
+r AS (SELECT doc_id, list_transform(range(0, 64), lambda i: (('0x' || h[2 * (i % 32) + 1:2 * (i % 32) + 2])::INT * 256 + ('0x' || h[2 * ((7 * i + 13) % 32) + 1:2 * ((7 * i + 13) % 32) + 2])::INT) / 32767.5::DOUBLE - 1) AS r FROM h),
+u AS (SELECT doc_id, r, sqrt(list_sum(list_transform(r, lambda x: x * x))) AS n FROM r)
+SELECT doc_id, CAST(i AS INTEGER) AS place, round(r[i + 1] / n, 6) AS value FROM u, (SELECT unnest(range(0, 64)) AS i)""",
     "chunk_files": _FILES + "SELECT file_id, 1 AS start_line, CAST(least(len(lines), 150) AS INTEGER) AS end_line, md5(array_to_string(lines[1:150], chr(10))) AS digest FROM l",
     "chunk_upsert": _FILES + "SELECT file_id, path, CAST(len(lines) AS INTEGER) AS n_lines FROM l",
     "symbol_diff": _SYMBOLS
@@ -311,12 +437,22 @@ SELECT repository_id, count(d) AS n_derived, count(l) AS n_logged, count(*) FILT
   round(CASE WHEN count(l) > 0 THEN count(*) FILTER (d IS NOT NULL AND l IS NOT NULL) / count(l) ELSE 0 END, 6)::DOUBLE AS precision,
   round(CASE WHEN count(d) > 0 THEN count(*) FILTER (d IS NOT NULL AND l IS NOT NULL) / count(d) ELSE 0 END, 6)::DOUBLE AS recall FROM bo GROUP BY 1""",
     "chunk_entities": _FILES
-    + """, n AS (SELECT lower(trim(entity_id)) AS node_id, min(lower(trim(kind))) AS kind, min(lower(trim(file_id))) AS file_id, min({'s': start_line, 'e': end_line}) AS sp FROM ir_entities GROUP BY 1),
-b AS (SELECT node_id, kind, sp.s AS s, lines[sp.s:sp.e] AS body FROM n JOIN l USING (file_id) WHERE kind IN ('class', 'interface', 'function', 'method') AND sp.s >= 1 AND sp.e >= sp.s),
-c AS (SELECT *, CASE WHEN len(body) > 20 THEN ceil(len(body) / 20.0)::INTEGER ELSE 0 END AS n_sub FROM b),
+    + """, n0 AS (SELECT lower(trim(entity_id)) AS node_id, min({'kind': lower(trim(kind)), 'name': nullif(trim(name), ''), 'qn': nullif(trim(qualified_name), ''), 'file_id': nullif(lower(trim(file_id)), ''), 'repo': nullif(lower(trim(repository_id)), ''),
+    'pid': nullif(lower(trim(parent_id)), '')}) AS r, min({'s': start_line, 'e': end_line}) AS sp, bool_or(is_async) AS a FROM ir_entities WHERE nullif(trim(entity_id), '') IS NOT NULL GROUP BY 1),
+n AS (SELECT node_id, r.kind AS kind, r.name AS name, r.file_id AS file_id, r.pid AS pid, sp, a FROM n0),
+ms AS (SELECT pid AS node_id, count(*) AS nm FROM n WHERE kind = 'method' AND pid IS NOT NULL GROUP BY 1),
+up AS (SELECT lower(trim(source_symbol_id)) AS node_id, array_to_string(list_sort(list(DISTINCT trim(target_qualified_name)) FILTER (lower(trim(ref_kind)) = 'extends')), ', ') AS ex,
+  array_to_string(list_sort(list(DISTINCT trim(target_qualified_name)) FILTER (lower(trim(ref_kind)) = 'implements')), ', ') AS im
+  FROM code_refs WHERE lower(trim(ref_kind)) IN ('extends', 'implements') AND nullif(trim(source_symbol_id), '') IS NOT NULL AND nullif(trim(target_qualified_name), '') IS NOT NULL GROUP BY 1),
+b0 AS (SELECT node_id, kind, sp.s AS s, sp.e AS e, coalesce(nm, 0) AS nm, CASE WHEN sp.s >= 1 AND sp.e >= sp.s THEN coalesce(lines[sp.s:sp.e], []) ELSE [] END AS txt,
+  CASE WHEN kind IN ('class', 'interface') THEN kind || ' ' || coalesce(name, '') || CASE WHEN ex <> '' THEN ' extends ' || ex ELSE '' END || CASE WHEN im <> '' THEN ' implements ' || im ELSE '' END
+    ELSE CASE WHEN a THEN 'async ' ELSE '' END || 'def ' || coalesce(name, '') || '()' END AS signature
+  FROM n LEFT JOIN l USING (file_id) LEFT JOIN ms USING (node_id) LEFT JOIN up USING (node_id) WHERE kind IN ('class', 'interface', 'function', 'method')),
+b AS (SELECT *, len(txt) > 0 AS has, CASE WHEN len(txt) > 0 THEN txt WHEN kind IN ('class', 'interface') THEN [signature || ' {', '  // Methods: ' || nm, '}'] ELSE [signature, '    ...'] END AS body FROM b0),
+c AS (SELECT *, CASE WHEN has AND len(body) > 20 THEN ceil(len(body) / 20.0)::INTEGER ELSE 0 END AS n_sub FROM b),
 p AS (SELECT *, unnest(range(0, n_sub + 1))::INTEGER AS sub_index FROM c),
 q AS (SELECT *, CASE WHEN sub_index > 0 THEN (sub_index - 1) * 20 ELSE 0 END AS f FROM p),
 r AS (SELECT *, CASE WHEN n_sub = 0 THEN len(body) WHEN sub_index = 0 THEN 1 ELSE least(20, len(body) - f) END AS z FROM q)
-SELECT node_id AS entity_id, CASE WHEN sub_index > 0 THEN 'sub_chunk' ELSE kind END AS chunk_type, sub_index, n_sub, CAST(s + f AS INTEGER) AS start_line, CAST(s + f + greatest(z, 1) - 1 AS INTEGER) AS end_line,
-  md5(array_to_string(CASE WHEN z = 0 THEN [] ELSE body[f + 1:f + z] END, chr(10))) AS digest FROM r""",
+SELECT node_id AS entity_id, CASE WHEN sub_index > 0 THEN 'sub_chunk' ELSE kind END AS chunk_type, sub_index, n_sub, CAST(s + f AS INTEGER) AS start_line, CAST(CASE WHEN has THEN s + f + z - 1 ELSE e END AS INTEGER) AS end_line, signature,
+  md5(array_to_string(body[f + 1:f + z], chr(10))) AS digest FROM r""",
 }

@@ -33,6 +33,23 @@ def git(repo: str, *args: str) -> bytes:
     return subprocess.run(["git", "-C", repo, *args], check=True, capture_output=True).stdout
 
 
+def blobs(repo: str, ids: list[str]) -> Iterator[bytes | None]:
+    """The contents of blobs, by one process for all; None for those that aren't there."""
+    if not ids:
+        return
+    with subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as p:
+        for i in ids:
+            p.stdin.write(i.encode() + b"\n")
+            p.stdin.flush()
+            head = p.stdout.readline().split()
+            if len(head) < 3:
+                yield None
+                continue
+            yield p.stdout.read(int(head[2]))
+            p.stdout.read(1)
+        p.stdin.close()
+
+
 def full_sha(repo: str, ref: str) -> str:
     """The commit that a name stands for; an error where there is none. Names that look like options are none."""
     if ref.startswith("-"):
@@ -64,19 +81,21 @@ def raw_changes(data: bytes) -> list[tuple[str, str, str | None, str | None, str
 
 
 class _Part(InputPartition):
-    def __init__(self, ref: str):
-        self.ref = ref
+    def __init__(self, ref: str, k: int = 0):
+        self.ref, self.k = ref, k
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.repo, self.mode = options["path"], options.get("mode", "files")
+        self.slices = max(1, int(options.get("slices", "8")))
         self.refs = [r for r in options.get("commits", "HEAD").split(",") if r]
 
     def partitions(self) -> list[InputPartition]:
         shas = [full_sha(self.repo, r) for r in self.refs]
-        pairs = [f"{a}..{b}" for a, b in zip(shas, shas[1:])] if self.mode == "changes" else shas
-        return [_Part(p) for p in pairs]
+        if self.mode == "changes":
+            return [_Part(f"{a}..{b}") for a, b in zip(shas, shas[1:])]
+        return [_Part(sha, k) for sha in shas for k in range(self.slices)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if self.mode == "changes":
@@ -85,12 +104,16 @@ class _Reader(DataSourceReader):
                 for row in raw_changes(git(self.repo, "diff-tree", "-r", "-z", "--raw", "-M", "--no-abbrev", a, b)):
                     yield (a, b, *row)
             return
+        files = []
         for line in git(self.repo, "ls-tree", "-r", "-z", partition.ref).decode("utf-8", "replace").split("\0"):
             if line:
                 head, path = line.split("\t", 1)
                 _, kind, blob = head.split(" ")
                 if kind == "blob":
-                    yield (partition.ref, path, blob, git(self.repo, "cat-file", "blob", blob).decode("utf-8", "replace"))
+                    files.append((path, blob))
+        files = files[partition.k :: self.slices]
+        for (path, blob), data in zip(files, blobs(self.repo, [b for _, b in files])):
+            yield (partition.ref, path, blob, None if data is None else data.decode("utf-8", "replace"))
 
 
 class GitSource(DataSource):
@@ -98,7 +121,7 @@ class GitSource(DataSource):
 
     files: (commit_sha, path, blob_id, content) of each commit, undecodable bytes replaced. changes: (base_sha,
     target_sha, path, change_type, previous_path, old_blob_id, new_blob_id) between neighbouring commits, renames
-    paired; equal commits change nothing. One partition a commit or pair. The clone must lie where executors can
+    paired; equal commits change nothing. Each commit is read in ``slices`` partitions (8), each by one git process. The clone must lie where executors can
     read it.
     """
 
