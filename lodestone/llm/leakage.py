@@ -30,7 +30,7 @@ from lodestone.session import cut_lineage, spread
 WORDS = 13
 MAX_EDITS = 1
 #: Walks, samples of each walk, and places a sample keeps of a window of WORDS words, all for one edit.
-WALKS, SAMPLES, PLACES = 12, 3, 12
+WALKS, SAMPLES, PLACES = 8, 4, 10
 #: Rows of item keys up to which they are broadcast (about 150 bytes each); above, the join shuffles.
 BROADCAST_KEYS = 400_000
 #: The bit field has 16 bits a key, up to 2**MAX_BITS in all (32 MB); a fuller field lets more windows through, no fewer.
