@@ -35,6 +35,8 @@ HASHES = 3
 _B = 0x5851F42D4C957F2D  # odd, so it has an inverse
 _B_INV = pow(_B, -1, 2**64)
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+#: Rows of ids or signatures up to which they are broadcast (8 bytes each); above, the join shuffles.
+BROADCAST_IDS = 1_000_000
 #: Places are kept in the low bits of a hash while minima are taken, so longer texts go in pieces that overlap.
 PLACE_BITS = 20
 
@@ -188,6 +190,12 @@ def _differing(links: DataFrame, texts: DataFrame) -> DataFrame:
     return by.join(left, "a").join(right, "b").select("x", "y", "links").mapInPandas(_same, "id bigint")
 
 
+def _few(ids: DataFrame, most: int) -> DataFrame:
+    """ids, to be broadcast if they are few."""
+    ids = cut_lineage(ids)
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def copy_classes(documents: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, class_id, n_chars): texts of at least span characters; class_id is the smallest doc_id of its exact copies."""
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.sha2("text", 256).alias("digest"), F.length("text").alias("n_chars"))
@@ -196,7 +204,7 @@ def copy_classes(documents: DataFrame, span: int = SPAN) -> DataFrame:
     return rows.join(first, "digest").select("doc_id", "class_id", "n_chars").distinct()
 
 
-def shared_spans(documents: DataFrame, span: int = SPAN, q: int = Q, hashes: int = HASHES) -> tuple[DataFrame, DataFrame]:
+def shared_spans(documents: DataFrame, span: int = SPAN, q: int = Q, hashes: int = HASHES, broadcast_ids: int = BROADCAST_IDS) -> tuple[DataFrame, DataFrame]:
     """(classes, groups): copy_classes(), and (sign, span_id, class_id, begin, end): the members of every shared span.
 
     A group, named by sign and span_id, is a text of at least span characters that stands in more than one class of exact copies, its members the
@@ -208,12 +216,13 @@ def shared_spans(documents: DataFrame, span: int = SPAN, q: int = Q, hashes: int
     then differ from its class's is left out.
     """
     classes = cut_lineage(copy_classes(documents, span))
-    firsts = classes.where("doc_id = class_id").select("doc_id")
+    firsts = _few(classes.where("doc_id = class_id").select("doc_id"), broadcast_ids)
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") >= span)
     runs = spread(texts).mapInPandas(_runs(span, q, hashes), "doc_id bigint, sign bigint, run bigint, first int, last int, low int")
     runs = cut_lineage(runs.join(firsts, "doc_id", "left_semi"))
     # Signatures of one document alone share nothing.
     often = runs.groupBy("sign").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("sign")
+    often = _few(often, broadcast_ids)
     shared = cut_lineage(runs.join(often, "sign", "left_semi").distinct().withColumn("id", F.monotonically_increasing_id()))
     classed = shared.groupBy("sign", "run").agg(
         F.min(F.struct("doc_id", "first", "last", "low")).alias("m"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")

@@ -301,6 +301,7 @@ def test_shared_spans_match_brute_force(spark):
         docs.append((i, "".join(rng.choices(letters, k=20)) + s[a : a + rng.choice([29, 30, 31, 60])] + "".join(rng.choices(letters, k=20))))
     docs += [(70, "x" * 500), (71, "x" * 30), (72, "xy" * 100), (73, docs[3][1]), (74, docs[3][1]), (75, None), (76, ""), (77, "ab" * 300 + "q" + "ab" * 40), (None, "x" * 99), docs[5]]
     df = spark.createDataFrame([(d, t, "s", "clash") for d, t in docs], DOCS)
+    assert {tuple(r) for r in spans.document_pairs(*spans.shared_spans(df, 30, 10, broadcast_ids=0)).collect()} == brute_pairs(docs, 30)
     classes, links = spans.shared_spans(df, 30, 10)
     pairs = spans.document_pairs(classes, links)
     assert {tuple(r) for r in pairs.collect()} == brute_pairs(docs, 30) and pairs.count() == len(brute_pairs(docs, 30))
