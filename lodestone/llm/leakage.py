@@ -8,8 +8,8 @@ words that stood there; windows within a few edits collide in some repetition wi
 every one. A collision is verified word by word: the edit distance between the passage and the nearest of the document's
 windows of size - k .. size + k words that begin there.
 
-Documents are read once, where they lie. The items' keys become a bit field of a bounded size, which alone is broadcast;
-what a document shuffles are the few windows with a key in it, and not even those while the items' keys are few enough
+Documents are read once, where they lie. The items' keys, and their pairs of neighbouring words, become bit fields of a
+bounded size, which alone are broadcast; windows with too many pairs that no passage has are never embedded, and what a document shuffles are the few windows with a key in it, and not even those while the items' keys are few enough
 to be broadcast as a whole. Items never reach the driver.
 """
 
@@ -168,12 +168,33 @@ def _passage_keys(max_edits: int, seed: int):
     return run
 
 
-def _met(field, sizes: list[int], max_edits: int, seed: int):
-    """(key, doc_id, at, window) of every window whose key is in the bit field, with max_edits words more than the passage."""
+def _pairs(symbols: np.ndarray) -> np.ndarray:
+    """A hash of each two neighbouring symbols."""
+    return _mix(symbols[:-1] * np.uint64(_ODD[0]) + symbols[1:] * np.uint64(_ODD[1] | 1))
+
+
+def _passage_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hashed = _Symbols()
+    for b in batches:
+        keys = [_pairs(np.array(hashed(p.split(" ")), dtype=np.uint64)) for p in b["passage"]]
+        yield pd.DataFrame({"key": np.unique(np.concatenate(keys)).view(np.int64) if keys else np.zeros(0, np.int64)})
+
+
+def _inside(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which keys have both of their bits in the field, as 0 and 1."""
+    word = bits[((key >> np.uint64(6)) & np.uint64(len(bits) - 1)).view(np.int64)]
+    return (word >> (key & np.uint64(63))) & (word >> (key >> np.uint64(58))) & np.uint64(1)
+
+
+def _met(field, pair_field, sizes: list[int], max_edits: int, seed: int):
+    """(key, doc_id, at, window) of every window whose key is in the bit field, with max_edits words more than the passage.
+
+    An edit changes at most two of a window's pairs of neighbouring words, so windows of which more than 2 * max_edits
+    pairs stand in no passage are left out before they are embedded: none of them can match.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = field.value
-        mask = np.uint64(len(bits) - 1)
+        bits, pair_bits = field.value, pair_field.value
         hashed = _Symbols()
         for b in batches:
             found = [words_of(t) for t in b["text"]]
@@ -185,15 +206,18 @@ def _met(field, sizes: list[int], max_edits: int, seed: int):
                 flat.extend(hashed(f))
                 flat.extend([0] * max_edits)
             symbols = np.array([*flat, 0], dtype=np.uint64)
+            strange = np.concatenate([[0], np.cumsum(1 - _inside(pair_bits, _pairs(symbols)).view(np.int64)), [0] * (max_edits + 2)])
             for size in sizes:
                 n = np.array([max(0, len(f) - size + 1 + max_edits) if f else 0 for f in found])
                 owner = np.repeat(np.arange(len(found)), n)
                 starts = np.repeat(np.array(first) - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+                pairs = max(0, size - max_edits - 1)
+                near = strange[starts + pairs] - strange[starts] <= 2 * max_edits
+                starts, owner = starts[near], owner[near]
                 for lo in range(0, len(starts), STEP):
                     s, o = starts[lo : lo + STEP], owner[lo : lo + STEP]
                     for key in repetitions(size, max_edits, seed).keys(symbols, s):
-                        word = bits[((key >> np.uint64(6)) & mask).view(np.int64)]
-                        hit = np.flatnonzero((word >> (key & np.uint64(63))) & (word >> (key >> np.uint64(58))) & np.uint64(1))
+                        hit = np.flatnonzero(_inside(bits, key))
                         if len(hit):
                             at = s[hit] - np.array(first)[o[hit]]
                             windows = [" ".join(found[k][a : a + size + max_edits]) for k, a in zip(o[hit], at)]
@@ -265,7 +289,9 @@ def leaks(
     if not n:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, n_windows bigint, least_edits bigint")
     field = spark.sparkContext.broadcast(_bit_field(keys, n))
-    met = spread(docs).mapInPandas(_met(field, [s for s, _ in sizes], max_edits, seed), "key bigint, doc_id bigint, at bigint, window string")
+    pair_keys = cut_lineage(passages.mapInPandas(_passage_pairs, "key bigint").distinct())
+    pair_field = spark.sparkContext.broadcast(_bit_field(pair_keys, pair_keys.count()))
+    met = spread(docs).mapInPandas(_met(field, pair_field, [s for s, _ in sizes], max_edits, seed), "key bigint, doc_id bigint, at bigint, window string")
     near = met.join(F.broadcast(keys) if n <= broadcast_keys else keys, "key")
     close = near.mapInPandas(_verified(max_edits), "doc_id bigint, passage_id bigint, at bigint, edits bigint")
     found = close.join(passages.join(owned, ["size", "passage"]).select("passage_id", "item_id"), "passage_id")
