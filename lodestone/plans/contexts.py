@@ -11,6 +11,7 @@ from lodestone.operators import changes, chunking, context, graph, grounding, qu
 from lodestone.operators.snapshots import snapshot_changes
 from lodestone.plans.core_problems import _CHANGES
 from lodestone.session import cut_lineage, table
+from lodestone.sources import parsing
 
 EARLY, LATE = "2025-05-01", "2025-08-01"
 
@@ -171,6 +172,16 @@ def chunk_entities(spark: SparkSession, d: str) -> DataFrame:
     return c.select("entity_id", "chunk_type", "sub_index", "n_sub", "start_line", "end_line", "signature", F.md5("content").alias("digest"))
 
 
+def parsed_entities(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the recorded declarations of each language and kind are parsed from the files' texts."""
+    f = chunking.kept_files(table(spark, d, "source_files"))
+    kind = F.when(F.col("kind") == "constructor", "method").when(F.col("kind") == "enum", "class").otherwise(F.col("kind"))
+    found = parsing.parse_sources(f).where("row_kind = 'entity'").select("file_id", kind.alias("kind"), "qualified_name").distinct().withColumn("found", F.lit(True))
+    known = graph.entity_nodes(table(spark, d, "ir_entities")).where("kind in ('class', 'interface', 'function', 'method') and qualified_name is not null")
+    known = known.select("file_id", "kind", "qualified_name").distinct().join(f.select("file_id", "language"), "file_id")
+    return known.join(found, ["file_id", "kind", "qualified_name"], "left").groupBy("language", "kind").agg(F.count("*").alias("n_recorded"), F.count("found").alias("n_parsed"))
+
+
 def chunk_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Redelivered files replace what was there: one row an id, the latest."""
     return chunking.kept_files(table(spark, d, "source_files")).select("file_id", "path", F.size("lines").alias("n_lines"))
@@ -208,7 +219,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         context_ranking, context_duplicates, context_near_duplicates, context_pruning, context_budget, context_budget_report, context_packing, context_packing_stats, context_ranking_varied, context_merged, context_texts, grounding_claims, grounding_summary, answer_claims,
-        question_plans, question_identifiers, token_estimates, path_modules, hash_embeddings, chunk_files, chunk_entities, chunk_upsert, symbol_diff, reindex_actions, index_version, changed_files_audit,
+        question_plans, question_identifiers, token_estimates, path_modules, hash_embeddings, chunk_files, chunk_entities, parsed_entities, chunk_upsert, symbol_diff, reindex_actions, index_version, changed_files_audit,
     )
 }
 

@@ -48,12 +48,71 @@ def test_python_entities(spark):
     rows = parsing.parse_python(df).collect()
     got = {(r.kind, r.qualified_name) for r in rows if r.row_kind == "entity"}
     assert got == {("module", "p"), ("class", "p.A"), ("variable", "p.A.x"), ("method", "p.A.f"), ("class", "p.A.N"), ("function", "p._g")}
-    assert {(r.kind, r.qualified_name, r.target) for r in rows if r.row_kind == "reference"} == {("import", "p", "os"), ("import", "p", ".q"), ("extends", "p.A", "B"), ("extends", "p.A", "c.D")}
+    assert {(r.kind, r.qualified_name, r.target) for r in rows if r.row_kind == "reference"} == {("import", "p", "os"), ("import", "p", ".q"), ("extends", "p.A", "B"), ("extends", "p.A", "c.D"), ("decorator", "p.A.f", "staticmethod")}
     f = next(r for r in rows if r.name == "f")
     assert f.is_async and f.is_static and f.signature == "f(self, a=1) -> int"
     assert [r.file_id for r in rows if r.row_kind == "diagnostic"] == ["b"]
 
 
+JAVA = """package a.b;
+import java.util.*; import static x.Y.z;
+/** Class comment. */
+public sealed class X<T extends Comparable<T>> extends Y<T> implements Z, W<Q> permits Q {
+  private static final Map<String, List<int[]>> M = new HashMap<>(), N = null;
+  enum E { A, B(1) { void f() {} }, C; int x; void g() {} }
+  record P(int a, String... b) { P { if (a < 0) throw new Q("}"); } }
+  /** Loads { all. */
+  @Override @SuppressWarnings({"a", "b"})
+  public <R> Map<String, R> load(final int[] a, List<? super T>... b) throws IOException { for (int i = 0; i < 3; i++) { a[i] = 1; } Runnable r = () -> { int q = 1; }; return null; }
+  X(int q) { super(q); }
+  abstract int none();
+  int[] arr = {1, 2};
+}
+"""
+TS = """import type { A } from "./a"; import B, * as C from 'c'
+import './side'
+export interface I extends J<K>, L { name?(a: string): void; (x: number): I; readonly v: { a: number } }
+export type Z<T> = T extends string ? { a: 1 } : null
+export async function sum<T>(this: Foo, { a, b }: X, ...rest: number[]): Promise<{ a: number }> {
+  const t = `x ${fn(`y ${{ a: 1 }.a}`)} {`; const re = /[{]+/g
+  function inner(q: Map<string, number>) { return 1 }
+}
+const add = async (a: number, b = 2): Promise<void> => { a }
+abstract class K<T> extends Base<T> implements I, J {
+  #p = 1
+  declare readonly q?: string
+  constructor(private readonly a: A, public b = 2) { super() }
+  /** Reads. */
+  @dec({ a: 1 }) public get value(): { a: number } | null { return null }
+  static async *gen(): AsyncGenerator<number> {}
+  abstract f(): void
+  private h = (x) => { y }
+}
+namespace N.M { export function deep() {} class D { m() {} } }
+"""
+
+
+def test_java_and_typescript_entities(spark):
+    df = spark.createDataFrame([("j", "X.java", " Java", JAVA), ("t", "lib/t.ts", "typescript", TS), ("b", "B.java", "java", "class B { void f() {"), ("n", "n.ts", "typescript", None), ("e", "e.ts", "typescript", ""), ("c", "c.x", "cobol", "x")], "file_id string, path string, language string, content string")
+    rows = parsing.parse_sources(df).collect()
+    of = lambda f, kind: {(r.kind, r.qualified_name.removeprefix({"j": "a.b.", "t": "lib.t."}[f])) for r in rows if r.file_id == f and r.row_kind == kind}
+    assert of("j", "entity") == {
+        ("module", "a.b"), ("class", "X"), ("variable", "X.M"), ("variable", "X.N"), ("enum", "X.E"), ("variable", "X.E.x"), ("method", "X.E.g"), ("class", "X.P"), ("method", "X.load"), ("constructor", "X.X"),
+        ("method", "X.none"), ("variable", "X.arr"),
+    }
+    assert of("t", "entity") == {
+        ("module", "lib.t"), ("interface", "I"), ("method", "I.name"), ("variable", "I.v"), ("type", "Z"), ("function", "sum"), ("function", "sum.inner"), ("function", "add"), ("class", "K"), ("variable", "K.#p"), ("variable", "K.q"),
+        ("constructor", "K.constructor"), ("method", "K.value"), ("method", "K.gen"), ("method", "K.f"), ("variable", "K.h"), ("module", "N.M"), ("function", "N.M.deep"), ("class", "N.M.D"), ("method", "N.M.D.m"),
+    }
+    assert {(r.kind, r.target) for r in rows if r.file_id == "j" and r.row_kind == "reference"} == {("import", "java.util.*"), ("import", "x.Y.z"), ("extends", "Y"), ("implements", "Z"), ("implements", "W")}
+    assert {(r.kind, r.target) for r in rows if r.file_id == "t" and r.row_kind == "reference"} == {("import", "./a"), ("import", "c"), ("import", "./side"), ("extends", "J"), ("extends", "L"), ("extends", "Base"), ("implements", "I"), ("implements", "J")}
+    load = next(r for r in rows if r.name == "load")
+    assert load.visibility == "public" and load.doc_comment.startswith("/** Loads") and (load.start_line, load.end_line) == (9, 10)
+    assert {(r.name, r.target) for r in rows if r.row_kind == "parameter" and r.parent == "a.b.X.load"} == {("a", "int[]"), ("b", "List<? super T>")}
+    assert {(r.name, r.target) for r in rows if r.row_kind == "parameter" and r.parent == "lib.t.sum"} == {("this", "Foo"), ("rest", "number[]")}
+    assert {r.file_id for r in rows if r.row_kind == "diagnostic"} == {"b"} and {r.file_id for r in rows} == {"j", "t", "b", "e"}
+
+
 def test_versions(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     for sha in ("s1", "s2"):
