@@ -1,7 +1,8 @@
 """Exact nearest neighbours by cosine, many queries against all rows.
 
 Queries are a stated set and come in blocks of a bounded number, each broadcast; every partition multiplies its vectors
-with the block and keeps its own k best of each query, so only k rows a query and partition are shuffled.
+with the block and keeps its own k best of each query, so only k rows a query and partition are shuffled. Of several
+blocks each is done with before the next is read.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.lexical import top
-from lodestone.session import spread
+from lodestone.session import cut_lineage, spread
 
 BLOCK = 2048
 
@@ -64,6 +65,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK)
         if not len(rows):
             continue
         held = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), _units(rows["vector"])))
-        got = vectors.where("vector is not null").select("chunk_id", "vector").mapInPandas(_best(held, k), f"{ids}, score double")
+        got = top(vectors.where("vector is not null").select("chunk_id", "vector").mapInPandas(_best(held, k), f"{ids}, score double"), k)
+        if blocks > 1:  # the driver and the executors hold one block at a time
+            got = cut_lineage(got)
+            held.destroy()
         out = got if out is None else out.unionByName(got)
-    return top(out, k) if out is not None else spark.createDataFrame([], f"{ids}, score double, rank int")
+    return out if out is not None else spark.createDataFrame([], f"{ids}, score double, rank int")

@@ -97,9 +97,11 @@ def source_contribution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reranked(spark: SparkSession, d: str) -> DataFrame:
+    """Each query asks for its first BM25 chunk; one without any asks for nothing."""
     r = _results(spark, d)
     fused = fusion.fuse(_branches(r), 50)
-    asked = fused.where("bm25_rank = 1").groupBy("query_id").agg(F.min("chunk_id").alias("chunk_id")).join(r, ["query_id", "chunk_id"]).select("query_id", F.coalesce("symbol_name", F.lit("")).alias("target"), F.filter(F.split(F.lower(F.coalesce("qualified_name", F.lit(""))), r"\."), lambda t: t != "").alias("query_tokens"))
+    name = F.min(F.when(F.col("bm25_rank") == 1, F.struct("chunk_id", "symbol_name", "qualified_name"))).alias("m")
+    asked = r.groupBy("query_id").agg(name).select("query_id", F.coalesce("m.symbol_name", F.lit("")).alias("target"), F.filter(F.split(F.lower(F.coalesce("m.qualified_name", F.lit(""))), r"\."), lambda t: t != "").alias("query_tokens"))
     rows = fused.join(r.select("query_id", "chunk_id", "symbol_name", "qualified_name", "file_path"), ["query_id", "chunk_id"]).join(asked, "query_id")
     return fusion.rerank(rows)
 
@@ -253,8 +255,8 @@ FROM v CROSS JOIN (SELECT value FROM v WHERE system = 'vector') b""",
 SQL["reranked"] = (
     _FUSED
     + """, po AS (SELECT fr.*, max(fused_score) OVER (PARTITION BY query_id) AS top FROM fr WHERE rank <= 50),
-tg AS (SELECT po.query_id, min(po.chunk_id) AS chunk_id FROM po WHERE bm25_rank = 1 GROUP BY 1),
-aq AS (SELECT tg.query_id, lower(coalesce(symbol_name, '')) AS target, list_distinct(list_filter(string_split(lower(coalesce(qualified_name, '')), '.'), lambda t: t <> '')) AS toks FROM tg JOIN res USING (query_id, chunk_id)),
+tg AS (SELECT query_id, min(chunk_id) FILTER (bm25_rank = 1) AS chunk_id FROM res GROUP BY 1),
+aq AS (SELECT tg.query_id, lower(coalesce(symbol_name, '')) AS target, list_distinct(list_filter(string_split(lower(coalesce(qualified_name, '')), '.'), lambda t: t <> '')) AS toks FROM tg LEFT JOIN res USING (query_id, chunk_id)),
 ca AS (SELECT po.*, aq.target, aq.toks, lower(coalesce(symbol_name, '')) AS sy, lower(coalesce(qualified_name, '')) AS q,
   list_concat([lower(coalesce(symbol_name, ''))], coalesce(string_split(lower(qualified_name), '.'), []), coalesce(string_split(replace(replace(lower(file_path), '/', ' '), '.', ' '), ' '), [])) AS have
   FROM po JOIN res USING (query_id, chunk_id) JOIN aq USING (query_id)),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
-from lodestone.operators import answers, context, embed, graph, graph_search, lexical, records
+from lodestone.operators import answers, context, embed, graph, graph_search, lexical, records, vector
 
 
 def rows(df):
@@ -49,6 +49,13 @@ def test_index_upkeep(spark):
         lexical.search(lexical.LexicalIndex(old), asked, 0)
 
 
+def test_neighbours_in_blocks(spark):
+    v = spark.createDataFrame([(f"v{i}", [float(i), 1.0]) for i in range(12)] + [("none", None)], "chunk_id string, vector array<double>")
+    q = v.where("chunk_id < 'v3' or chunk_id = 'none'").withColumnRenamed("chunk_id", "query_id")
+    want = rows(vector.knn(v, q, 3))
+    assert len(want) == 15 and rows(vector.knn(v, q, 3, 2)) == want and {r[0]: r[1] for r in want if r[3] == 1}["v1"] == "v1"
+
+
 NODE = "node_id string, kind string, name string, qualified_name string, file_id string, repository_id string"
 EDGE = "edge_id string, source_id string, target_id string, kind string"
 
