@@ -108,7 +108,7 @@ def _hybrid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Question to reranked results: BM25, vectors and the graph, fused by rank."""
     q, cards, fused = _hybrid(spark, d)
-    asked = q.select("query_id", F.element_at(identifiers("text"), 1).alias("target"), code_tokens("text").alias("query_tokens"))
+    asked = q.select("query_id", F.coalesce(F.try_element_at(identifiers("text"), F.lit(1)), F.lit("")).alias("target"), code_tokens("text").alias("query_tokens"))
     rows = fused.join(cards.select("chunk_id", F.col("name").alias("symbol_name"), "qualified_name", F.col("file_id").alias("file_path")), "chunk_id").join(asked, "query_id")
     return fusion.rerank(rows)
 
@@ -204,7 +204,7 @@ vr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER
 br AS (SELECT query_id, chunk_id, r, 'bm25' AS s FROM bm WHERE r <= 20 UNION ALL SELECT query_id, chunk_id, r, 'vector' FROM vr WHERE r <= 20 UNION ALL SELECT query_id, node_id, rank, 'graph' FROM ga),
 fu AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS fused, count(*) AS n FROM br GROUP BY 1, 2),
 fr AS (SELECT * FROM (SELECT *, max(fused) OVER (PARTITION BY query_id) AS top, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS rank FROM fu) WHERE rank <= 50),
-ax AS (SELECT id AS query_id, lower(coalesce(nullif(regexp_extract(q, '\\b([A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)+)\\b', 1), ''), others[1])) AS target FROM m), aq AS (SELECT ax.query_id, target, toks FROM ax JOIN (SELECT id AS query_id, list_distinct(list(token)) AS toks FROM tq GROUP BY 1) USING (query_id)),
+ax AS (SELECT id AS query_id, lower(coalesce(nullif(regexp_extract(q, '\\b([A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)+)\\b', 1), ''), others[1], '')) AS target FROM m), aq AS (SELECT ax.query_id, target, toks FROM ax JOIN (SELECT id AS query_id, list_distinct(list(token)) AS toks FROM tq GROUP BY 1) USING (query_id)),
 cs AS (SELECT fr.*, target, toks, lower(coalesce(name, '')) AS sy, lower(coalesce(qualified_name, '')) AS q,
   list_concat([lower(coalesce(name, ''))], coalesce(string_split(lower(qualified_name), '.'), []), coalesce(string_split(replace(replace(lower(file_id), '/', ' '), '.', ' '), ' '), [])) AS have FROM fr JOIN nodes ON node_id = chunk_id JOIN aq USING (query_id)),
 rs AS (SELECT query_id, chunk_id, round(0.35::DOUBLE * (target <> '' AND sy = target)::INT + 0.20::DOUBLE * (target <> '' AND contains(q, target))::INT
@@ -213,9 +213,12 @@ hy AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id OR
 """
 
 SQL = {
-    "question_forms": _Q  # a name with other signs than word signs and dots doesn't fit into three of the forms
-    + """ SELECT query_id, relation AS graph_relation, direction, CASE WHEN odd THEN 'SEARCH' ELSE intent END AS intent, CASE WHEN odd THEN 'NONE' ELSE rel END AS relation
-FROM (SELECT *, form IN (1, 9, 16) AND NOT regexp_full_match(text[length(a) + 1:length(text) - length(b)], '[A-Za-z0-9_.]+') AS odd FROM qs JOIN forms USING (form, relation, direction, intent, rel))""",
+    # A name with other signs than word signs and dots doesn't fit into three of the forms; a word of small letters is no identifier.
+    "question_forms": _Q
+    + """ SELECT query_id, CASE WHEN small AND form IN (13, 14, 15, 16) THEN NULL ELSE relation END AS graph_relation, CASE WHEN small AND form IN (13, 14, 15, 16) THEN 'none' ELSE direction END AS direction,
+  CASE WHEN odd OR (small AND form = 5) THEN 'SEARCH' ELSE intent END AS intent, CASE WHEN odd THEN 'NONE' ELSE rel END AS relation
+FROM (SELECT *, form IN (1, 9, 16) AND NOT regexp_full_match(name, '[A-Za-z0-9_.]+') AS odd, regexp_full_match(name, '[a-z0-9]+') AS small
+  FROM (SELECT *, text[length(a) + 1:length(text) - length(b)] AS name FROM qs JOIN forms USING (form, relation, direction, intent, rel)))""",
     "graph_answers": _Q + _answers("qs", 10) + " SELECT * FROM ga",
     "result_anchors": _GRAPH + _RESULTS + " SELECT query_id, node_id, chunk_id, strategy FROM sa",
     "graph_expansion": _GRAPH + _EXPANSION + " SELECT query_id, node_id, anchor_id, relation, depth, CASE WHEN chunk_id IS NULL THEN 'GRAPH_EXPANSION' ELSE 'RETRIEVAL+GRAPH_EXPANSION' END AS source, chunk_id, place FROM rk WHERE place <= 50",
