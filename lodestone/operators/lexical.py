@@ -1,8 +1,8 @@
 """BM25 over field-weighted code tokens, for many queries in one job.
 
-An index is one row a chunk with its weighted tokens and length, tokenised once; it can be stored, extended, thinned
-and cloned as a table (``upsert``, ``remove``, ``clone``). A search takes the asked tokens out of it before anything is
-shuffled, so what moves is in proportion to the postings of the query's tokens, not to the corpus.
+An index is one row a chunk with its weighted tokens and length; it can be stored, extended, thinned and cloned as a
+table (``upsert``, ``remove``, ``clone``). A search reads it once, packs the postings of the asked tokens (``bm25``) and
+keeps the best of every query where these are; only k rows a query and partition are shuffled.
 """
 
 from __future__ import annotations
@@ -10,14 +10,18 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import code_tokens
+from lodestone.operators import bm25
 from lodestone.session import cut_lineage, spread
 
-K1, B, IDF_FLOOR = 1.5, 0.75, 1e-6
-BROADCAST_TERMS = 200_000
+IDF_FLOOR = 1e-6
+BROADCAST_TERMS = 3_000_000
 #: How often a field counts. A doc comment counts once.
 FIELD_WEIGHTS = {"name": 10, "qualified_name": 5, "path": 3, "signature": 3, "doc_comment": 1, "content": 1}
 
@@ -69,6 +73,11 @@ def index_rows(chunks: DataFrame, chunk_id: str, fields: Mapping[str, Column], k
     return rows.withColumn("length", F.aggregate("terms", F.lit(0), lambda a, t: a + t["w"]))
 
 
+def lazy_index(chunks: DataFrame, chunk_id: str, fields: Mapping[str, Column], keep: tuple[str, ...] = (), scope: Column | None = None) -> LexicalIndex:
+    """index_rows() that aren't written, for a single search, which reads them once."""
+    return LexicalIndex(index_rows(chunks, chunk_id, fields, keep, scope))
+
+
 def build_index(chunks: DataFrame, chunk_id: str, fields: Mapping[str, Column], keep: tuple[str, ...] = (), scope: Column | None = None) -> LexicalIndex:
     """index_rows(), written once. Chunk ids must be unique within a scope; upsert() makes them so."""
     return LexicalIndex(cut_lineage(index_rows(chunks, chunk_id, fields, keep, scope)))
@@ -104,24 +113,62 @@ def search(index: LexicalIndex, queries: DataFrame, k: int = 10, where: Column |
     queries: (query_id, text), and scope where the index has scopes: each query then meets its own, whose statistics
     count. A repeated query token counts each time. where filters chunks after the corpus statistics. Scores are rounded
     to 6 places before ranking, ties go by chunk_id; scores that aren't above 0 and finite are left out. k below 1 is an
-    error.
+    error. Queries with more than broadcast_terms terms in all come in blocks, each of which reads the index once.
     """
     if k < 1:
         raise ValueError("k must be positive")
     scope = F.coalesce("scope", F.lit("")) if "scope" in queries.columns else F.lit("")
-    asked = cut_lineage(queries.select("query_id", scope.alias("s"), F.explode(code_tokens("text")).alias("token")).groupBy("query_id", "s", "token").agg(F.count("*").alias("qtf")))
-    # Where the query side is small, each task of postings meets it whole: a frequent token then isn't one task's work.
-    small = asked.limit(broadcast_terms + 1).count() <= broadcast_terms
-    hint = F.broadcast if small else (lambda df: df)
-    hits = cut_lineage(index.postings(hint(asked.select("token").distinct()), where).withColumn("s", F.coalesce("scope", F.lit(""))))
-    totals = index.totals.select(F.coalesce("scope", F.lit("")).alias("s"), "n", "avgdl")
-    idf = hits.groupBy("s", "token").agg(F.count("*").alias("df")).join(totals, "s").select(
-        "s", "token", "avgdl", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(IDF_FLOOR)).alias("idf")
-    )
-    terms = hint(asked.join(idf, ["s", "token"]))
-    part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    scored = hits.where("kept").join(terms, ["s", "token"]).groupBy("query_id", "chunk_id").agg(F.round(F.sum(part * F.col("qtf")), 6).alias("score"))
-    return top(scored.where((F.col("score") > 0) & (F.col("score") < float("inf"))), k)
+    asked = queries.select("query_id", scope.alias("s"), F.explode(code_tokens("text")).alias("token")).groupBy("query_id", "s", "token").agg(F.count("*").alias("qtf"))
+    blocks = -(-asked.count() // max(1, broadcast_terms))
+    out = None
+    for i in range(blocks):
+        got = _search(index, asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), k, where)
+        if got is None:
+            continue
+        got = cut_lineage(got) if blocks > 1 else got
+        out = got if out is None else out.unionByName(got)
+    if out is None:
+        ids = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {index.rows.schema['chunk_id'].dataType.simpleString()}"
+        return index.rows.sparkSession.createDataFrame([], f"{ids}, score double, rank int")
+    return out
+
+
+def _search(index: LexicalIndex, asked: DataFrame, k: int, where: Column | None) -> DataFrame | None:
+    """search() of queries whose terms the driver and every task can hold."""
+    sc = asked.sparkSession.sparkContext
+    held = asked.toArrow()
+    if not held.num_rows:
+        return None
+    ids, tokens, scopes = (pa.concat_arrays(held[c].chunks).dictionary_encode() for c in ("query_id", "token", "s"))
+    query = pc.fill_null(ids.indices, len(ids.dictionary)).to_numpy().astype(np.int32)
+    names = pa.concat_arrays([ids.dictionary, pa.nulls(1, ids.dictionary.type)])
+    pairs, pair = np.unique(scopes.indices.to_numpy().astype(np.int64) * len(tokens.dictionary) + tokens.indices.to_numpy(), return_inverse=True)
+    order = np.argsort(pair, kind="stable")
+    start = np.searchsorted(pair[order], np.arange(len(pairs) + 1))
+    scope_of = pairs // len(tokens.dictionary)
+    words = bm25.Vocabulary(tokens.dictionary.to_pylist(), scopes.dictionary.to_pylist(), pairs)
+
+    kept = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    of = F.coalesce("scope", F.lit(""))
+    if len(words.scopes) <= 100:  # what isn't asked needn't be tokenised
+        rows = index.rows.where(of.isin(words.scopes))
+    else:
+        rows = index.rows
+    rows = rows.select("chunk_id", of.alias("s"), "length", kept.alias("kept"), "terms")
+    packed = cut_lineage(rows.mapInArrow(bm25.pack(sc.broadcast(words)), bm25.PACKED))
+
+    n, total, df = np.zeros(len(words.scopes), np.int64), np.zeros(len(words.scopes), np.int64), np.zeros(len(pairs), np.int64)
+    counts = packed.where("block is null")
+    for r in counts.select(F.explode(F.arrays_zip("scope", "n", "total")).alias("x")).select("x.*").groupBy("scope").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect():
+        n[r.scope], total[r.scope] = r.n, r.total
+    each = counts.select(F.explode(F.arrays_zip("pair", "df")).alias("x")).select("x.*").groupBy("pair").agg(F.sum("df").alias("df")).toArrow()
+    df[each["pair"].to_numpy()] = each["df"].to_numpy()
+    avgdl = np.where(total > 0, total / np.maximum(n, 1), 1.0)
+    idf = np.maximum(np.log((n[scope_of] - df + 0.5) / (df + 0.5) + 1), IDF_FLOOR)
+    weight = held["qtf"].to_numpy()[order] * idf[pair[order]]
+    about = sc.broadcast(bm25.Asked(start, query[order], weight, df, n, avgdl, scope_of, names))
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_id {index.rows.schema['chunk_id'].dataType.simpleString()}, score double"
+    return top(packed.where("block is not null").select("block").mapInArrow(bm25.find(about, k), schema), k)
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
