@@ -22,6 +22,7 @@ from lodestone.session import cut_lineage, spread
 
 IDF_FLOOR = 1e-6
 BROADCAST_TERMS = 3_000_000
+BROADCAST_IDS = 1_000_000
 #: How often a field counts. A doc comment counts once.
 FIELD_WEIGHTS = {"name": 10, "qualified_name": 5, "path": 3, "signature": 3, "doc_comment": 1, "content": 1}
 
@@ -59,23 +60,24 @@ class LexicalIndex:
         return self.postings().groupBy("scope", "token").agg(F.count("*").alias("df"))
 
 
-def index_rows(chunks: DataFrame, chunk_id: str, fields: Mapping[str, Column], keep: tuple[str, ...] = (), scope: Column | None = None) -> DataFrame:
+def index_rows(chunks: DataFrame, chunk_id: str, fields: Mapping[str, Column], keep: tuple[str, ...] = (), scope: Column | None = None, scan: bool = True) -> DataFrame:
     """The rows of an index. fields: column expressions by field name of FIELD_WEIGHTS.
 
-    Null fields have no tokens; a chunk without tokens counts in the corpus with length 0. keep: columns for filters.
+    Null fields have no tokens; a chunk without tokens counts in the corpus with length 0. keep: columns for filters. scan: chunks
+    are a scan, which is dealt out if it has few splits; what comes from joins isn't, as counting its splits runs them.
     """
 
     def weighed(c: Column, w: int) -> Column:
         return F.transform(code_tokens(c), lambda t: F.struct(t.alias("token"), F.lit(w).alias("w")))
 
     terms = F.concat(*[weighed(c, FIELD_WEIGHTS[f]) for f, c in fields.items()])
-    rows = spread(chunks).select(F.col(chunk_id).alias("chunk_id"), (F.lit(None).cast("string") if scope is None else scope).alias("scope"), *keep, terms.alias("terms"))
+    rows = (spread(chunks) if scan else chunks).select(F.col(chunk_id).alias("chunk_id"), (F.lit(None).cast("string") if scope is None else scope).alias("scope"), *keep, terms.alias("terms"))
     return rows.withColumn("length", F.aggregate("terms", F.lit(0), lambda a, t: a + t["w"]))
 
 
-def lazy_index(chunks: DataFrame, chunk_id: str, fields: Mapping[str, Column], keep: tuple[str, ...] = (), scope: Column | None = None) -> LexicalIndex:
+def lazy_index(chunks: DataFrame, chunk_id: str, fields: Mapping[str, Column], keep: tuple[str, ...] = (), scope: Column | None = None, scan: bool = True) -> LexicalIndex:
     """index_rows() that aren't written, for a single search, which reads them once."""
-    return LexicalIndex(index_rows(chunks, chunk_id, fields, keep, scope))
+    return LexicalIndex(index_rows(chunks, chunk_id, fields, keep, scope, scan))
 
 
 def build_index(chunks: DataFrame, chunk_id: str, fields: Mapping[str, Column], keep: tuple[str, ...] = (), scope: Column | None = None) -> LexicalIndex:
@@ -83,17 +85,22 @@ def build_index(chunks: DataFrame, chunk_id: str, fields: Mapping[str, Column],
     return LexicalIndex(cut_lineage(index_rows(chunks, chunk_id, fields, keep, scope)))
 
 
+def _hinted(ids: DataFrame) -> DataFrame:
+    """Few ids are broadcast, so that chunks stay where they are."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Index rows with new ones added; a chunk that is there already is replaced, and all statistics with it."""
+    """Index rows with new ones added (like all upkeep, also of chunks with scopes that are yet to be tokenised); a chunk that is there already is replaced, and all statistics with it."""
     ids = new.select("chunk_id", F.coalesce("scope", F.lit("")).alias("s"))
-    kept = old.withColumn("s", F.coalesce("scope", F.lit(""))).join(ids, ["chunk_id", "s"], "left_anti").select(old.columns)
+    kept = old.withColumn("s", F.coalesce("scope", F.lit(""))).join(_hinted(ids), ["chunk_id", "s"], "left_anti").select(old.columns)
     return kept.unionByName(new)
 
 
 def remove(rows: DataFrame, gone: DataFrame, scope: str | None = None) -> DataFrame:
     """Index rows without the chunks of gone (chunk_id), in one scope or in all."""
     hit = rows if scope is None else rows.where(F.col("scope") == scope)
-    left = hit.join(gone.select("chunk_id"), "chunk_id", "left_anti").select(rows.columns)
+    left = hit.join(_hinted(gone.select("chunk_id")), "chunk_id", "left_anti").select(rows.columns)
     return left if scope is None else left.unionByName(rows.where(F.col("scope").isNull() | (F.col("scope") != scope)))
 
 

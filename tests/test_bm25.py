@@ -97,3 +97,14 @@ def test_search_writes_less_than_the_text(spark, scopes):
     found = lexical.search(indexed(spark, docs), spark.createDataFrame(asked, "query_id string, scope string, text string"), 4, where=F.col("chunk_id") > "c02000")
     assert found.count() > 400 and min(r.chunk_id for r in found.collect()) > "c02000"
     assert written(spark) - before < sum(len(t) for *_, t in docs)
+
+
+def test_upkeep_before_tokens(spark):
+    chunks = spark.createDataFrame([("a", "v1", "one"), ("b", "v1", "two"), ("c", "v1", "two three")], "chunk_id string, scope string, content string")
+    both = lexical.clone(chunks, "v1", "v2")
+    left = lexical.remove(both, spark.createDataFrame([("a",)], "chunk_id string"), "v2")
+    version = lexical.upsert(left, spark.createDataFrame([("b", "v2", "four")], chunks.schema))
+    assert "Exchange hashpartitioning" not in version._jdf.queryExecution().executedPlan().toString()  # chunks aren't moved
+    index = lexical.lazy_index(version, "chunk_id", {"content": F.col("content")}, (), F.col("scope"), scan=False)
+    asked = spark.createDataFrame([("q", "v2", "one two three four"), ("p", "v1", "one two three four")], "query_id string, scope string, text string")
+    assert sorted((r.query_id, r.chunk_id) for r in lexical.search(index, asked).collect()) == [("p", "a"), ("p", "b"), ("p", "c"), ("q", "b"), ("q", "c")]
