@@ -26,22 +26,50 @@ def _units(v: pd.Series) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+def _reached(near: np.ndarray, tops: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the k best of each row that reach the k best so far in tops, which are brought up to date."""
+    k, least = tops.shape[1], tops[:, -1].copy()
+    new = np.flatnonzero(np.isneginf(least))
+    if len(new) and near.shape[1] > k:
+        least[new] = np.partition(near[new], -k, axis=1)[:, -k]
+    row, col = np.divmod(np.flatnonzero(near >= (least - 2e-6)[:, None]), near.shape[1])  # scores are rounded to 6 places
+    score = np.clip(np.round(near[row, col], 6), -1.0, 1.0) + 0.0
+    ok = score >= tops[row, -1]
+    row, col, score = row[ok], col[ok], score[ok]
+    order = np.lexsort((place[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    ok = nth < k
+    row, col, score, nth = row[ok], col[ok], score[ok], nth[ok]
+    fresh = np.full(tops.shape, -np.inf)
+    fresh[row, nth] = score
+    tops[:] = np.sort(np.concatenate([tops, fresh], axis=1), axis=1)[:, : -k - 1 : -1]
+    return row, col, score
+
+
 def _best(block, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = block.value
+        tops, whole = np.full((len(ids), k), -np.inf), np.isfinite(q).all()
         for b in batches:
             if not len(b):
                 continue
             x = _units(b["vector"])
             if x.shape[1] != q.shape[1]:
                 raise ValueError("vectors differ in dimension")
-            s = np.clip(np.round(q @ x.T, 6), -1.0, 1.0) + 0.0
             chunk = b["chunk_id"].to_numpy()
             place = np.argsort(np.argsort(chunk, kind="stable"), kind="stable")  # the order of ids, whatever their type
+            finite = whole and np.isfinite(x).all()
             for lo in range(0, len(ids), 256):
-                part = s[lo : lo + 256]
-                order = np.lexsort((np.broadcast_to(place, part.shape), -part), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids[lo : lo + 256], order.shape[1]), "chunk_id": chunk[order].ravel(), "score": np.take_along_axis(part, order, 1).ravel()})
+                near = q[lo : lo + 256] @ x.T
+                if finite:
+                    row, col, part = _reached(near, tops[lo : lo + 256], place)
+                else:  # values that don't compare are sorted with all others
+                    part = np.clip(np.round(near, 6), -1.0, 1.0) + 0.0
+                    col = np.lexsort((np.broadcast_to(place, part.shape), -part), axis=1)[:, :k]
+                    row, part, col = np.repeat(np.arange(len(part)), col.shape[1]), np.take_along_axis(part, col, 1).ravel(), col.ravel()
+                if len(row):
+                    yield pd.DataFrame({"query_id": ids[lo : lo + 256][row], "chunk_id": chunk[col], "score": part})
 
     return run
 
