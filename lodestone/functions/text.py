@@ -26,6 +26,11 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _once(c: Column, f) -> Column:
+    """f of c, which is evaluated once, though f uses it often."""
+    return F.transform(F.array(c), f)[0]
+
+
 def split_camel(c: Column | str) -> Column:
     """camelCase and PascalCase words, with blanks between their parts."""
     return F.regexp_replace(F.regexp_replace(_c(c), r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
@@ -100,18 +105,15 @@ def hash_embedding(text: Column, model: str = "hash", version: str = "1", dimens
     def byte(h: Column, k: Column) -> Column:
         return F.conv(F.substring(h, 2 * k + 1, F.lit(2)), 16, 10).cast("int")
 
-    def once(c: Column, f) -> Column:
-        """f of c, which is evaluated once, though f uses it often."""
-        return F.transform(F.array(c), f)[0]
-
     def values(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: (byte(h, i % 32) * 256 + byte(h, (7 * i + 13) % 32)) / F.lit(32767.5) - 1)
+        held = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: byte(h, k))
+        return _once(held, lambda b: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: (F.get(b, i % 32) * 256 + F.get(b, (7 * i + 13) % 32)) / F.lit(32767.5) - 1))
 
     def unit(r: Column) -> Column:
-        return once(F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.when(n == 0, F.array_repeat(F.lit(1.0 / dimension**0.5), dimension)).otherwise(F.transform(r, lambda x: x / n)))
+        return _once(F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.when(n == 0, F.array_repeat(F.lit(1.0 / dimension**0.5), dimension)).otherwise(F.transform(r, lambda x: x / n)))
 
     h = F.sha2(F.concat_ws(":", F.lit(model), F.lit(version), F.coalesce(text, F.lit(""))), 256)
-    return once(once(h, values), unit)
+    return _once(_once(h, values), unit)
 
 
 def claims(c: Column | str) -> Column:

@@ -44,8 +44,7 @@ def resolve_targets(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     asked: (query_id, target). Names compare with letter case. A node has one key for each dot or colon in its name, so
     the join is on equal keys. Null and blank targets name nothing.
     """
-    q = F.col("qualified_name")
-    ends = F.transform(F.filter(F.sequence(F.lit(1), F.length(q)), lambda i: F.substring(q, i, F.lit(1)).isin(".", ":")), lambda i: F.substring(q, i + 1, F.length(q)))
+    ends = F.regexp_extract_all(F.col("qualified_name"), F.lit("(?s)(?<=[.:])(?=(.*))"), 1)  # what follows each dot or colon
     keys = F.array_distinct(F.filter(F.concat(F.array("node_id", "qualified_name", "name"), F.coalesce(ends, F.array().cast("array<string>"))), lambda k: k.isNotNull() & (k != "")))
     named = nodes.select("node_id", F.explode(keys).alias("target"))
     want = asked.select("query_id", F.trim("target").alias("target")).where("target <> ''").distinct()

@@ -18,6 +18,8 @@ from lodestone.operators.lexical import top
 from lodestone.session import cut_lineage, spread
 
 BLOCK = 2048
+#: Queries and vectors multiplied at once, pairs multiplied exactly at once, and results held until they are cut to the k best.
+QUERIES, ROWS, EXACT, HELD = 256, 2048, 50_000, 1_000_000
 
 
 def _units(v: pd.Series) -> np.ndarray:
@@ -26,14 +28,20 @@ def _units(v: pd.Series) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def _reached(near: np.ndarray, tops: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, score) of the k best of each row that reach the k best so far in tops, which are brought up to date."""
+def _reached(q: np.ndarray, x: np.ndarray, tops: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of unit vectors: of each row of q the k best of x that reach the k best so far in tops, which are brought up to date.
+
+    All are multiplied in single precision, whose error is bounded; what may be among the best is then multiplied exactly.
+    """
     k, least = tops.shape[1], tops[:, -1].copy()
+    near = q.astype(np.float32) @ x.T.astype(np.float32)
+    off = (q.shape[1] + 8) * 2.0**-23
     new = np.flatnonzero(np.isneginf(least))
     if len(new) and near.shape[1] > k:
-        least[new] = np.partition(near[new], -k, axis=1)[:, -k]
-    row, col = np.divmod(np.flatnonzero(near >= (least - 2e-6)[:, None]), near.shape[1])  # scores are rounded to 6 places
-    score = np.clip(np.round(near[row, col], 6), -1.0, 1.0) + 0.0
+        least[new] = np.partition(near[new], -k, axis=1)[:, -k] - off
+    row, col = np.divmod(np.flatnonzero(near >= (least - 2e-6 - off).astype(np.float32)[:, None]), near.shape[1])  # scores are rounded to 6 places
+    score = np.concatenate([np.einsum("ij,ij->i", q[row[lo : lo + EXACT]], x[col[lo : lo + EXACT]]) for lo in range(0, len(row), EXACT)] or [np.zeros(0)])
+    score = np.clip(np.round(score, 6), -1.0, 1.0) + 0.0
     ok = score >= tops[row, -1]
     row, col, score = row[ok], col[ok], score[ok]
     order = np.lexsort((place[col], -score, row))
@@ -41,16 +49,29 @@ def _reached(near: np.ndarray, tops: np.ndarray, place: np.ndarray) -> tuple[np.
     nth = np.arange(len(row)) - np.searchsorted(row, row)
     ok = nth < k
     row, col, score, nth = row[ok], col[ok], score[ok], nth[ok]
-    fresh = np.full(tops.shape, -np.inf)
-    fresh[row, nth] = score
-    tops[:] = np.sort(np.concatenate([tops, fresh], axis=1), axis=1)[:, : -k - 1 : -1]
+    who, at = np.unique(row, return_inverse=True)
+    fresh = np.full((len(who), k), -np.inf)
+    fresh[at, nth] = score
+    tops[who] = np.sort(np.concatenate([tops[who], fresh], axis=1), axis=1)[:, : -k - 1 : -1]
     return row, col, score
 
 
+def _cut(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], tops: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """One part (query, chunk_id, score) with the k best of every query, ties by chunk_id."""
+    query, chunk, score = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    ok = score >= tops[query, -1]
+    query, chunk, score = query[ok], chunk[ok], score[ok]
+    order = np.lexsort((np.argsort(np.argsort(chunk, kind="stable"), kind="stable"), -score, query))
+    query, chunk, score = query[order], chunk[order], score[order]
+    ok = np.arange(len(query)) - np.searchsorted(query, query) < tops.shape[1]
+    return [(query[ok], chunk[ok], score[ok])]
+
+
 def _best(block, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = block.value
         tops, whole = np.full((len(ids), k), -np.inf), np.isfinite(q).all()
+        parts, held, limit = [], 0, HELD
         for b in batches:
             if not len(b):
                 continue
@@ -59,17 +80,27 @@ def _best(block, k: int):
                 raise ValueError("vectors differ in dimension")
             chunk = b["chunk_id"].to_numpy()
             place = np.argsort(np.argsort(chunk, kind="stable"), kind="stable")  # the order of ids, whatever their type
-            finite = whole and np.isfinite(x).all()
-            for lo in range(0, len(ids), 256):
-                near = q[lo : lo + 256] @ x.T
-                if finite:
-                    row, col, part = _reached(near, tops[lo : lo + 256], place)
-                else:  # values that don't compare are sorted with all others
-                    part = np.clip(np.round(near, 6), -1.0, 1.0) + 0.0
-                    col = np.lexsort((np.broadcast_to(place, part.shape), -part), axis=1)[:, :k]
-                    row, part, col = np.repeat(np.arange(len(part)), col.shape[1]), np.take_along_axis(part, col, 1).ravel(), col.ravel()
-                if len(row):
-                    yield pd.DataFrame({"query_id": ids[lo : lo + 256][row], "chunk_id": chunk[col], "score": part})
+            if whole and np.isfinite(x).all():
+                for at in range(0, len(x), ROWS):
+                    for lo in range(0, len(ids), QUERIES):
+                        row, col, part = _reached(q[lo : lo + QUERIES], x[at : at + ROWS], tops[lo : lo + QUERIES], place[at : at + ROWS])
+                        if len(row):
+                            parts.append((row + lo, chunk[at + col], part))
+                            held += len(row)
+                    if held > limit:
+                        parts = _cut(parts, tops)
+                        held = len(parts[0][0])
+                        limit = max(HELD, 2 * held)
+                continue
+            for lo in range(0, len(ids), QUERIES):  # values that don't compare are sorted with all others
+                part = np.clip(np.round(q[lo : lo + QUERIES] @ x.T, 6), -1.0, 1.0) + 0.0
+                col = np.lexsort((np.broadcast_to(place, part.shape), -part), axis=1)[:, :k]
+                row, part, col = np.repeat(np.arange(len(part)), col.shape[1]), np.take_along_axis(part, col, 1).ravel(), col.ravel()
+                yield pd.DataFrame({"query_id": ids[lo : lo + QUERIES][row], "chunk_id": chunk[col], "score": part})
+        if parts:
+            query, chunk, score = _cut(parts, tops)[0]
+            for lo in range(0, len(query), 50_000):
+                yield pd.DataFrame({"query_id": ids[query[lo : lo + 50_000]], "chunk_id": chunk[lo : lo + 50_000], "score": score[lo : lo + 50_000]})
 
     return run
 

@@ -5,7 +5,7 @@ Searches start from every entity whose id, read as a hexadecimal number, is divi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.keys import norm_id
@@ -25,8 +25,12 @@ def _sound(spark: SparkSession, d: str) -> DataFrame:
     return cut_lineage(graph.sound_edges(_edges(spark, d), _nodes(spark, d)))
 
 
+def _is_root() -> Column:
+    return F.conv("node_id", 16, 10).cast("decimal(20,0)") % 100 == 0
+
+
 def _roots(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(spark, d).where(F.conv("node_id", 16, 10).cast("decimal(20,0)") % 100 == 0).select("node_id")
+    return _nodes(spark, d).where(_is_root()).select("node_id")
 
 
 def graph_kinds(spark: SparkSession, d: str) -> DataFrame:

@@ -19,3 +19,17 @@ def test_batches_give_only_what_reaches_the_best_so_far():
     s = np.clip(np.round(q @ vector._units(pd.Series(list(x))).T, 6), -1, 1) + 0.0
     want = [ids[np.lexsort((ids, -s[i]))[:7]] for i in range(300)]
     assert got["chunk_id"].tolist() == np.concatenate(want).tolist()
+
+
+def test_a_partition_gives_the_k_best_once(monkeypatch):
+    for name, value in {"QUERIES": 64, "ROWS": 300, "EXACT": 50, "HELD": 2000}.items():
+        monkeypatch.setattr(vector, name, value, raising=False)
+    r = np.random.default_rng(2)
+    base = vector._units(pd.Series(list(r.standard_normal((40, 64)))))
+    x = base[r.integers(0, 40, 3000)] + 1e-7 * r.integers(0, 3, (3000, 64))  # closer than single precision tells apart
+    q, ids = vector._units(pd.Series(list(base[r.integers(0, 40, 200)]))), np.array([f"{i:04d}" for i in r.permutation(3000)], dtype=object)
+    batches = [pd.DataFrame({"chunk_id": ids[i : i + 700], "vector": list(x[i : i + 700])}) for i in range(0, 3000, 700)]
+    got = pd.concat(vector._best(SimpleNamespace(value=(np.arange(200), q)), 7)(iter(batches)))
+    assert len(got) == 200 * 7
+    s = np.clip(np.round(q @ vector._units(pd.Series(list(x))).T, 6), -1, 1) + 0.0
+    assert got["chunk_id"].tolist() == np.concatenate([ids[np.lexsort((ids, -s[i]))[:7]] for i in range(200)]).tolist()
