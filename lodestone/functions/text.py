@@ -42,18 +42,22 @@ def code_tokens(c: Column | str) -> Column:
     A piece equal to its run, and a part equal to its piece or run, is left out; repeats stay. Null gives no tokens.
     """
 
-    def expand(raw: Column) -> Column:
-        run = F.regexp_replace(raw, r"^[._\-/]+|[._\-/]+$", "")
-        whole = F.lower(run)
-        pieces = F.filter(F.split(run, r"[._\-/]+"), lambda p: p != "")
+    none = F.array().cast("array<string>")
 
+    def pieces(run: Column, whole: Column) -> Column:
         def parts(p: Column) -> Column:
             low = F.lower(p)
             subs = F.filter(F.transform(F.split(split_camel(p), " "), F.lower), lambda s: (s != "") & (s != low) & (s != whole))
-            return F.concat(F.when(low != whole, F.array(low)).otherwise(F.array().cast("array<string>")), subs)
+            own = F.when(low != whole, F.array(low)).otherwise(none)
+            return F.when(p == low, own).otherwise(F.concat(own, subs))  # without capitals there are no parts
 
+        split = F.filter(F.split(run, r"[._\-/]+"), lambda p: p != "")
+        return F.when(run == "", none).otherwise(F.concat(F.array(whole), F.flatten(F.transform(split, parts))))
+
+    def expand(raw: Column) -> Column:
+        run = F.regexp_replace(raw, r"^[._\-/]+|[._\-/]+$", "")
         # Most runs are one lower-case word, which has no parts.
-        return F.when(raw.rlike("^[a-z0-9]+$"), F.array(raw)).when(run == "", F.array().cast("array<string>")).otherwise(F.concat(F.array(whole), F.flatten(F.transform(pieces, parts))))
+        return F.when(raw.rlike("^[a-z0-9]+$"), F.array(raw)).otherwise(_once(run, lambda r: _once(F.lower(r), lambda whole: pieces(r, whole))))
 
     return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(_c(c), F.lit("")), F.lit(f"({RAW_TOKEN})")), expand))
 
